@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, quality_rules, suffix_dedup
+from . import bpe, chat_format, jaccard_join, quality_rules, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,11 +96,16 @@ u AS (SELECT min(conv_id) AS conv_id, n_turns, count(*)::BIGINT AS n_copies, ren
 SELECT u.* FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.prefix = u.rendered AND p.i = u.n_turns)
 """
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_table(spark, sf_dir, "documents"), size=5, percent=75)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op7_chat_format": op7_chat_format,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op7_chat_format": OP7_SQL}
