@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, jaccard_join, quality_rules, suffix_dedup
+from . import bpe, chat_format, jaccard_join, language_id, quality_rules, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,14 @@ FROM b
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = language_id.held_out()
+    names, table = language_id.fit(docs.filter(~out).select("doc_id", "text", "lang"), path)
+    return language_id.predict(docs, names, table, path).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.render(_table(spark, sf_dir, "conversations"))
 
@@ -104,6 +112,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
     "op7_chat_format": op7_chat_format,
     "op10_jaccard_join": op10_jaccard_join,
 }
