@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
+from .shingles import mix
 
 LENGTH = 50
 GRAM = 16
@@ -97,6 +98,7 @@ def contexts(unit: X.Unit, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     first, number, anchor = (np.concatenate(c) for c in zip(*parts, strict=True))
+    anchor = mix(anchor, 9)  # anchors are least hashes; buckets go by the top bits
     # two documents may meet between equal keys: cut there
     doc = np.searchsorted(unit.ends, first, side="right")
     over = first + number - 1 + length > unit.ends[doc]
