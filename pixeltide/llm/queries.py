@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, jaccard_join, language_id, quality_rules, suffix_dedup
+from . import bpe, chat_format, decontaminate, jaccard_join, language_id, lm_score, quality_rules, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +108,10 @@ u AS (SELECT min(conv_id) AS conv_id, n_turns, count(*)::BIGINT AS n_copies, ren
 SELECT u.* FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.prefix = u.rendered AND p.i = u.n_turns)
 """
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"), language_id.held_out(parts=5, part=1))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(_table(spark, sf_dir, "documents"), size=5, percent=75)
 
@@ -119,6 +123,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_decontaminate": op6_decontaminate,
     "op7_chat_format": op7_chat_format,
+    "op8_lm_score": op8_lm_score,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
