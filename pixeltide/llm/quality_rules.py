@@ -62,17 +62,20 @@ POLICIES = {
 }
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of measurements per document (see the module docstring)."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
+    """One row of measurements per document (see the module docstring), after the columns of ``carry``."""
+    carry = carry or {}
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(text, f"[{BLANK}]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(f"[^{BLANK}]"))
-    split = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), words.alias("w"), lines.alias("l"))
+    carried = [c.alias(f"carried_{name}") for name, c in carry.items()]
+    split = docs.select(*carried, F.col(id_col).alias("doc_id"), text.alias("t"), words.alias("w"), lines.alias("l"))
     grams = F.transform(
         F.sequence(F.lit(0), F.size("w") - 3),
         lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)),
     )
     grown = split.select(
+        *(f"carried_{name}" for name in carry),
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
@@ -82,7 +85,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.length(F.regexp_replace("t", r"[^A-Z]+", ""))).cast("long").alias("n_upper"),
         F.when(F.size("w") >= 3, grams).otherwise(F.array().cast("array<long>")).alias("g"),
     )
-    return grown.withColumn("n_repeat_words", _covered("g")).drop("g")
+    done = grown.withColumn("n_repeat_words", _covered("g")).drop("g")
+    return done.withColumnsRenamed({f"carried_{name}": name for name in carry})
 
 
 def _covered(grams: str) -> Column:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, jaccard_join, language_id, lm_score, quality_rules, suffix_dedup
+from . import bpe, chat_format, decontaminate, jaccard_join, language_id, lm_score, quality_classifier, quality_rules, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +112,10 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(_table(spark, sf_dir, "documents"), language_id.held_out(parts=5, part=1))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(_table(spark, sf_dir, "documents"), size=5, percent=75)
 
@@ -124,6 +128,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_chat_format": op7_chat_format,
     "op8_lm_score": op8_lm_score,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
