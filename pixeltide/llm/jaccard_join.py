@@ -20,9 +20,12 @@ must contain a common one.
 
 *Skew.*  Equal sets are one class before anything is joined.  The members of a
 block are not paired: each set is verified against one centre, the smallest set
-that it shares most blocks with.  Pairs that such links do not connect are then
-formed within blocks, less those that the triangle inequality of the Jaccard
-distance over a common centre excludes.
+that it shares most blocks with, and in some more rounds against one random member
+of another component.  Pairs that such links do not connect are then compared
+within blocks, less those that the triangle inequality of the Jaccard distance
+over a common centre excludes: the Hamming distance of their sketches, of four
+bits or more per shingle, bounds the difference of the sets from below, and only
+pairs that it allows leave the block for exact verification.
 
 Defined results: a null or empty text has no shingle and stays alone; a text
 with fewer words than a shingle has one shingle, its whole sequence; rows that
@@ -45,6 +48,10 @@ WORDS, PERCENT = 5, 75
 #: Blocks per shingle of a band's largest set.
 DENSITY = 0.42
 EMPTY = np.uint64(0)
+#: Rounds in which sets are verified against one more member of their blocks before pairs are formed.
+ROUNDS = 2
+#: Contested documents for each bucket of the last step.
+PER_BUCKET = 1000
 
 
 def bands(percent: int, largest: int) -> np.ndarray:
@@ -260,23 +267,43 @@ def _open_keys(blob: bytes):
 _FACTS = np.dtype([("id", "<i8"), ("n", "<i8"), ("label", "<i8"), ("centre", "<i8"), ("far", "<f4")])
 
 
-def _send(unit_facts, buckets: int) -> list[tuple]:
-    facts, key, local = unit_facts
+def _send(facts: np.ndarray, key: np.ndarray, local: np.ndarray, buckets: int, sketches: list[bytes] | None = None) -> list[tuple]:
+    """Packed rows of one unit for the buckets of its keys: the documents' facts, the keys and, if given, sketches."""
     out = []
     for b, i, j in X.cuts(X.bucket_of(key, buckets).astype(np.int64)):
         who, place = np.unique(local[i:j], return_inverse=True)
         head = np.array([len(who), j - i], "<i8").tobytes()
-        raw = head + facts[who].tobytes() + key[i:j].tobytes() + place.astype("<u4").tobytes()
+        more = b"".join(sketches[w] for w in who.tolist()) if sketches else b""
+        raw = head + facts[who].tobytes() + key[i:j].tobytes() + place.astype("<u4").tobytes() + more
         out.append((b, X.squeeze(np.frombuffer(raw, np.uint8))))
     return out
 
 
+def sketch_bits(n) -> np.ndarray:
+    """Bits of the parity sketch of a set of n shingles: a power of two, four times n or more."""
+    return 1 << np.ceil(np.log2(np.maximum(np.asarray(n) * 4, 128))).astype(np.int64)
+
+
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """Each shingle flips one bit."""
+    bits = int(sketch_bits(len(hashes)))
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def fold(sketch: bytes, bits: int) -> np.ndarray:
+    """The sketch of fewer bits: halves are XORed, which keeps the parities."""
+    words64 = np.frombuffer(sketch, "<u8")
+    while len(words64) * 64 > bits:
+        words64 = words64[: len(words64) // 2] ^ words64[len(words64) // 2 :]
+    return words64
+
+
 _SENT = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
 
-def _received(rows: pa.Table):
+def _received(rows: pa.Table, with_sketches: bool = False):
     """Facts of the documents, and their keys in order: (facts, key, document), one row per block member."""
-    facts, keys, places, at = [], [], [], 0
+    facts, keys, places, sketches, at = [], [], [], [], 0
     for blob in rows["blob"].to_pylist():
         raw = X.expand(blob, np.uint8).tobytes()
         n_docs, n_keys = np.frombuffer(raw, "<i8", 2).tolist()
@@ -285,9 +312,15 @@ def _received(rows: pa.Table):
         keys.append(np.frombuffer(raw, "<u8", n_keys, to))
         places.append(np.frombuffer(raw, "<u4", n_keys, to + 8 * n_keys).astype(np.int64) + at)
         at += n_docs
+        if with_sketches:
+            to += 12 * n_keys
+            for size in (sketch_bits(facts[-1]["n"]) // 8).tolist():
+                sketches.append(raw[to : to + size])
+                to += size
     fact, key, place = np.concatenate(facts), np.concatenate(keys), np.concatenate(places)
     order = np.lexsort((fact["id"][place], key))
-    return fact, key[order], place[order]
+    found = fact, key[order], place[order]
+    return (*found, sketches) if with_sketches else found
 
 
 def _vote(rows: pa.Table) -> pa.Table:
@@ -304,17 +337,33 @@ def _vote(rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(count)], names=["a", "c", "votes"])
 
 
-def _cross(rows: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a block that verified links do not connect yet and that may be similar."""
-    fact, key, place = _received(rows)
-    label, out_a, out_c = fact["label"][place], [], []
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+def _mixed(key: np.ndarray, label: np.ndarray) -> tuple[list[int], list[int]]:
+    """Start and size of each block with more than one label."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(key)]]))
+    mixed = np.maximum.reduceat(label, starts) != np.minimum.reduceat(label, starts)
+    return starts[mixed].tolist(), sizes[mixed].tolist()
+
+
+def _contested(rows: pa.Table) -> pa.Table:
+    """Documents that share a block with one of another label."""
+    fact, key, place = _received(rows)
+    found = [place[s : s + n] for s, n in zip(*_mixed(key, fact["label"][place]), strict=True)]
+    ids = np.unique(fact["id"][np.concatenate(found)]) if found else np.zeros(0, np.int64)
+    return pa.Table.from_arrays([pa.array(ids)], names=["d"])
+
+
+def _cross(rows: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a block with different labels whose sketches' Hamming distance allows the similarity."""
+    fact, key, place, sketches = _received(rows, True)
+    out_a, out_c = [], []
     limit = np.float32(1 - percent / 100 + 1e-5)
-    mixed = np.maximum.reduceat(label, starts) != np.minimum.reduceat(label, starts) if len(starts) else np.zeros(0, bool)
-    for s, n in zip(starts[mixed].tolist(), sizes[mixed].tolist(), strict=True):
-        f = fact[place[s : s + n]]
-        f = f[np.argsort(f["n"], kind="stable")]
+    for s, n in zip(*_mixed(key, fact["label"][place]), strict=True):
+        members = place[s : s + n]
+        members = members[np.argsort(fact["n"][members], kind="stable")]
+        f = fact[members]
+        bits = int(sketch_bits(f["n"][0]))
+        matrix = np.stack([fold(sketches[m], bits) for m in members.tolist()])
         last = np.searchsorted(f["n"], f["n"] * 100 // percent, side="right")
         for i in range(n - 1):
             j = np.arange(i + 1, last[i])
@@ -322,6 +371,8 @@ def _cross(rows: pa.Table, percent: int) -> pa.Table:
             far = (y["centre"] == x["centre"]) & (np.abs(y["far"] - x["far"]) > limit)
             j = j[(y["label"] != x["label"]) & ~far]
             if len(j):
+                apart = np.bitwise_count(matrix[j] ^ matrix[i]).sum(1, dtype=np.int64)
+                j = j[apart <= bound(x["n"], f["n"][j], percent)]
                 other = f["id"][j]
                 out_a.append(np.maximum(other, x["id"]))
                 out_c.append(np.minimum(other, x["id"]))
@@ -349,6 +400,36 @@ def _verify(pairs: DataFrame, own_sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_similarity, "a long, c long, both long, either long")
 
 
+def _offer(rows: pa.Table, round_: int, percent: int) -> pa.Table:
+    """Per set, the member of its blocks that comes first in a random order of this round, where the labels differ."""
+    fact, key, place = _received(rows)
+    none = pa.Table.from_arrays([pa.array([], pa.int64())] * 3, names=["a", "c", "votes"])
+    if not len(key):
+        return none
+    turn = mix(fact["id"].astype(np.uint64), 20 + round_)[place]
+    order = np.lexsort((turn, key))
+    key, f = key[order], fact[place[order]]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    head = f[np.repeat(start, np.diff(np.concatenate([start, [len(key)]])))]
+    small, large = np.minimum(f["n"], head["n"]), np.maximum(f["n"], head["n"])
+    limit = np.float32(1 - percent / 100 + 1e-5)
+    far = (f["centre"] == head["centre"]) & (np.abs(f["far"] - head["far"]) > limit)
+    ok = (f["label"] != head["label"]) & (small * 100 >= large * percent) & ~far
+    if not ok.any():
+        return none
+    pairs, count = np.unique(np.stack([f["id"][ok], head["id"][ok]], 1), axis=0, return_counts=True)
+    return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(count)], names=["a", "c", "votes"])
+
+
+def _merge(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (d, l) after links (a, c): the components of the labels' own graph, which is small."""
+    left = label.select(F.col("d").alias("a"), F.col("l").alias("x"))
+    right = label.select(F.col("d").alias("c"), F.col("l").alias("y"))
+    edges = links.join(left, "a").join(right, "c").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("c"))
+    reached = connected(edges).select(F.col("node").alias("l"), F.col("component").alias("to"))
+    return label.join(reached, "l", "left").select("d", F.coalesce("to", "l").alias("l")).checkpoint()
+
+
 def components(
     docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
     unit_bytes: int = X.UNIT_BYTES,
@@ -373,7 +454,7 @@ def components(
                 ids, sizes, key, local = _open_keys(blob)
                 facts = np.zeros(len(ids), _FACTS)
                 facts["id"], facts["n"] = ids, sizes
-                rows = _send((facts, key, local), units)
+                rows = _send(facts, key, local, units)
                 yield from X.table(rows, _SENT).to_batches()
 
     votes = keys.mapInArrow(plain, "bucket int, blob binary").groupBy("bucket").applyInArrow(_vote, "a long, c long, votes long")
@@ -383,34 +464,65 @@ def components(
     linked = F.col("both") * 100 >= F.col("either") * percent
     first = judged.filter(linked).select("a", "c")
 
-    # labels: up to eight links from centre to centre
-    label = judged.select(F.col("a").alias("d"), F.when(linked, F.col("c")).otherwise(F.col("a")).alias("l"))
-    for _ in range(3):
-        jump = label.select(F.col("d").alias("l"), F.col("l").alias("further"))
-        label = label.join(jump, "l", "left").select("d", F.coalesce("further", "l").alias("l"))
-    facts = judged.select(F.col("a").alias("d"), F.col("c").alias("centre"), (1 - F.col("both") / F.col("either")).cast("float").alias("far"))
+    # every set's label is the least document that its links reach so far
     where = base.filter(F.col("kind") == _SET).select(F.col("doc_id").alias("d"), F.col("unit").alias("u"))
-    told = where.join(label, "d", "left").join(facts, "d", "left").select(
-        "u", "d", F.coalesce("l", "d").alias("l"), F.coalesce("centre", "d").alias("centre"), F.coalesce("far", F.lit(0.0).cast("float")).alias("far")
-    )
-
-    def labelled(rows: pa.Table, said: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return _SENT.empty_table()
-        out = []
-        known = {d: (a, c, f) for d, a, c, f in zip(*(said[x].to_pylist() for x in ("d", "l", "centre", "far")), strict=True)}
-        for blob in rows["blob"].to_pylist():
-            ids, sizes, key, local = _open_keys(blob)
-            facts = np.zeros(len(ids), _FACTS)
-            facts["id"], facts["n"] = ids, sizes
-            facts["label"], facts["centre"], facts["far"] = zip(*(known[i] for i in ids.tolist()), strict=True)
-            out += _send((facts, key, local), units)
-        return X.table(out, _SENT)
-
-    sent = keys.groupBy("unit").cogroup(told.groupBy("u")).applyInArrow(labelled, "bucket int, blob binary")
-    crossing = sent.groupBy("bucket").applyInArrow(lambda t: _cross(t, percent), "a long, c long").distinct()
-    second = _verify(crossing, own_sets).filter(linked).select("a", "c")
-    reached = connected(first.unionByName(second))
+    facts = judged.select(F.col("a").alias("d"), F.col("c").alias("centre"), (1 - F.col("both") / F.col("either")).cast("float").alias("far"))
+    known = where.join(facts, "d", "left").select("d", "u", F.coalesce("centre", "d").alias("centre"), F.coalesce("far", F.lit(0.0).cast("float")).alias("far"))
+    label = known.select("d", F.col("d").alias("l"))
+    label = _merge(label, first)
+
+    def labelled(buckets: int, sketched: bool):
+        def run(rows: pa.Table, said: pa.Table) -> pa.Table:
+            if not rows.num_rows or not said.num_rows:
+                return _SENT.empty_table()
+            out = []
+            names = ["l", "centre", "far", *(["blob"] if sketched else [])]
+            told = dict(zip(said["d"].to_pylist(), zip(*(said[x].to_pylist() for x in names), strict=True), strict=True))
+            for blob in rows["blob"].to_pylist():
+                ids, sizes, key, local = _open_keys(blob)
+                chosen = np.fromiter((i in told for i in ids.tolist()), bool, len(ids))
+                take = chosen[local]
+                facts = np.zeros(len(ids), _FACTS)
+                facts["id"], facts["n"] = ids, sizes
+                own = [told[i] for i in ids[chosen].tolist()]
+                for place, name in enumerate(("label", "centre", "far")):
+                    facts[name][chosen] = [x[place] for x in own]
+                sketches = None
+                if sketched:
+                    sketches = [b""] * len(ids)
+                    for at, x in zip(np.flatnonzero(chosen).tolist(), own, strict=True):
+                        sketches[at] = parity_sketch(X.unpack40(x[3]))
+                        facts["n"][at] = len(x[3]) // 5
+                if take.any():
+                    out += _send(facts, key[take], local[take], buckets, sketches)
+            return X.table(out, _SENT)
+
+        return run
+
+    def blocks(told: DataFrame, buckets: int, sketched: bool = False):
+        sent = keys.groupBy("unit").cogroup(told.groupBy("u")).applyInArrow(labelled(buckets, sketched), "bucket int, blob binary")
+        return sent.groupBy("bucket")
+
+    def facts_of(label: DataFrame) -> DataFrame:
+        return known.join(label, "d").select("u", "d", "l", "centre", "far")
+
+    def offering(round_: int):
+        return lambda t: _offer(t, round_, percent)
+
+    for round_ in range(ROUNDS):
+        offered = blocks(facts_of(label), units).applyInArrow(offering(round_), "a long, c long, votes long")
+        counted = offered.groupBy("a", "c").agg(F.sum("votes").alias("votes"))
+        best = counted.groupBy("a").agg(F.max_by("c", F.struct("votes", -F.col("c"))).alias("c"))
+        more = _verify(best, own_sets).filter(linked).select("a", "c").checkpoint()
+        if more.isEmpty():
+            break
+        label = _merge(label, more)
+    contested = blocks(facts_of(label), units).applyInArrow(_contested, "d long").distinct().checkpoint()
+    told = facts_of(label).join(contested, "d").join(own_sets.withColumnRenamed("doc_id", "d"), "d").select("u", "d", "l", "centre", "far", "blob")
+    few = max(1, -(-contested.count() // PER_BUCKET))
+    crossing = blocks(told, few, True).applyInArrow(lambda t: _cross(t, percent), "a long, c long").distinct()
+    second = _verify(crossing, own_sets).filter(linked).select("a", "c").checkpoint()
+    reached = _merge(label, second).select(F.col("d").alias("node"), F.col("l").alias("component"))
 
     every = base.filter(F.col("kind") == _DOC).select("doc_id", "n", "lead")
     out = every.join(reached.withColumnRenamed("node", "lead"), "lead", "left")
