@@ -221,23 +221,27 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False
+) -> DataFrame:
     """Per row: the id, ``ids`` (little-endian unsigned 32-bit, packed) and ``decoded`` bytes of those ids.
 
-    A narrow map: no shuffle, and a few megabytes of text in memory at a time.
+    With ``keep_text`` the text (null: empty) comes too.  A narrow map: no shuffle,
+    and a few megabytes of text in memory at a time.
     """
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches.by_bytes(iter(parts), "text"):
-            ids = own.encode_all([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())],
-                names=["doc_id", "ids", "decoded"],
-            )
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids = own.encode_all(texts)
+            columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())]
+            if keep_text:
+                columns.append(pa.array(texts, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded", "text"][: len(columns)])
 
     two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return two.mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return two.mapInArrow(run, "doc_id long, ids binary, decoded binary" + ", text string" * keep_text)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

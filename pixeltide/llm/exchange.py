@@ -37,13 +37,17 @@ def n_units(total_bytes: int, each: int = UNIT_BYTES) -> int:
     return max(1, math.ceil(total_bytes / each))
 
 
-def dealt(docs: DataFrame, units: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(unit, doc_id, text): null ids are ``NO_ID``, null texts empty; one partition holds one or a few units."""
+def dealt(docs: DataFrame, units: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(unit, doc_id, text): null ids are ``NO_ID``, null texts empty; one partition holds one or a few units.
+
+    Columns of ``carry`` follow as one struct, ``carried``.
+    """
     doc_id = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     rows = docs.select(
         F.pmod(F.xxhash64(doc_id), F.lit(units)).cast("int").alias("unit"),
         doc_id.alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
     )
     return rows.repartition(units, "unit")
 
@@ -91,9 +95,10 @@ class Unit:
     """The texts of one unit as one byte buffer, ordered by (id, text)."""
 
     def __init__(self, rows: pa.Table):
-        order = sorted(zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), strict=True))
-        self.ids = np.fromiter((r[0] for r in order), np.int64, len(order))
-        texts = [r[1].encode("utf-8", "replace") for r in order]
+        ids, texts = rows["doc_id"].to_pylist(), rows["text"].to_pylist()
+        self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        self.ids = np.fromiter((ids[i] for i in self.order), np.int64, len(ids))
+        texts = [texts[i].encode("utf-8", "replace") for i in self.order]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.bytes = b"".join(texts)
         self.buf = np.frombuffer(self.bytes, np.uint8)

@@ -126,10 +126,11 @@ def _positions(s: Column) -> Column:
 
 
 def ledger(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Thresholds = Thresholds()
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Thresholds = Thresholds(),
+    carry: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Measurements plus ``fail_bits``, one row per document."""
-    m = measure(docs, id_col, text_col)
+    """Measurements plus ``fail_bits``, one row per document, after the columns of ``carry``."""
+    m = measure(docs, id_col, text_col, carry)
     c = F.col
     failed = (
         c("n_words") < limits.min_words,
@@ -152,6 +153,15 @@ def apply_policy(led: DataFrame, policy: Policy) -> DataFrame:
     return led.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0)
 
 
+def passing(docs: DataFrame, policy: Policy, text_col: str = "text", limits: Thresholds = Thresholds()) -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, with all their columns; no join and no shuffle."""
+    whole = {"row": F.struct(*docs.columns)}
+    led = ledger(docs, docs.columns[0], text_col, limits, whole)
+    # a filter on ``kept`` would be pushed below the projections and repeat their expressions; a generator is not
+    kept = apply_policy(led, policy).select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row"))
+    return kept.filter(F.col("row").isNotNull()).select("row.*")
+
+
 def ablate(led: DataFrame, policy: Policy) -> DataFrame:
     """One row per rule of the policy: documents that fail it, and documents kept only if it is dropped.
 

@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import exchange as X
 from .shingles import mix
@@ -351,7 +352,8 @@ _CUT_SQL = "doc_id long, n_bytes long, spans array<struct<from:long,to:long>>, k
 
 def _cut(rows: pa.Table, said: pa.Table, length: int, buckets: int) -> pa.Table:
     if not rows.num_rows:
-        return _CUT.empty_table()
+        out = _CUT.empty_table()
+        return out.append_column("carried", rows["carried"].combine_chunks()) if "carried" in rows.column_names else out
     own = _Shared(rows, said, length, buckets)
     unit = own.unit
     answers = sorted(
@@ -383,18 +385,25 @@ def _cut(rows: pa.Table, said: pa.Table, length: int, buckets: int) -> pa.Table:
         kept.append(unit.buf[a:b][~part].tobytes())
     ids = [None if i == X.NO_ID else i for i in unit.ids.tolist()]
     sizes = (unit.ends - unit.starts).tolist()
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((ids, sizes, spans, kept), _CUT, strict=True)], schema=_CUT)
+    out = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((ids, sizes, spans, kept), _CUT, strict=True)], schema=_CUT)
+    return out.append_column("carried", rows["carried"].take(unit.order)) if "carried" in rows.column_names else out
 
 
 def dedup(
     docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT,
-    unit_bytes: int = X.UNIT_BYTES,
+    unit_bytes: int = X.UNIT_BYTES, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row: doc_id, n_bytes, ``spans`` (removed byte ranges) and ``kept`` (the bytes that remain)."""
+    """Per row: doc_id, n_bytes, ``spans`` (removed byte ranges), ``kept`` (the bytes that remain).
+
+    Columns of ``carry`` come back as the fields of one more column, ``carried``.
+    """
     if not 2 * GRAM <= length <= 79:
         raise ValueError(f"length must be from {2 * GRAM} to 79 bytes")
     units = X.n_units(X.text_bytes(docs, F.col(text_col)), unit_bytes)
-    texts = X.dealt(docs, units, id_col, text_col)
+    texts = X.dealt(docs, units, id_col, text_col, carry)
+    out_schema = T.StructType.fromDDL(_CUT_SQL)
+    if carry:
+        out_schema.add(texts.schema["carried"])
     ask = texts.groupBy("unit").applyInArrow(lambda t: _ask_anchors(t, length, units), _ASK_SQL)
     said = ask.groupBy("bucket").applyInArrow(lambda t: _answer_anchors(t, hot), _SAY_SQL)
     shown = (
@@ -404,5 +413,5 @@ def dedup(
     judged = shown.groupBy("bucket").applyInArrow(lambda t: _answer_contexts(t, length), _SAY_SQL)
     return (
         texts.groupBy("unit").cogroup(said.unionByName(judged).groupBy("unit"))
-        .applyInArrow(lambda t, s: _cut(t, s, length, units), _CUT_SQL)
+        .applyInArrow(lambda t, s: _cut(t, s, length, units), out_schema)
     )
