@@ -101,9 +101,9 @@ class Model:
 
     @staticmethod
     def _softmax(x: np.ndarray) -> np.ndarray:
-        x -= x.max(1, keepdims=True)
+        np.clip(x, -40, 40, out=x)
         np.exp(x, out=x)
-        x /= x.sum(1, keepdims=True)
+        x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
         return x
 
     def parts(self, rows: np.ndarray, own: np.ndarray, cls: np.ndarray):
@@ -134,17 +134,18 @@ class Model:
         i = np.arange(len(cls))
         top[i, sup] -= 1
         low[i, cls % width] -= 1
+        column = np.arange(width)
         for table, which, error, at in ((self.upper, rows, top, None), (self.lower, own, low, sup)):
-            flat, columns = table.reshape(-1), table.shape[1]
-            base = np.zeros(len(cls), np.int64) if at is None else at * width
+            columns = table.shape[1]
+            blocks = columns // width
             for f in range(which.shape[1]):
-                row = which[:, f]
-                used, compact = np.unique(row * SUPERS + (base // width), return_inverse=True)
-                weight = np.bincount(compact, minlength=len(used)).astype(np.float32)
-                cell = (compact[:, None] * error.shape[1] + np.arange(error.shape[1])).ravel()
-                grad = np.bincount(cell, error.ravel(), len(used) * error.shape[1]).reshape(len(used), -1)
-                start = (used // SUPERS) * columns + (used % SUPERS) * width
-                flat[(start[:, None] + np.arange(error.shape[1])).ravel()] -= (rate * grad / (weight[:, None] + 8)).ravel().astype(np.float32)
+                # the rows of one feature are a range of the table
+                first = (0, 1, 2 + CLASSES, 3 + 2 * CLASSES, ROWS)[f]
+                n = (1, CLASSES + 1, CLASSES + 1, CLASSES + 1, PAIRS)[f]
+                cell = (which[:, f] - first) * blocks + (0 if at is None else at)
+                grad = np.bincount((cell[:, None] * width + column).ravel(), error.ravel(), n * columns).reshape(n * blocks, width)
+                weight = np.bincount(cell, minlength=n * blocks)
+                table[first : first + n] -= (rate * grad / (weight[:, None] + 8)).reshape(n, columns).astype(np.float32)
 
 
 _ASK = pa.schema([("unit", pa.int32()), ("bucket", pa.int32()), ("tokens", pa.int64()), ("keys", pa.binary()), ("more", pa.binary())])
