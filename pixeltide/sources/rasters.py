@@ -77,7 +77,7 @@ def from_array(
     else:
         raise LengthMismatch("not an array of one to three axes")
     total = max(bands, nbands or bands)
-    flat += [None] * ((total - bands) * xsize * ysize)
+    flat = [None if v is None else float(v) for v in flat] + [None] * ((total - bands) * xsize * ysize)
     fill = nodata if nodata is not None else default_nodata(pixel_type)
     grid = GridSpec(srs, *(box or (0.0, 0.0, float(xsize), float(ysize))), 1, 1)
     x0, y0, x1, y1 = grid.xmin, grid.ymin, grid.xmax, grid.ymax
