@@ -14,6 +14,7 @@ of all rows share reaches its bucket once per unit.
 
 from __future__ import annotations
 
+import ctypes
 import math
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a unit, about.
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 6 << 20
 #: Id that stands for a null id, after all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -52,6 +53,23 @@ def dealt(docs: DataFrame, units: int, id_col: str = "doc_id", text_col: str = "
     return rows.repartition(units, "unit")
 
 
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Hands freed memory back to the system: a Python worker lives on after its group."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def lean(function, *args):
+    """The function's result, with what it used for it released."""
+    out = function(*args)
+    release()
+    return out
+
+
 def squeeze(array: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(array).tobytes(), 1)
 

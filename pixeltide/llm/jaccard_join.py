@@ -49,7 +49,7 @@ WORDS, PERCENT = 5, 75
 DENSITY = 0.42
 EMPTY = np.uint64(0)
 #: Rounds in which sets are verified against one more member of their blocks before pairs are formed.
-ROUNDS = 2
+ROUNDS = 1
 #: Contested documents for each bucket of the last step.
 PER_BUCKET = 1000
 
@@ -224,19 +224,21 @@ def _candidates(rows: pa.Table, said: pa.Table, size: int, percent: int, buckets
     out = [(_DOC, number, i, n, a, None) for i, n, a in zip(ids.tolist(), own.sizes.tolist(), lead.tolist(), strict=True)]
     key, group, group_set, least = own.sketches(percent)
     if len(key):
-        every = np.unique(key)
-        held = told(_BLOCKS, "<u4")[np.searchsorted(every, key)].astype(np.int64)
+        every, inverse = np.unique(key, return_inverse=True)
+        held = told(_BLOCKS, "<u4")[inverse].astype(np.int64)
+        del every, inverse
         # only one document stands for equal sets of all units
         leads = np.zeros(len(ids), bool)
         leads[own.own] = first == ids[own.own]
         n_groups = len(group_set)
         shared = np.bincount(group, weights=held > 1, minlength=n_groups)
+        alive = ((shared >= least) & leads[group_set])[group]
+        key, group, held = key[alive], group[alive], held[alive]
         number_of = np.bincount(group, minlength=n_groups)
-        alive = (shared >= least) & leads[group_set]
         order = np.lexsort((key, held, group))
         rank = np.arange(len(order)) - np.repeat(np.cumsum(number_of) - number_of, number_of)
         g = group[order]
-        take = alive[g] & (rank <= number_of[g] - least[g]) & (held[order] > 1)
+        take = (rank <= number_of[g] - least[g]) & (held[order] > 1)
         key, doc = key[order][take], group_set[g[take]]
         if len(key):
             who = np.unique(doc)
@@ -438,11 +440,11 @@ def components(
     ensure_checkpoints(docs)
     units = X.n_units(X.text_bytes(docs, F.col(text_col)), unit_bytes)
     texts = X.dealt(docs, units, id_col, text_col)
-    asked = texts.groupBy("unit").applyInArrow(lambda t: _ask(t, size, percent, units), _ASK_SQL)
-    said = asked.groupBy("bucket").applyInArrow(_answer, _SAY_SQL)
+    asked = texts.groupBy("unit").applyInArrow(lambda t: X.lean(_ask, t, size, percent, units), _ASK_SQL)
+    said = asked.groupBy("bucket").applyInArrow(lambda t: X.lean(_answer, t), _SAY_SQL)
     base = (
         texts.groupBy("unit").cogroup(said.groupBy("unit"))
-        .applyInArrow(lambda t, s: _candidates(t, s, size, percent, units), _BASE_SQL)
+        .applyInArrow(lambda t, s: X.lean(_candidates, t, s, size, percent, units), _BASE_SQL)
         .checkpoint()
     )
     own_sets = base.filter(F.col("kind") == _SET).select("doc_id", "blob")
@@ -457,7 +459,7 @@ def components(
                 rows = _send(facts, key, local, units)
                 yield from X.table(rows, _SENT).to_batches()
 
-    votes = keys.mapInArrow(plain, "bucket int, blob binary").groupBy("bucket").applyInArrow(_vote, "a long, c long, votes long")
+    votes = keys.mapInArrow(plain, "bucket int, blob binary").groupBy("bucket").applyInArrow(lambda t: X.lean(_vote, t), "a long, c long, votes long")
     counted = votes.groupBy("a", "c").agg(F.sum("votes").alias("votes"))
     best = counted.groupBy("a").agg(F.max_by("c", F.struct("votes", -F.col("c"))).alias("c"))
     judged = _verify(best, own_sets).checkpoint()
@@ -507,7 +509,7 @@ def components(
         return known.join(label, "d").select("u", "d", "l", "centre", "far")
 
     def offering(round_: int):
-        return lambda t: _offer(t, round_, percent)
+        return lambda t: X.lean(_offer, t, round_, percent)
 
     for round_ in range(ROUNDS):
         offered = blocks(facts_of(label), units).applyInArrow(offering(round_), "a long, c long, votes long")
@@ -517,10 +519,10 @@ def components(
         if more.isEmpty():
             break
         label = _merge(label, more)
-    contested = blocks(facts_of(label), units).applyInArrow(_contested, "d long").distinct().checkpoint()
+    contested = blocks(facts_of(label), units).applyInArrow(lambda t: X.lean(_contested, t), "d long").distinct().checkpoint()
     told = facts_of(label).join(contested, "d").join(own_sets.withColumnRenamed("doc_id", "d"), "d").select("u", "d", "l", "centre", "far", "blob")
     few = max(1, -(-contested.count() // PER_BUCKET))
-    crossing = blocks(told, few, True).applyInArrow(lambda t: _cross(t, percent), "a long, c long").distinct()
+    crossing = blocks(told, few, True).applyInArrow(lambda t: X.lean(_cross, t, percent), "a long, c long").distinct()
     second = _verify(crossing, own_sets).filter(linked).select("a", "c").checkpoint()
     reached = _merge(label, second).select(F.col("d").alias("node"), F.col("l").alias("component"))
 

@@ -281,19 +281,19 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
     ).repartition(units, "unit")
-    asked = texts.groupBy("unit").applyInArrow(lambda t: _ask(t, units), _ASK_SQL).checkpoint()
+    asked = texts.groupBy("unit").applyInArrow(lambda t: X.lean(_ask, t, units), _ASK_SQL).checkpoint()
     total = asked.filter("bucket = -1").agg(F.sum("tokens")).first()[0] or 0
-    said = asked.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _answer(t, total), _SAY_SQL).checkpoint()
+    said = asked.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: X.lean(_answer, t, total), _SAY_SQL).checkpoint()
     distinct = int(said.filter(F.col("kind") == _DISTINCT).agg(F.sum("value")).first()[0] or 0)
     weight = np.zeros(CLASSES)
     for r in said.filter(F.col("kind") == _WEIGHT).groupBy("unit").agg(F.sum("value").alias("v")).collect():  # at most CLASSES rows
         weight[r["unit"]] = r["v"]
     counts = said.filter(F.col("kind") == _COUNTS).select("unit", "bucket", "blob")
-    parts = texts.groupBy("unit").cogroup(counts.groupBy("unit")).applyInArrow(lambda t, s: _train(t, s, total), _PART_SQL)
+    parts = texts.groupBy("unit").cogroup(counts.groupBy("unit")).applyInArrow(lambda t, s: X.lean(_train, t, s, total), _PART_SQL)
     left = units
     while left > 1:  # a tree of bounded fan-in
         left = -(-left // FAN_IN)
-        parts = parts.withColumn("part", F.pmod("part", F.lit(left))).groupBy("part").applyInArrow(_average, _PART_SQL)
+        parts = parts.withColumn("part", F.pmod("part", F.lit(left))).groupBy("part").applyInArrow(lambda t: X.lean(_average, t), _PART_SQL)
     found = parts.filter("tokens > 0").collect()  # one row of fixed size
     model = None
     if found:
@@ -302,6 +302,6 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         model = Model(flat[:cut].reshape(-1, SUPERS).copy(), flat[cut:].reshape(-1, CLASSES).copy())
     out = (
         texts.groupBy("unit").cogroup(counts.groupBy("unit"))
-        .applyInArrow(lambda t, s: _score(t, s, total, distinct, weight, model), _SCORE_SQL)
+        .applyInArrow(lambda t, s: X.lean(_score, t, s, total, distinct, weight, model), _SCORE_SQL)
     )
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -80,11 +80,11 @@ def contexts(unit: X.Unit, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     """
     total, parts = len(unit.buf), []
     width = length - GRAM + 1
-    inside = np.zeros(total + 1, np.int32)
+    inside = np.zeros(total + 1, np.int8)
     long = unit.ends - unit.starts >= length
     np.add.at(inside, unit.starts[long], 1)
     np.add.at(inside, unit.ends[long] - length + 1, -1)
-    inside = np.cumsum(inside) > 0
+    inside = np.cumsum(inside, dtype=np.int8) > 0
     for at in range(0, total - length + 1, SLICE):
         part = unit.buf[at : at + SLICE + length - 1]
         h = _gram_hashes(part)
@@ -366,13 +366,13 @@ def _cut(rows: pa.Table, said: pa.Table, length: int, buckets: int) -> pa.Table:
     lead_id = unit.ids[own.doc[own.lead]][own.entry] if len(own.entry) else np.zeros(0, np.int64)
     later = unit.ids[own.doc] > lead_id
     mine = np.where(later, np.uint64(0xFFFFFFFFFFFFFFFF), mine)
-    change = np.zeros(len(unit.buf) + 1, np.int64)
+    change = np.zeros(len(unit.buf) + 1, np.int8)  # at most ``length`` windows cover a byte
     for w in range(int(own.number.max(initial=0))):
         hit = (own.number > w) & ((mine >> np.uint64(w)) & np.uint64(1)).astype(bool)
         at = own.first[hit] + w
         np.add.at(change, at, 1)
         np.add.at(change, at + length, -1)
-    gone = np.cumsum(change[:-1]) > 0
+    gone = np.cumsum(change[:-1], dtype=np.int8) > 0
     spans, kept = [], []
     for a, b in zip(unit.starts.tolist(), unit.ends.tolist(), strict=True):
         part = gone[a:b]
@@ -404,14 +404,14 @@ def dedup(
     out_schema = T.StructType.fromDDL(_CUT_SQL)
     if carry:
         out_schema.add(texts.schema["carried"])
-    ask = texts.groupBy("unit").applyInArrow(lambda t: _ask_anchors(t, length, units), _ASK_SQL)
-    said = ask.groupBy("bucket").applyInArrow(lambda t: _answer_anchors(t, hot), _SAY_SQL)
+    ask = texts.groupBy("unit").applyInArrow(lambda t: X.lean(_ask_anchors, t, length, units), _ASK_SQL)
+    said = ask.groupBy("bucket").applyInArrow(lambda t: X.lean(_answer_anchors, t, hot), _SAY_SQL)
     shown = (
         texts.groupBy("unit").cogroup(said.groupBy("unit"))
-        .applyInArrow(lambda k, t, s: _ask_contexts(k, t, s, length, units), _ASK_SQL)
+        .applyInArrow(lambda k, t, s: X.lean(_ask_contexts, k, t, s, length, units), _ASK_SQL)
     )
-    judged = shown.groupBy("bucket").applyInArrow(lambda t: _answer_contexts(t, length), _SAY_SQL)
+    judged = shown.groupBy("bucket").applyInArrow(lambda t: X.lean(_answer_contexts, t, length), _SAY_SQL)
     return (
         texts.groupBy("unit").cogroup(said.unionByName(judged).groupBy("unit"))
-        .applyInArrow(lambda t, s: _cut(t, s, length, units), out_schema)
+        .applyInArrow(lambda t, s: X.lean(_cut, t, s, length, units), out_schema)
     )
