@@ -12,9 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import batches
+
 
 def ensure_checkpoints(df: DataFrame) -> None:
-    """Sets a checkpoint folder only where the session names none (tests)."""
+    """Sets a checkpoint folder only where the session names none (tests), and small Arrow batches."""
+    batches.small(df)
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         import tempfile

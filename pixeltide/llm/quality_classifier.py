@@ -183,6 +183,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float
 
     ``docs`` has doc_id and text; ``labels`` has doc_id and toxic.
     """
+    batches.small(docs)
     judged = patterns(docs)
     counts = {r["pattern"]: r["n"] for r in judged.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 3**5 rows
     posterior, _ = estimate(counts)
