@@ -101,6 +101,12 @@ AGGREGATES: dict[str, Aggregate] = {
 }
 
 
+def register(name: str, function: Aggregate) -> None:
+    """Adds a user's aggregate under a name of its own; later composites find it there."""
+    need(callable(function) and name not in AGGREGATES, OutOfRange, f"{name} is taken, or not a function is given")
+    AGGREGATES[name] = function
+
+
 def interpolate(values: Column, t0: float, dt: float, t: float, how: str = "linear") -> Column:
     """Value at ``t`` of an array of values at t0, t0 + dt, ...; beyond the ends the nearest segment goes on."""
     n = F.size(values)

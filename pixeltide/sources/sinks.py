@@ -86,3 +86,35 @@ def file_names(items: DataFrame, time: str, extension: str = ".tif", by: str = "
     named = named.withColumn("_n", number)
     name = F.concat("_stem", F.when(F.col("_n") > 0, F.concat(F.lit("_"), F.col("_n").cast("string"))).otherwise(F.lit("")), F.lit(extension))
     return named.withColumn("file", name).drop("_stem", "_n")
+
+
+# Writer options by purpose.
+OPTIONS = {
+    "default": {"compression": "zstd"},
+    "small": {"compression": "zstd", "parquet.block.size": str(256 << 20)},
+    "fast": {"compression": "snappy"},
+}
+
+
+def writer_options(purpose: str = "default", **more: str) -> dict[str, str]:
+    """Options for ``write``: a named set, with single ones replaced."""
+    need(purpose in OPTIONS, OutOfRange, f"unknown purpose {purpose}")
+    return OPTIONS[purpose] | more
+
+
+def save(cube: Cube, path: str, bundle: bool = True, sources: dict[str, str] | None = None, mode: str = "error") -> None:
+    """Saves a cube as a folder: its description and, in a bundle, its rows.
+
+    Without ``bundle`` only the description and the addresses of its sources are kept.
+    """
+    need(bundle or bool(sources), OutOfRange, "without a bundle the sources must be named")
+    if bundle:
+        write(cube, f"{path}/rows", "parquet", mode, **writer_options())
+    text = describe_json(cube, sources)
+    cube.df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/plan")
+
+
+def load(spark: SparkSession, path: str, rows: str | None = None) -> Cube:
+    """The cube that ``save`` kept; ``rows`` names its files where they are not in the bundle."""
+    text = "\n".join(r.value for r in spark.read.text(f"{path}/plan").collect())  # one description
+    return from_json(spark, text, rows or f"{path}/rows")

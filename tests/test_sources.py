@@ -115,3 +115,29 @@ def test_median_date(spark):
 def test_labels():
     assert rendering.label_digits([1, 2, 3]) == 0 and rendering.label_digits([1500.5, 2]) == 0
     assert rendering.label_digits([0.1, 1.5]) == 2 and rendering.label_digits([0.01, 0.03]) == 3 and rendering.label_digits([]) == 0
+
+
+def test_save_and_load(spark, tmp_path):
+    cube = cube_of(spark, [(1, 1, 0, 0, 1.0, None)])
+    sinks.save(cube, str(tmp_path / "s"))
+    back = sinks.load(spark, str(tmp_path / "s"))
+    assert back.bands == cube.bands and [(r.a, r.b) for r in back.df.collect()] == [(1.0, None)]
+    with pytest.raises(errors.OutOfRange):
+        sinks.save(cube, str(tmp_path / "t"), bundle=False)
+    assert sinks.writer_options("fast", a="b") == {"compression": "snappy", "a": "b"}
+
+
+def test_registered_pixel_function(spark):
+    from pyspark.sql import functions as F
+
+    from pixeltide.functions import pixel
+    from pixeltide.operators import composites
+
+    pixel.register("spread", lambda v: F.max(v) - F.min(v))
+    try:
+        cube = cube_of(spark, [(1, 1, 0, 0, 1.0, 2.0), (2, 2, 0, 0, 4.0, 2.0)])
+        assert composites.composite(cube, "spread").first().a == 3.0
+        with pytest.raises(errors.OutOfRange):
+            pixel.register("median", F.median)
+    finally:
+        del pixel.AGGREGATES["spread"]
