@@ -52,21 +52,33 @@ def gamma(df: DataFrame, bands, exponents=GAMMA) -> DataFrame:
     return df.withColumns({b: F.pow(F.col(b), F.lit(1.0 / g)) for b, g in zip(bands, exponents, strict=True)})
 
 
-def _ecdf(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Empirical distribution at each distinct value of (keys, value, n) rows."""
-    spec = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    return counts.withColumn("ecdf", F.sum("n").over(spec) / F.sum("n").over(whole))
+def _ecdf(counts: DataFrame, value: str, parts: int = 200) -> DataFrame:
+    """Empirical distribution at each distinct value of (value, n) rows.
+
+    Values fall into at most ``parts`` ranges between approximate quantiles; running
+    sums are taken within a range, and the ranges' totals, a table of ``parts`` rows,
+    give what lies before it.  So no task sees all values.
+    """
+    shares = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+    edges = counts.agg(F.percentile_approx(F.col(value).cast("double"), shares, F.lit(10_000)).alias("_edges"))
+    placed = counts.join(F.broadcast(edges))  # one row of fixed size
+    placed = placed.withColumn("_part", F.size(F.filter(F.array_distinct("_edges"), lambda e: e < F.col(value)))).drop("_edges")
+    totals = placed.groupBy("_part").agg(F.sum("n").alias("_n"))
+    one = Window.partitionBy(F.lit(1))
+    before = totals.select(
+        "_part", (F.sum("_n").over(one.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"), F.sum("_n").over(one).alias("_all")
+    )
+    running = F.sum("n").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("_run", running).join(F.broadcast(before), "_part").select(value, ((F.col("_run") + F.col("_before")) / F.col("_all")).alias("ecdf"))
 
 
 def equalize(df: DataFrame, band: str) -> DataFrame:
     """Value replaced by its empirical distribution.
 
-    Distinct values are counted before the ordered pass, so that pass sees each value
-    once; raster values are quantised, which bounds their number by the pixel type.
+    Distinct values are counted before the ordered pass, so that pass sees each value once.
     """
     counts = df.filter(F.col(band).isNotNull()).groupBy(band).agg(F.count("*").alias("n"))
-    table = _ecdf(counts.withColumn("_all", F.lit(1)), ["_all"], band).select(F.col(band).alias("_v"), "ecdf")
+    table = _ecdf(counts, band).select(F.col(band).alias("_v"), "ecdf")
     joined = df.join(table, F.col(band) == F.col("_v"), "left")
     return joined.select(*(F.col("ecdf").alias(c) if c == band else F.col(c) for c in df.columns))
 
@@ -74,8 +86,7 @@ def equalize(df: DataFrame, band: str) -> DataFrame:
 def equalize_jointly(df: DataFrame, bands) -> DataFrame:
     """One distribution over the values of all bands."""
     long = df.select(F.explode(F.array(*bands)).alias("_v")).filter("_v is not null")
-    counts = long.groupBy("_v").agg(F.count("*").alias("n")).withColumn("_all", F.lit(1))
-    table = _ecdf(counts, ["_all"], "_v").select("_v", "ecdf")
+    table = _ecdf(long.groupBy("_v").agg(F.count("*").alias("n")), "_v")
     out = df
     for b in bands:
         t = table.select(F.col("_v").alias(f"_v_{b}"), F.col("ecdf").alias(f"_e_{b}"))
