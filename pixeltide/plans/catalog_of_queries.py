@@ -147,14 +147,14 @@ def _(spark, sf):
     return signed.select("id", F.element_at("assets", "B02")["href"].alias("href"))
 
 
-@add("vrt_collect_sources", f"""WITH {C} SELECT id, strftime(datetime, '%Y-%m-%dT%H:%M:%SZ') AS time,
+@add("collect_sources", f"""WITH {C} SELECT id, strftime(datetime, '%Y-%m-%dT%H:%M:%SZ') AS time,
   array_to_string(list_transform(['B02', 'B8A', 'B08', 'B12', 'SCL'], lambda a: '/vsicurl/https://example.org/' || id || '/' || a || '.tif'), ' ') AS sources FROM c""")
 def _(spark, sf):
     found = catalog.collect_sources(tables.catalog(spark, sf), "/vsicurl/")
     return found.select("id", catalog.iso_time(F.col("datetime").cast("timestamp")).alias("time"), F.array_join("sources", " ").alias("sources"))
 
 
-@add("vrt_plan", f"WITH {C} SELECT id, 5 AS n_assets FROM c")
+@add("source_plan", f"WITH {C} SELECT id, 5 AS n_assets FROM c")
 def _(spark, sf):
     return catalog.plan(tables.catalog(spark, sf)).select("id", F.size("assets").alias("n_assets"))
 
