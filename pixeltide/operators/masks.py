@@ -32,16 +32,18 @@ def bit_mask_by_remainder(band: Column, bits) -> Column:
     return F.when(any_set, 0).otherwise(1)
 
 
-def dilated(cube: Cube, bad: Column, size: int) -> Column:
-    """``bad`` grown by ``size`` cells in all eight directions, over the whole image.
+def dilated(cube: Cube, bad: Column, size: int, name: str = "_bad") -> Cube:
+    """Adds ``name``: ``bad`` grown by ``size`` cells in all eight directions, over the whole image.
 
     A square is the maximum along x of the maximum along y, so two range windows do
     it; each is partitioned by item and one axis, never by item alone.
     """
     x, y = cube.cell
-    along_x = Window.partitionBy(cube.item, y).orderBy(x).rangeBetween(-size, size)
-    along_y = Window.partitionBy(cube.item, x).orderBy(y).rangeBetween(-size, size)
-    return F.max(F.max(bad.cast("int")).over(along_x)).over(along_y)
+    df = cube.df.withColumn(name, bad.cast("int"))
+    for across, along in ((y, x), (x, y)):
+        near = Window.partitionBy(cube.item, across).orderBy(along).rangeBetween(-size, size)
+        df = df.withColumn(name, F.max(name).over(near))
+    return replace(cube, df=df)
 
 
 def set_mask(
@@ -56,15 +58,10 @@ def set_mask(
     valid = F.coalesce(build(F.col(mask_band), list(values)), F.lit(1)) > 0
     data = [b for b in cube.bands if b != mask_band]
     need(bool(data), BandMissing, "no band is left to mask")
-    df = cube.df
     if buffer:
-        x, y = cube.cell
-        along_x = Window.partitionBy(cube.item, y).orderBy(x).rangeBetween(-buffer, buffer)
-        along_y = Window.partitionBy(cube.item, x).orderBy(y).rangeBetween(-buffer, buffer)
-        df = df.withColumn("_bad", (~valid).cast("int"))
-        df = df.withColumn("_bad", F.max("_bad").over(along_x)).withColumn("_bad", F.max("_bad").over(along_y))
+        cube = dilated(cube, ~valid, buffer)
         valid = F.col("_bad") == 0
-    out = replace(cube, df=df, mask_band=None if drop_mask else mask_band)
+    out = replace(cube, mask_band=None if drop_mask else mask_band)
     columns = {b: F.when(valid, F.col(b)) for b in data}
     if not drop_mask:
         columns = {b: columns.get(b, F.col(b)) for b in cube.bands}
