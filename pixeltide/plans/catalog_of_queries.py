@@ -537,53 +537,86 @@ def _gaps(spark, sf):
     return rasters.from_table(df, ["blue", "red", "nir"])
 
 
-def _xoid_sql(centre: str, distance: Callable[[str, str], str], finish: str = "{}") -> str:
+NAMES = ("blue", "red", "nir")
+
+
+def _sum_sql(term: str) -> str:
+    """Sum over the complete bands of a term in {a} and {c}; what is undefined adds nothing."""
+    return "(" + " + ".join(f"CASE WHEN f_{b} THEN coalesce({term.format(a=b, c=f'c_{b}')}, 0) ELSE 0 END" for b in NAMES) + ")"
+
+
+def _each_sql(pick: str, term: str) -> str:
+    return f"{pick}(" + ", ".join(f"CASE WHEN f_{b} THEN {term.format(a=b, c=f'c_{b}')} END" for b in NAMES) + ")"
+
+
+def _log_sql(v: str) -> str:
+    return f"ln(CASE WHEN {v} > 0 THEN {v} END)"
+
+
+GAP, LESS, MORE, PLUS = "abs({a} - {c})", "least({a}, {c})", "greatest({a}, {c})", "({a} + {c})"
+SQUARE, QUOTIENT = "({a} - {c}) * ({a} - {c})", "({a} / nullif({c}, 0))"
+
+
+def _over_sql(top: str, bottom: str) -> str:
+    return f"{_sum_sql(top)} / nullif({_sum_sql(bottom)}, 0)"
+
+
+ROOTS = _sum_sql("sqrt({a} * {c})")
+#: The distances in SQL, over the complete bands.
+XOIDS = {
+    "euclidean": f"sqrt({_sum_sql(SQUARE)})",
+    "minkowski": f"sqrt({_sum_sql(SQUARE)})",
+    "manhattan": _sum_sql(GAP),
+    "minimum": _each_sql("least", GAP),
+    "maximum": _each_sql("greatest", GAP),
+    "canberra": _sum_sql(f"{GAP} / nullif({PLUS}, 0)"),
+    "chi_square": _sum_sql(f"{SQUARE} / nullif({PLUS}, 0)"),
+    "wave_hedges": _sum_sql(f"{GAP} / nullif({MORE}, 0)"),
+    "harmonic_mean": "2 * " + _sum_sql(f"{{a}} * {{c}} / nullif({PLUS}, 0)"),
+    "hellinger": f"sqrt({_sum_sql('(sqrt({a}) - sqrt({c})) * (sqrt({a}) - sqrt({c}))')}) / sqrt(2)",
+    "bhattacharyya": "-" + _log_sql(ROOTS),
+    "jeffries_matusita": f"sqrt(CASE WHEN 2 - 2 * {ROOTS} >= 0 THEN 2 - 2 * {ROOTS} END)",
+    "kullback_leibler": _sum_sql("({a} - {c}) * " + _log_sql(QUOTIENT)),
+    "itakura_saito": _sum_sql(f"{QUOTIENT} - {_log_sql(QUOTIENT)} - 1"),
+    "jensen_shannon": _sum_sql(f"{{a}} * {_log_sql(f'(2 * {{a}} / nullif({PLUS}, 0))')} + {{c}} * {_log_sql(f'(2 * {{c}} / nullif({PLUS}, 0))')}"),
+    "gower": f"{_sum_sql(GAP)} / nullif({_sum_sql('1')}, 0)",
+    "motyka": _over_sql(LESS, PLUS),
+    "kulczynski": _over_sql(GAP, LESS),
+    "soergel": _over_sql(GAP, MORE),
+    "sorensen": _over_sql(GAP, PLUS),
+    "cosine": f"{_sum_sql('{a} * {c}')} / nullif(sqrt({_sum_sql('{a} * {a}')}) * sqrt({_sum_sql('{c} * {c}')}), 0)",
+}
+
+
+def _xoid_sql(centre: str, far: str) -> str:
     """Closest row to a centre over the complete bands, filled by the centre; rows equal in distance by time and item."""
-    terms = " + ".join(f"CASE WHEN f_{b} THEN {distance(b, f'c_{b}')} ELSE 0 END" for b in ("blue", "red", "nir"))
-    cs = ", ".join(f"{centre.format(b)} AS c_{b}, count({b}) = count(*) AS f_{b}" for b in ("blue", "red", "nir"))
-    picked = ", ".join(f"round(CASE WHEN n > 1 THEN coalesce({b}, c_{b}) ELSE {b} END, 5) AS {b}" for b in ("blue", "red", "nir"))
+    cs = ", ".join(f"{centre.format(b)} AS c_{b}, count({b}) = count(*) AS f_{b}" for b in NAMES)
+    picked = ", ".join(f"round(CASE WHEN n > 1 THEN coalesce({b}, c_{b}) ELSE {b} END, 5) AS {b}" for b in NAMES)
     return f"""WITH {G}, u AS (SELECT * FROM h WHERE coalesce(blue, red, nir) IS NOT NULL),
 s AS (SELECT x, y, count(*) AS n, {cs} FROM u GROUP BY x, y),
-d AS (SELECT u.*, s.* EXCLUDE (x, y), round({finish.format(terms)}, 9) AS far FROM u JOIN s USING (x, y)),
+d AS (SELECT u.*, s.* EXCLUDE (x, y), round({far}, 9) AS far FROM u JOIN s USING (x, y)),
 r AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY far, t, item) AS rn FROM d)
 SELECT x, y, {picked} FROM r WHERE rn = 1"""
 
 
 MEDIAN, Q40 = "quantile_cont({}, 0.5)", "quantile_cont({}, 0.4)"
-XOIDS = {
-    "euclidean": (lambda a, c: f"({a} - {c}) * ({a} - {c})", "sqrt({})"),
-    "manhattan": (lambda a, c: f"abs({a} - {c})", "{}"),
-    "canberra": (lambda a, c: f"coalesce(abs({a} - {c}) / nullif({a} + {c}, 0), 0)", "{}"),
-    "chi_square": (lambda a, c: f"coalesce(({a} - {c}) * ({a} - {c}) / nullif({a} + {c}, 0), 0)", "{}"),
-}
 
 
 def _medoid(name: str) -> None:
-    @add(f"reduce_medoid_{name}", _xoid_sql(MEDIAN, *XOIDS[name]))
+    @add(f"reduce_medoid_{name}", _xoid_sql(MEDIAN, XOIDS[name]))
     def _(spark, sf):
         return by_cell(reducers.medoid(_gaps(spark, sf), name), 5)
 
 
-for _name in XOIDS:
+for _name in DISTANCES:
     _medoid(_name)
 
 
-@add("reduce_quantoid", _xoid_sql(Q40, *XOIDS["euclidean"]))
+@add("reduce_quantoid", _xoid_sql(Q40, XOIDS["euclidean"]))
 def _(spark, sf):
     return by_cell(reducers.quantoid(_gaps(spark, sf), 0.4), 5)
 
 
-def _other_medoid(name: str) -> None:
-    @add(f"reduce_medoid_{name}")
-    def _(spark, sf):
-        return by_cell(reducers.medoid(_gaps(spark, sf), name), 5)
-
-
-for _name in DISTANCES:
-    if _name not in XOIDS:
-        _other_medoid(_name)
-
-
 @add("reduce_medoid_embedding", """WITH p AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings),
 m AS (SELECT label, k, quantile_cont(v, 0.5) AS c FROM p GROUP BY label, k),
 d AS (SELECT label, vec_id, round(sqrt(sum((v - c) * (v - c))), 7) AS far FROM p JOIN m USING (label, k) GROUP BY label, vec_id)
