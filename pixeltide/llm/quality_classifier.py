@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import batches
+from . import batches, shared
 from .exchange import NO_ID, Unit
 from .quality_rules import measure
 from .shingles import words
@@ -184,7 +184,10 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float
     ``docs`` has doc_id and text; ``labels`` has doc_id and toxic.
     """
     batches.small(docs)
-    judged = patterns(docs)
+    # documents are measured once: texts and patterns are a table in the shared folder, read by all that follows
+    path = shared.folder(docs.sparkSession, "judged")
+    patterns(docs).write.option("compression", "zstd").parquet(path)
+    judged = docs.sparkSession.read.parquet(path)
     counts = {r["pattern"]: r["n"] for r in judged.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 3**5 rows
     posterior, _ = estimate(counts)
     bucket = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
@@ -192,15 +195,13 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float
     if posterior:
         share = min(1.0, SAMPLE / sum(counts.values()))
         soft = F.create_map(*(x for k, v in posterior.items() for x in (F.lit(k), F.lit(v))))
-        picked = patterns(docs.filter(bucket < share * 1_000_000))
+        picked = judged.filter(bucket < share * 1_000_000)
         models["low_score"] = fit_linear(*_sample(picked.withColumn("target", F.element_at(soft, F.col("pattern")))))
     if labels is not None:
         known = labels.filter("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").alias("target"))
         share = min(1.0, LABELLED / max(known.count(), 1))
         few = known.filter(bucket < share * 1_000_000).orderBy("doc_id").limit(LABELLED)
-        joined = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most LABELLED rows of two numbers
-        rows = measure(joined, carry={"text": F.col("text"), "target": F.col("target")})
-        code = sum((v * F.lit(3**i) for i, v in enumerate(votes(rows))), F.lit(0)).cast("int")
-        models["toxic_score"] = fit_linear(*_sample(rows.select("text", code.alias("pattern"), "target")))
+        joined = judged.join(F.broadcast(few), "doc_id")  # at most LABELLED rows of two numbers
+        models["toxic_score"] = fit_linear(*_sample(joined))
     scored = _apply(judged, models)
     return scored.withColumn("kept", (F.col("low_score") < threshold) & (F.col("toxic_score") < toxic_threshold))
