@@ -114,6 +114,24 @@ def test_repeated_passages(spark, unit_bytes):
     assert substring_dedup.dedup(H.frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("unit_bytes", [8 << 20, 9000])
+def test_passages_whose_parts_earlier_documents_hold(spark, unit_bytes):
+    rng, rows, whole = random.Random(6), [], []
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for k in range(30):
+        passage = text(60 if k % 2 else 50)
+        for i in range(10):
+            n = 30 if i < 5 else 20
+            cut = rng.randrange(len(passage) - n + 1)
+            rows.append((100 * k + i, " ".join(text(40) + passage[cut : cut + n] + text(40))))
+        for i in (50, 51):
+            rows.append((100 * k + i, " ".join(text(30) + passage + text(30))))
+        whole.append((100 * k + 51, 100 * k + 50, len(passage)))
+    got = {r.doc_id: r for r in substring_dedup.dedup(H.frame(spark, rows), unit_bytes=unit_bytes).collect()}
+    assert [(i, got[i].first_source, got[i].n_repeated_words >= n) for i, _, n in whole] == [(i, s, True) for i, s, _ in whole]
+    assert sum(r.n_passages > 0 for r in got.values()) == len(whole)
+
+
 def test_language_model_beats_its_base(spark):
     out = [r for r in queries.op8_lm_score(spark, SF).collect() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
