@@ -7,6 +7,10 @@ or names were changed still matches; what stands in the slots must then be
 consistent: along one alignment of an item with a text, equal slot values of the
 item stand for equal values in the text, and different ones for different ones.
 
+Case must not hide a leak, so a text has three templates, and windows of each count:
+names inside sentences as placeholders; lower-cased words only; and all capitalised
+words as placeholders, sentences' first ones too, in windows that are mostly words.
+
 An item counts as leaked into a document when the windows that agree cover at
 least ``coverage`` of the item's windows.
 
@@ -86,7 +90,10 @@ _UNIT_HASHES = np.sort(
 class Template:
     """Template tokens of some texts: token, raw hash (what fills a slot), document and, by document, first token."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], kind: str = "inner"):
+        self.texts, self.kind = texts, kind
+        if kind == "lower":
+            texts = [t and t.lower() for t in texts]
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         joined = b"\n".join(raw) + b"\n"  # a line break ends a token and starts a sentence
         buf = np.frombuffer(joined, np.uint8)
@@ -117,7 +124,9 @@ class Template:
         unit = np.concatenate([[False], digit[:-1] & (doc[1:] == doc[:-1])]) if len(start) else np.zeros(0, bool)
         unit &= np.isin(hashes, _UNIT_HASHES)
         token = hashes.copy()
-        token[upper & ~sentence] = NAME
+        token[upper if kind == "every" else upper & ~sentence] = NAME
+        if kind == "lower":
+            token = hashes.copy()
         token[unit] = UNIT
         token[digit] = NUMBER
         self.token, self.raw, self.doc, self.n = token, hashes, doc, len(raw)
@@ -128,6 +137,9 @@ class Template:
         if n < 1:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.doc[:n] == self.doc[size - 1 :])
+        if self.kind == "every":
+            literal = np.concatenate([[0], np.cumsum(self.token > NAME)])
+            at = at[2 * (literal[at + size] - literal[at]) > size]
         total = sum(self.token[i : n + i] * _STEP[i] for i in range(size))
         return at, mix(total[at], size)
 
@@ -142,9 +154,10 @@ def _slots_agree(item: Template, q: np.ndarray, text: Template, p: np.ndarray) -
 class Index:
     """A block of the benchmark: window hashes of each window size, with item and place."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], window: int, least: int):
+    def __init__(self, ids: list[int], texts: list[str | None], window: int, least: int, kind: str = "inner"):
         self.ids, self.window = ids, window
-        self.template = Template(texts)
+        self.template = Template(texts, kind)
+        self.others = [Index(ids, texts, window, least, k) for k in ("lower", "every")] if kind == "inner" else []
         count = np.bincount(self.template.doc, minlength=len(ids))
         self.first = np.cumsum(count) - count
         self.windows = np.where(count >= least, np.maximum(count - window + 1, 1), 0)
@@ -160,6 +173,21 @@ class Index:
 
     def leaks(self, text: Template, coverage: float) -> list[tuple[int, int, int, int, int]]:
         """(document, item, windows that agree, windows of the item, slots) of each leak."""
+        agreed: dict[tuple[int, int], set[int]] = defaultdict(set)
+        slots: dict[tuple[int, int], int] = defaultdict(int)
+        for index in (self, *self.others):
+            kind = index.template.kind
+            for pair, starts, n in index.agreeing(text if kind == text.kind else Template(text.texts, kind)):
+                agreed[pair].update(starts)
+                slots[pair] = max(slots[pair], n)
+        return [
+            (doc, item, len(s), int(self.windows[item]), slots[doc, item])
+            for (doc, item), s in agreed.items()
+            if len(s) >= coverage * self.windows[item]
+        ]
+
+    def agreeing(self, text: Template) -> list[tuple[tuple[int, int], list[int], int]]:
+        """(document and item, first tokens of windows that agree in the item, slots) of each alignment."""
         found: dict[tuple[int, int, int], list[int]] = defaultdict(list)
         size_of: dict[int, int] = {}
         for size, hashes, places, bits in self.tables:
@@ -172,18 +200,13 @@ class Index:
                     item = int(self.template.doc[q])
                     size_of[item] = size
                     found[int(text.doc[p]), item, p - q].append(q)
-        agreed: dict[tuple[int, int], set[int]] = defaultdict(set)
-        slots: dict[tuple[int, int], int] = defaultdict(int)
+        out = []
         for (doc, item, shift), starts in found.items():
             q = np.unique(np.add.outer(np.array(starts), np.arange(size_of[item])).ravel())
             if _slots_agree(self.template, q, text, q + shift):
-                agreed[doc, item].update(starts)
-                slots[doc, item] = max(slots[doc, item], int((self.template.token[q] <= NAME).sum()))
-        return [
-            (doc, item, len(s), int(self.windows[item]), slots[doc, item])
-            for (doc, item), s in agreed.items()
-            if len(s) >= coverage * self.windows[item]
-        ]
+                first = int(self.first[item])
+                out.append(((doc, item), [a - first for a in starts], int((self.template.token[q] <= NAME).sum())))
+        return out
 
 
 LEAKS_SQL = "doc_id long, item_id long, n_matched long, n_windows long, n_slots long"

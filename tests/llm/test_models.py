@@ -70,6 +70,17 @@ def test_slots_must_be_consistent():
         assert len(index.leaks(decontaminate.Template([text]), 0.9)) == found
 
 
+def test_case_and_names_that_open_sentences_hide_no_leak():
+    items = [
+        "Tom has 3 apples and buys 4 kg more at the café near Österby in Paris, how many apples does Tom have now?",
+        "Tom has 3 red apples. Tom buys 4 more apples. Tom eats 2 of them. How many apples are left?",
+    ]
+    texts = [t for i in items for t in (i.lower(), i.upper())] + [items[1].replace("Tom", "Anna").replace("3", "7")]
+    texts += ["ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE TEN ELEVEN TWELVE"]
+    got = decontaminate.Index([1, 2], items, 8, 4).leaks(decontaminate.Template(texts), 0.5)
+    assert {(d, i) for d, i, *_ in got} == {(0, 0), (1, 0), (2, 1), (3, 1), (4, 1)}
+
+
 def test_decontamination_against_containment(spark):
     must = duckdb.sql(f"SELECT DISTINCT d.doc_id, b.item_id FROM '{SF}/documents.parquet' d JOIN '{SF}/benchmark.parquet' b ON contains(d.text, b.text)").fetchall()
     got = {(r.doc_id, r.item_id) for r in queries.op6_decontaminate(spark, SF).collect()}
