@@ -1,4 +1,7 @@
-"""Arrow batches cut by size of text, so that memory stays bounded whatever the texts' lengths."""
+"""Arrow batches cut by size of text, so that memory stays bounded whatever the texts' lengths.
+
+What arrives is bounded by the session's own limits on rows and bytes of a batch.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +9,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
 
 from .exchange import release
 
 
-#: Rows of an Arrow batch in sessions that leave Spark's default, which is meant for short rows.
-ROWS = "1000"
-_SETTING, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-
-
-def small(df: DataFrame) -> None:
-    """Smaller Arrow batches for this session, unless it has a size of its own: texts are long rows."""
-    conf = df.sparkSession.conf
-    if conf.get(_SETTING, _DEFAULT) == _DEFAULT:
-        conf.set(_SETTING, ROWS)
-
-
 def by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``most`` bytes of text each, one row at least.
 

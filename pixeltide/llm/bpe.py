@@ -240,7 +240,6 @@ def round_trip(
                 columns.append(pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded", "text"][: len(columns)])
 
-    batches.small(docs)
     two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return two.mapInArrow(run, "doc_id long, ids binary, decoded binary" + ", text string" * keep_text)
 
@@ -257,7 +256,6 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 [batch.column(0), pa.array(arrays, pa.list_(pa.int32()))], names=["doc_id", "ids"]
             )
 
-    batches.small(docs)
     two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return two.mapInArrow(run, "doc_id long, ids array<int>")
 

@@ -2,7 +2,8 @@
 
 Each round points every node's larger neighbours to its smallest one and then
 its smaller neighbours too (large star, small star); the rounds, logarithmic in
-the longest path, end when no link changes.  Links live in tables throughout; a
+the longest path, end when no link changes.  No node's links are gathered: edges of
+nodes of high degree meet their minimum by a broadcast of bounded size.  Links live in tables throughout; a
 round's links are checkpointed in the session's shared folder, so lost executors
 cost one round at most.
 """
@@ -12,30 +13,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import batches
+from .shared import ensure_checkpoints
 
 
-def ensure_checkpoints(df: DataFrame) -> None:
-    """Sets a checkpoint folder only where the session names none (tests), and small Arrow batches."""
-    batches.small(df)
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
+def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """Edges (a, c) with the ``m`` of their ``a`` in ``least`` (a, m, degree).
 
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    A node of high degree would put all of its edges into one task.  There are at most
+    2 * 1000 nodes of more than n / 1000 of n links' ends, so those are broadcast, and
+    their edges stay where they are.
+    """
+    high = max(100, n // 1000)
+    hubs = least.filter(F.col("degree") > high).select(F.col("a").alias("hub"), F.col("m").alias("hub_m"))  # 2000 rows at most
+    marked = edges.join(F.broadcast(hubs), F.col("a") == F.col("hub"), "left")
+    hot = marked.filter("hub is not null").select("a", "c", F.col("hub_m").alias("m"))
+    cold = marked.filter("hub is null").select("a", "c").join(least.filter(F.col("degree") <= high).select("a", "m"), "a")
+    return hot.unionByName(cold.select("a", "c", "m"))
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, n: int) -> DataFrame:
     """links (a > c): to each node's smallest neighbour go its larger ones, or itself and its smaller ones."""
+    smallest = (F.min("c").alias("m"), F.count("*").alias("degree"))
     if large:
         both = links.unionByName(links.select(F.col("c").alias("a"), F.col("a").alias("c")))
-        least = both.groupBy("a").agg(F.min("c").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return both.join(least, "a").filter("c > a").select(F.col("c").alias("a"), F.col("m").alias("c")).distinct()
-    least = links.groupBy("a").agg(F.min("c").alias("m"))
-    joined = links.join(least, "a")
+        least = both.groupBy("a").agg(*smallest).select("a", F.least("a", "m").alias("m"), "degree")
+        return _with_least(both, least, n).filter("c > a").select(F.col("c").alias("a"), F.col("m").alias("c")).distinct()
+    least = links.groupBy("a").agg(*smallest)
     own = least.select("a", F.col("m").alias("c"))
-    return joined.filter("c > m").select(F.col("c").alias("a"), F.col("m").alias("c")).unionByName(own).distinct()
+    return _with_least(links, least, n).filter("c > m").select(F.col("c").alias("a"), F.col("m").alias("c")).unionByName(own).distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -45,10 +50,10 @@ def connected(links: DataFrame) -> DataFrame:
     digest = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "c").cast("decimal(20,0)"))).first()
-        if seen == digest:
+        if seen == digest or not seen[0]:
             break
         digest = seen
-        now = _star(_star(now, True), False).checkpoint()
+        now = _star(_star(now, True, seen[0]), False, seen[0]).checkpoint()
     return now.select(F.col("a").alias("node"), F.col("c").alias("component")).unionByName(
         now.select(F.col("c").alias("node"), F.col("c").alias("component")).distinct()
     )

@@ -231,7 +231,6 @@ def leaks(
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK,
 ) -> DataFrame:
     """One row per document and item that leaked into it: doc_id, item_id, n_matched, n_windows, n_slots."""
-    batches.small(docs)
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     out = None
     for ids, texts in _blocks(benchmark, item_col, item_text, block):
@@ -259,7 +258,6 @@ def clean(
     text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK,
 ) -> DataFrame:
     """The rows of ``docs`` into which no item leaked, with all their columns: a narrow filter."""
-    batches.small(docs)
     out = docs
     for ids, texts in _blocks(benchmark, item_col, item_text, block):
 

@@ -13,45 +13,70 @@ partner in at most ``bound(n)``, so they agree in at least
 ``nonempty blocks - bound(n)`` nonempty blocks (pigeonhole).  Sets for which that
 is no positive number also make sketches under further seeds, until one is found
 that works for them; a pair is met under the first seed that works for either.
+Sets for which no seed works (similarities of about a half or less, where sets may
+differ in as many shingles as they have) meet by their single shingles, of which
+partners share at least ``percent`` hundredths.
 
 *Pruning without loss.*  A set that shares fewer blocks with others than that
 number has no partner.  The others join on their rarest blocks only, as many as
 must contain a common one.
 
 *Skew.*  Equal sets are one class before anything is joined.  The members of a
-block are not paired: each set is verified against one centre, the smallest set
-that it shares most blocks with, and in some more rounds against one random member
+block are neither paired nor gathered: units merge what they say of a block, and
+buckets answer with one member.  Each set is verified against one centre, the first
+set of most of its blocks, and in some more rounds against one random member
 of another component.  Pairs that such links do not connect are then compared
 within blocks, less those that the triangle inequality of the Jaccard distance
 over a common centre excludes: the Hamming distance of their sketches, of four
 bits or more per shingle, bounds the difference of the sets from below, and only
-pairs that it allows leave the block for exact verification.
+pairs that it allows leave the block for exact verification.  For that step a block
+of h sets is cut into ceil(h / ``TILE``) parts, and each pair of parts is a tile of
+its own, so no task compares more than a tile at a time.
 
 Defined results: a null or empty text has no shingle and stays alone; a text
 with fewer words than a shingle has one shingle, its whole sequence; rows that
-share an id are joined as one document each and give a row each; null ids come
-back null; an empty table gives an empty table.  Other columns are ignored.
+share an id are one document each for links and one node of the components, whatever
+their texts, and give a row each; a row with a null id is a document of its own,
+its id comes back null, and so does its component where no id is in it; texts of any
+length are whole; an empty table gives an empty table.  Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .components import connected, ensure_checkpoints
+from .components import connected
+from .shared import ensure_checkpoints
 from .shingles import mix, sets, shingles, words
 
 WORDS, PERCENT = 5, 75
-#: Blocks per shingle of a band's largest set.
-DENSITY = 0.42
+#: Nonempty blocks for each shingle in which sets may differ, about.
+MARGIN = 1.1435
+#: Seeds before sets meet by their single shingles.
+SEEDS = 8
 EMPTY = np.uint64(0)
 #: Rounds in which sets are verified against one more member of their blocks before pairs are formed.
 ROUNDS = 1
-#: Contested documents for each bucket of the last step.
-PER_BUCKET = 1000
+#: Contested documents for each bucket of the last step, and members of a part of a block there.
+PER_BUCKET, TILE = 1000, 2000
+
+
+def density(percent: int) -> float:
+    """Blocks per shingle of a band's largest set: as many as leave ``MARGIN`` times the bound nonempty."""
+    want = min(MARGIN * (100 - percent) / percent, 0.95)
+    low, high = 1e-3, 16.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if mid * (1 - math.exp(-1 / mid)) < want else (low, mid)
+    return high
 
 
 def bands(percent: int, largest: int) -> np.ndarray:
@@ -76,6 +101,7 @@ def sketch_keys(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, perce
     out_key, out_group, group_set, group_least = [], [], [], []
     edges = bands(percent, int(sizes.max(initial=1)))
     band = np.searchsorted(edges, sizes, side="right") - 1
+    each = density(percent)
     n_groups = 0
     for upper in (0, 1):  # as the lower band of (b, b+1), then as the upper band of (b-1, b)
         todo = np.flatnonzero((sizes > 0) & (band >= upper))
@@ -83,35 +109,42 @@ def sketch_keys(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, perce
         while len(todo):  # each further seed works for most of the sets that are left
             low = band[todo] - upper
             top = edges[low + 1] - 1  # the largest set of the lower band
-            blocks = np.ceil(DENSITY * top).astype(np.int64) + 1
             n = sizes[todo]
             most = np.minimum(n * 100 // percent, edges[low + 2] - 1) if not upper else np.minimum(n, top)
             apart = bound(n, most, percent)
+            if seed < SEEDS:
+                blocks = np.ceil(each * top).astype(np.int64) + 1
             total = int(n.sum())
             inner = np.cumsum(n) - n
             h = hashes[np.arange(total) + np.repeat(starts[todo] - inner, n)]
-            if seed:
-                h = mix(h, seed)
-            block = ((h >> np.uint64(32)) * np.repeat(blocks, n).astype(np.uint64)) >> np.uint64(32)
             place = np.repeat(np.arange(len(todo)), n)
-            if seed:  # under seed 0 sorted hashes have sorted blocks
-                order = np.lexsort((block, place))
-                h, block, place = h[order], block[order], place[order]
-            cut = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (place[1:] != place[:-1])]))
-            bit = mix(h & np.uint64(0xFFFFFF), 3)  # the random word of the bit that a shingle flips
-            parity = np.bitwise_xor.reduceat(bit, cut)
-            filled = parity != EMPTY
-            cut, parity = cut[filled], parity[filled]
-            of = place[cut]
-            key = mix(parity ^ mix((block[cut] << np.uint64(24)) | (low[of].astype(np.uint64) << np.uint64(8)) | np.uint64(seed % 256), 4))
-            least = np.bincount(of, minlength=len(todo)) - apart
+            if seed < SEEDS:
+                if seed:
+                    h = mix(h, seed)
+                block = ((h >> np.uint64(32)) * np.repeat(blocks, n).astype(np.uint64)) >> np.uint64(32)
+                if seed:  # under seed 0 sorted hashes have sorted blocks
+                    order = np.lexsort((block, place))
+                    h, block, place = h[order], block[order], place[order]
+                cut = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (place[1:] != place[:-1])]))
+                bit = mix(h & np.uint64(0xFFFFFF), 3)  # the random word of the bit that a shingle flips
+                parity = np.bitwise_xor.reduceat(bit, cut)
+                filled = parity != EMPTY
+                cut, parity = cut[filled], parity[filled]
+                of = place[cut]
+                what = block[cut]
+                least = np.bincount(of, minlength=len(todo)) - apart
+            else:
+                of, parity, what = place, mix(h, 5), np.zeros(total, np.uint64)
+                least = -(-n * percent // 100)
+            key = mix(parity ^ mix((what << np.uint64(24)) | (low[of].astype(np.uint64) << np.uint64(8)) | np.uint64(seed), 4))
             out_key.append(key)
             out_group.append(of + n_groups)
             group_set.append(todo)
             group_least.append(np.maximum(least, 1))
             n_groups += len(todo)
+            # a seed can only work where a set has more shingles than it may differ in
             todo = todo[least < 1]
-            seed += 1
+            seed = seed + 1 if (n > apart).any() else max(seed + 1, SEEDS)
     if not out_key:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
@@ -139,6 +172,7 @@ class _Sets:
         _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         self.lead = first[inverse]
         self.own = full[self.lead[full] == full]
+        self.names = keys
         self.set_keys = keys[self.own]
 
     def sketches(self, percent: int, keep: np.ndarray | None = None):
@@ -147,89 +181,82 @@ class _Sets:
         return key, group, own[of] if len(of) else of, least
 
 
-_ASK = pa.schema([("unit", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("more", pa.binary())])
-_ASK_SQL = "unit int, bucket int, kind int, keys binary, more binary"
-_SAY = pa.schema([("unit", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
-_SAY_SQL = "unit int, bucket int, kind int, blob binary"
-#: kinds of the asked facts
-_BLOCKS, _NAMES = 0, 1
+#: What units say: sets that hold a key; or, of a set's name (its other bits are ``rest``), their own number.
+_ASKED, _SAID = np.dtype([("n", "<u4"), ("unit", "<u4"), ("rest", "<u2")]), np.dtype([("n", "<u4"), ("unit", "<u4")])
 
 
-def _ask(rows: pa.Table, size: int, percent: int, buckets: int) -> pa.Table:
-    own, unit = _Sets(rows, size, percent), rows["unit"][0].as_py()
-    out = []
+def _count(facts: X.Facts) -> tuple[X.Facts, np.ndarray]:
+    keys, which = X.by_key(facts.keys | facts.values["rest"])
+    out = np.zeros(len(keys), _ASKED)
+    out["n"] = np.minimum(np.bincount(which, facts.values["n"], len(keys)), 2**32 - 1)
+    unit = np.full(len(keys), 2**32 - 1, np.uint32)
+    np.minimum.at(unit, which, facts.values["unit"])
+    out["unit"], out["rest"] = unit, (keys & np.uint64(0xFFFF)).astype(np.uint16)
+    return X.Facts(keys, out), which
+
+
+def _held(facts: X.Facts) -> np.ndarray:
+    out = np.empty(len(facts.keys), _SAID)
+    out["n"], out["unit"] = facts.values["n"], facts.values["unit"]
+    return out
+
+
+_BLOCKS = X.Talk(_ASKED, _SAID, _count, _held, bits=48)
+
+
+def _first_facts(own: _Sets, number: int, keys: np.ndarray) -> tuple[X.Facts, np.ndarray, np.ndarray]:
+    """Facts of a unit's block keys and set names, and the places of both in them."""
+    high = np.uint64(0xFFFFFFFFFFFF0000)
+    block, count = np.unique(keys & high, return_counts=True)
+    values = np.zeros(len(block) + len(own.own), _ASKED)
+    values["n"][: len(block)] = count
+    values["unit"] = np.concatenate([np.full(len(block), 2**32 - 1), np.full(len(own.own), number)])
+    values["rest"][len(block) :] = (own.set_keys & np.uint64(0xFFFF)).astype(np.uint16)
+    every = np.concatenate([block, own.set_keys & high])
+    order = np.argsort(every, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return X.Facts(every[order], values[order]), place[: len(block)][np.searchsorted(block, keys & high)], place[len(block) :]
+
+
+def _ask(rows: pa.Table, size: int, percent: int, routes: int) -> pa.Table:
+    own, number = _Sets(rows, size, percent), rows["unit"][0].as_py()
     key, *_ = own.sketches(percent)
-    key, count = np.unique(key, return_counts=True)
-    count = np.minimum(count, 65535).astype("<u2")
-    for b, i, j in X.cuts(X.bucket_of(key, buckets).astype(np.int64)):
-        out.append((unit, b, _BLOCKS, (key[i:j] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), X.squeeze(count[i:j])))
-    order = np.argsort(own.set_keys)
-    names, ids = own.set_keys[order], own.unit.ids[own.own[order]]
-    for b, i, j in X.cuts(X.bucket_of(names, buckets).astype(np.int64)):
-        out.append((unit, b, _NAMES, names[i:j].astype("<u8").tobytes(), X.squeeze(ids[i:j].astype("<i8"))))
-    return X.table(out, _ASK)
-
-
-def _answer(rows: pa.Table) -> pa.Table:
-    """Sets that hold each asked block; smallest document of each asked name."""
-    out, bucket = [], rows["bucket"][0].as_py()
-    columns = [rows[c].to_pylist() for c in ("unit", "kind", "keys", "more")]
-    for kind, key_type, more_type in ((_BLOCKS, "<u4", "<u2"), (_NAMES, "<u8", "<i8")):
-        mine = [(u, k, m) for u, what, k, m in zip(*columns, strict=True) if what == kind]
-        if not mine:
-            continue
-        keys = [np.frombuffer(k, key_type) for _, k, _ in mine]
-        more = np.concatenate([X.expand(m, more_type) for _, _, m in mine])
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        if kind == _BLOCKS:
-            said = np.minimum(np.bincount(inverse, weights=more), 2**32 - 1)[inverse].astype("<u4")
-        else:
-            least = np.full(int(inverse.max()) + 1, X.NO_ID, np.int64)
-            np.minimum.at(least, inverse, more)
-            said = least[inverse].astype("<i8")
-        at = 0
-        for (u, _, _), k in zip(mine, keys, strict=True):
-            out.append((u, bucket, kind, X.squeeze(said[at : at + len(k)])))
-            at += len(k)
-    return X.table(out, _SAY)
+    facts, *_ = _first_facts(own, number, key)
+    return X.table(X.sent(facts, number, routes, _BLOCKS), X.SENT)
 
 
 _BASE = pa.schema(
-    [("kind", pa.int32()), ("unit", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("lead", pa.int64()), ("blob", pa.binary())]
+    [("kind", pa.int32()), ("unit", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("blob", pa.binary())]
 )
-_BASE_SQL = "kind int, unit int, doc_id long, n long, lead long, blob binary"
-#: kinds of the base rows: every document, a candidate's set, a unit's candidate keys
-_DOC, _SET, _KEYS = 0, 1, 2
+_BASE_SQL = "kind int, unit int, doc_id long, n long, name long, blob binary"
+#: kinds of the base rows: every document, a candidate's set, a unit's candidate keys, two sets of one id
+_DOC, _SET, _KEYS, _SAME = 0, 1, 2, 3
 
 
-def _candidates(rows: pa.Table, said: pa.Table, size: int, percent: int, buckets: int) -> pa.Table:
+def _candidates(rows: pa.Table, said: pa.Table, size: int, percent: int) -> pa.Table:
     if not rows.num_rows:
         return _BASE.empty_table()
     own, number = _Sets(rows, size, percent), rows["unit"][0].as_py()
     ids = own.unit.ids
-
-    def told(kind: int, dtype) -> np.ndarray:
-        blobs = sorted((b, x) for b, k, x in zip(*(said[c].to_pylist() for c in ("bucket", "kind", "blob")), strict=True) if k == kind)
-        return np.concatenate([X.expand(x, dtype) for _, x in blobs]) if blobs else np.zeros(0, dtype)
-
-    lead = ids.copy()
-    first = np.zeros(len(own.own), np.int64)
-    order = np.argsort(own.set_keys)
-    if len(order):
-        first[order] = told(_NAMES, "<i8")
-        by_doc = np.full(len(ids), X.NO_ID, np.int64)
-        by_doc[own.own] = first
-        full = own.sizes > 0
-        lead[full] = by_doc[own.lead[full]]
-    out = [(_DOC, number, i, n, a, None) for i, n, a in zip(ids.tolist(), own.sizes.tolist(), lead.tolist(), strict=True)]
     key, group, group_set, least = own.sketches(percent)
+    facts, at_key, at_name = _first_facts(own, number, key)
+    answers = X.told(said, _BLOCKS, facts)
+    names = own.names.view(np.int64)
+    full = own.sizes > 0
+    out = [
+        (_DOC, number, None if i == X.NO_ID else i, n, a if n else None, None)
+        for i, n, a in zip(ids.tolist(), own.sizes.tolist(), names.tolist(), strict=True)
+    ]
+    # documents are ordered by id: different sets of one id are neighbours, but for empty ones
+    some = np.flatnonzero(full & (ids != X.NO_ID))
+    same = np.flatnonzero((ids[some][1:] == ids[some][:-1]) & (names[some][1:] != names[some][:-1]))
+    out += [(_SAME, number, a, None, b, None) for a, b in zip(names[some][same].tolist(), names[some][same + 1].tolist(), strict=True)]
     if len(key):
-        every, inverse = np.unique(key, return_inverse=True)
-        held = told(_BLOCKS, "<u4")[inverse].astype(np.int64)
-        del every, inverse
-        # only one document stands for equal sets of all units
+        held = answers["n"][at_key].astype(np.int64)
+        # one unit alone stands for equal sets of all units
         leads = np.zeros(len(ids), bool)
-        leads[own.own] = first == ids[own.own]
+        leads[own.own] = answers["unit"][at_name] == number
         n_groups = len(group_set)
         shared = np.bincount(group, weights=held > 1, minlength=n_groups)
         alive = ((shared >= least) & leads[group_set])[group]
@@ -239,46 +266,135 @@ def _candidates(rows: pa.Table, said: pa.Table, size: int, percent: int, buckets
         rank = np.arange(len(order)) - np.repeat(np.cumsum(number_of) - number_of, number_of)
         g = group[order]
         take = (rank <= number_of[g] - least[g]) & (held[order] > 1)
-        key, doc = key[order][take], group_set[g[take]]
+        key, doc, held = key[order][take], group_set[g[take]], held[order][take]
         if len(key):
             who = np.unique(doc)
             local = np.searchsorted(who, doc)
             by = np.argsort(key, kind="stable")
-            head = np.array([len(who), len(key)], "<i8").tobytes()
-            blob = X.squeeze(np.frombuffer(
-                head + ids[who].astype("<i8").tobytes() + own.sizes[who].astype("<i8").tobytes() + key[by].astype("<u8").tobytes() + local[by].astype("<u4").tobytes(), np.uint8
-            ))
+            blob = _packed(names[who], own.sizes[who], key[by], local[by], held[by])
             out.append((_KEYS, number, None, None, None, blob))
             for w in who.tolist():
                 a = own.starts[w]
-                out.append((_SET, number, int(ids[w]), int(own.sizes[w]), None, X.pack40(own.hashes[a : a + own.sizes[w]] >> np.uint64(24))))
+                out.append((_SET, number, None, int(own.sizes[w]), int(names[w]), own.hashes[a : a + own.sizes[w]].astype("<u8").tobytes()))
     return X.table(out, _BASE)
 
 
-def _open_keys(blob: bytes):
-    raw = X.expand(blob, np.uint8).tobytes()
-    n_docs, n_keys = np.frombuffer(raw, "<i8", 2).tolist()
-    ids = np.frombuffer(raw, "<i8", n_docs, 16)
-    sizes = np.frombuffer(raw, "<i8", n_docs, 16 + 8 * n_docs)
-    key = np.frombuffer(raw, "<u8", n_keys, 16 + 16 * n_docs)
-    local = np.frombuffer(raw, "<u4", n_keys, 16 + 16 * n_docs + 8 * n_keys).astype(np.int64)
-    return ids, sizes, key, local
+_WHO, _KEY = np.dtype([("name", "<i8"), ("n", "<i8")]), np.dtype([("key", "<u8"), ("local", "<u4"), ("held", "<u4")])
+
 
+def _packed(names: np.ndarray, sizes: np.ndarray, key: np.ndarray, local: np.ndarray, held: np.ndarray) -> bytes:
+    who, keys = np.empty(len(names), _WHO), np.empty(len(key), _KEY)
+    who["name"], who["n"] = names, sizes
+    keys["key"], keys["local"], keys["held"] = key, local, np.minimum(held, 2**32 - 1)
+    head = np.array([len(who), len(keys)], "<i8").tobytes()
+    return X.squeeze(np.frombuffer(head + who.tobytes() + keys.tobytes(), np.uint8))
 
-#: Per document of a block: id, size, label, centre, distance to the centre (16 bits).
-_FACTS = np.dtype([("id", "<i8"), ("n", "<i8"), ("label", "<i8"), ("centre", "<i8"), ("far", "<f4")])
 
+class _Members:
+    """A unit's candidate sets and their keys, in order of the keys; and what is known of the sets so far."""
 
-def _send(facts: np.ndarray, key: np.ndarray, local: np.ndarray, buckets: int, sketches: list[bytes] | None = None) -> list[tuple]:
-    """Packed rows of one unit for the buckets of its keys: the documents' facts, the keys and, if given, sketches."""
+    def __init__(self, blob: bytes, known: pa.Table | None = None):
+        raw = X.expand(blob, np.uint8).tobytes()
+        n_who, n_keys = np.frombuffer(raw, "<i8", 2).tolist()
+        who = np.frombuffer(raw, _WHO, n_who, 16)
+        keys = np.frombuffer(raw, _KEY, n_keys, 16 + n_who * _WHO.itemsize)
+        self.name, self.n = who["name"], who["n"]
+        self.key, self.local, self.held = keys["key"], keys["local"].astype(np.int64), keys["held"].astype(np.int64)
+        if known is None:
+            return
+        order = np.argsort(self.name)
+        own = np.array(known["d"].to_pylist(), np.int64)
+        place = order[np.minimum(np.searchsorted(self.name, own, sorter=order), len(order) - 1)]
+        self.chosen = np.zeros(n_who, bool)
+        self.chosen[place] = True
+        self.label, self.centre, self.far = np.zeros(n_who, np.int64), np.zeros(n_who, np.int64), np.zeros(n_who, np.float32)
+        self.label[place] = known["l"].to_pylist()
+        self.centre[place] = known["centre"].to_pylist()
+        self.far[place] = known["far"].to_pylist()
+        self.told, self.place = known, place
+
+
+#: Of a block: one of its sets, the one that comes first in some order, with what is known of it; and its extreme labels.
+_HEAD = np.dtype([("turn", "<u8"), ("name", "<i8"), ("n", "<i8"), ("label", "<i8"), ("centre", "<i8"), ("far", "<f4"), ("low", "<i8"), ("high", "<i8")])
+
+
+def _heads(facts: X.Facts) -> tuple[X.Facts, np.ndarray]:
+    keys, which = X.by_key(facts.keys)
+    order = np.lexsort((facts.values["turn"], which))
+    lead = order[np.flatnonzero(np.concatenate([[True], which[order][1:] != which[order][:-1]]))] if len(order) else order
+    out = facts.values[lead].copy()
+    for name, least in (("low", np.minimum), ("high", np.maximum)):
+        held = out[name].copy()
+        least.at(held, which, facts.values[name])
+        out[name] = held
+    return X.Facts(keys, out), which
+
+
+_CENTRES = X.Talk(_HEAD, _HEAD, _heads, lambda facts: facts.values, bits=64)
+
+
+def _block_facts(m: _Members, salt: int) -> tuple[X.Facts, np.ndarray]:
+    """For each key of a unit its first set in the order of ``salt``, and the place of each member's key."""
+    values = np.zeros(len(m.key), _HEAD)
+    values["turn"] = mix(m.name.view(np.uint64), salt)[m.local]
+    values["name"], values["n"] = m.name[m.local], m.n[m.local]
+    if hasattr(m, "label"):
+        values["label"] = values["low"] = values["high"] = m.label[m.local]
+        values["centre"], values["far"] = m.centre[m.local], m.far[m.local]
+    return _heads(X.Facts(m.key, values))
+
+
+def _most_common(m: _Members, head: np.ndarray, ok: np.ndarray) -> pa.Table:
+    """For each set the head of most of its blocks, of those that may be a partner."""
+    pairs, count = np.unique(np.stack([m.name[m.local[ok]], head["name"][ok]], 1), axis=0, return_counts=True)
+    order = np.lexsort((pairs[:, 1], -count, pairs[:, 0]))
+    pairs = pairs[order]
+    first = np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]]) if len(pairs) else np.zeros(0, bool)
+    return pa.Table.from_arrays([pa.array(pairs[first, 0], pa.int64()), pa.array(pairs[first, 1], pa.int64())], names=["a", "c"])
+
+
+def _says(rows: pa.Table, known: pa.Table | None, salt: int, routes: int) -> pa.Table:
     out = []
-    for b, i, j in X.cuts(X.bucket_of(key, buckets).astype(np.int64)):
-        who, place = np.unique(local[i:j], return_inverse=True)
-        head = np.array([len(who), j - i], "<i8").tobytes()
-        more = b"".join(sketches[w] for w in who.tolist()) if sketches else b""
-        raw = head + facts[who].tobytes() + key[i:j].tobytes() + place.astype("<u4").tobytes() + more
-        out.append((b, X.squeeze(np.frombuffer(raw, np.uint8))))
-    return out
+    for unit, blob in zip(rows["unit"].to_pylist(), rows["blob"].to_pylist(), strict=True):
+        facts, _ = _block_facts(_Members(blob, known), salt)
+        out += X.sent(facts, unit, routes, _CENTRES)
+    return X.table(out, X.SENT)
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("c", pa.int64())])
+
+
+def _vote(rows: pa.Table, said: pa.Table, salt: int) -> pa.Table:
+    """Per set the centre that it shares most blocks with."""
+    if not rows.num_rows:
+        return _PAIRS.empty_table()
+    m = _Members(rows["blob"][0].as_py())
+    facts, which = _block_facts(m, salt)
+    head = X.told(said, _CENTRES, facts)[which]
+    return _most_common(m, head, head["name"] != m.name[m.local])
+
+
+_OFFERS = pa.schema([("contested", pa.bool_()), ("a", pa.int64()), ("c", pa.int64())])
+
+
+def _offer(rows: pa.Table, both: pa.Table, salt: int, percent: int) -> pa.Table:
+    """Per set one member of its blocks with another label that may be a partner; and the sets of blocks of several labels."""
+    if not rows.num_rows:
+        return _OFFERS.empty_table()
+    known, said = both.filter(pc.is_valid(both["d"])), both.filter(pc.is_valid(both["route"]))
+    m = _Members(rows["blob"][0].as_py(), known)
+    facts, which = _block_facts(m, salt)
+    head = X.told(said, _CENTRES, facts)[which]
+    n, label = m.n[m.local], m.label[m.local]
+    small, large = np.minimum(n, head["n"]), np.maximum(n, head["n"])
+    limit = np.float32(1 - percent / 100 + 1e-5)
+    apart = (head["centre"] == m.centre[m.local]) & (np.abs(m.far[m.local] - head["far"]) > limit)
+    offers = _most_common(m, head, (head["label"] != label) & (small * 100 >= large * percent) & ~apart)
+    contested = np.unique(m.name[m.local[head["low"] != head["high"]]])
+    return pa.concat_tables([
+        pa.Table.from_arrays([pa.array([False] * offers.num_rows, pa.bool_()), *offers.columns], schema=_OFFERS),
+        pa.Table.from_arrays([pa.array([True] * len(contested), pa.bool_()), pa.array(contested), pa.nulls(len(contested), pa.int64())], schema=_OFFERS),
+    ])
 
 
 def sketch_bits(n) -> np.ndarray:
@@ -300,69 +416,107 @@ def fold(sketch: bytes, bits: int) -> np.ndarray:
     return words64
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+_NUMBER = np.dtype([("n", "<u4")])
+
 
+def _add(facts: X.Facts) -> tuple[X.Facts, np.ndarray]:
+    keys, which = X.by_key(facts.keys)
+    return X.Facts(keys, np.minimum(np.bincount(which, facts.values["n"], len(keys)), 2**32 - 1).astype("<u4").view(_NUMBER)), which
 
-def _received(rows: pa.Table, with_sketches: bool = False):
-    """Facts of the documents, and their keys in order: (facts, key, document), one row per block member."""
-    facts, keys, places, sketches, at = [], [], [], [], 0
+
+_SIZES = X.Talk(_NUMBER, _NUMBER, _add, lambda facts: facts.values, bits=64)
+
+
+def _member_counts(m: _Members) -> tuple[X.Facts, np.ndarray, np.ndarray]:
+    """Chosen members of each of a unit's keys, the members that are chosen, and the place of their keys."""
+    take = np.flatnonzero(m.chosen[m.local])
+    facts, which = _add(X.Facts(m.key[take], np.ones(len(take), "<u4").view(_NUMBER)))
+    return facts, take, which
+
+
+def _count_members(rows: pa.Table, known: pa.Table, routes: int) -> pa.Table:
+    if not rows.num_rows or not known.num_rows:
+        return X.SENT.empty_table()
+    facts, *_ = _member_counts(_Members(rows["blob"][0].as_py(), known))
+    return X.table(X.sent(facts, rows["unit"][0].as_py(), routes, _SIZES), X.SENT)
+
+
+def tiles(key: np.ndarray, name: np.ndarray, held: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tile, place of the member and side of each member in the tiles that it takes part in.
+
+    A block of h members has ceil(h / tile) parts; a tile is a pair of parts, with the
+    members of the first on side 0 and those of the second on side 1, or one part with
+    all on side 0.  Any two members of a block meet in exactly one tile.
+    """
+    parts = -(-held // tile)
+    part = (mix(name.view(np.uint64), 31) % parts.astype(np.uint64)).astype(np.int64)
+    at = np.repeat(np.arange(len(key)), parts)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+    low, high = np.minimum(part[at], other), np.maximum(part[at], other)
+    which = mix(key[at] ^ mix((low.astype(np.uint64) << np.uint64(32)) | high.astype(np.uint64), 32), 33)
+    return which, at, (part[at] > other).astype(np.uint8)
+
+
+#: Per set in a tile.
+_FACTS = np.dtype([("name", "<i8"), ("n", "<i8"), ("label", "<i8"), ("centre", "<i8"), ("far", "<f4")])
+_TILE = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+
+
+def _send_tiles(rows: pa.Table, both: pa.Table, buckets: int, tile: int) -> pa.Table:
+    if not rows.num_rows:
+        return _TILE.empty_table()
+    known, said = both.filter(pc.is_valid(both["d"])), both.filter(pc.is_valid(both["route"]))
+    if not known.num_rows:
+        return _TILE.empty_table()
+    m = _Members(rows["blob"][0].as_py(), known)
+    facts, take, which = _member_counts(m)
+    held = X.told(said, _SIZES, facts)["n"][which].astype(np.int64)
+    fact = np.zeros(len(m.name), _FACTS)
+    for name in _FACTS.names:
+        fact[name] = getattr(m, name)
+    sketches = [b""] * len(m.name)
+    for place, blob in zip(m.place.tolist(), known["blob"].to_pylist(), strict=True):
+        sketches[place] = parity_sketch(np.frombuffer(blob, "<u8"))
+    of, at, side = tiles(m.key[take], m.name[m.local[take]], held, tile)
+    member = m.local[take][at]
+    order = np.argsort(of, kind="stable")
+    of, member, side = of[order], member[order], side[order]
+    out = []
+    for b, i, j in X.cuts(X.bucket_of(of, buckets)):
+        who, place = np.unique(member[i:j], return_inverse=True)
+        head = np.array([len(who), j - i], "<i8").tobytes()
+        raw = head + fact[who].tobytes() + of[i:j].tobytes() + place.astype("<u4").tobytes() + side[i:j].tobytes() + b"".join(sketches[w] for w in who.tolist())
+        out.append((b, X.squeeze(np.frombuffer(raw, np.uint8))))
+    return X.table(out, _TILE)
+
+
+def _cross(rows: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a tile with different labels whose sketches' Hamming distance allows the similarity."""
+    facts, keys, places, sides, sketches, at = [], [], [], [], [], 0
     for blob in rows["blob"].to_pylist():
         raw = X.expand(blob, np.uint8).tobytes()
-        n_docs, n_keys = np.frombuffer(raw, "<i8", 2).tolist()
-        facts.append(np.frombuffer(raw, _FACTS, n_docs, 16))
-        to = 16 + n_docs * _FACTS.itemsize
+        n_sets, n_keys = np.frombuffer(raw, "<i8", 2).tolist()
+        facts.append(np.frombuffer(raw, _FACTS, n_sets, 16))
+        to = 16 + n_sets * _FACTS.itemsize
         keys.append(np.frombuffer(raw, "<u8", n_keys, to))
         places.append(np.frombuffer(raw, "<u4", n_keys, to + 8 * n_keys).astype(np.int64) + at)
-        at += n_docs
-        if with_sketches:
-            to += 12 * n_keys
-            for size in (sketch_bits(facts[-1]["n"]) // 8).tolist():
-                sketches.append(raw[to : to + size])
-                to += size
-    fact, key, place = np.concatenate(facts), np.concatenate(keys), np.concatenate(places)
-    order = np.lexsort((fact["id"][place], key))
-    found = fact, key[order], place[order]
-    return (*found, sketches) if with_sketches else found
-
-
-def _vote(rows: pa.Table) -> pa.Table:
-    """Per document and smallest document of its blocks: the number of such blocks."""
-    fact, key, place = _received(rows)
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    start = np.flatnonzero(new)
-    doc = fact["id"][place]
-    centre = np.repeat(doc[start], np.diff(np.concatenate([start, [len(key)]])))
-    n = fact["n"][place]
-    n_centre = np.repeat(n[start], np.diff(np.concatenate([start, [len(key)]])))
-    ok = (doc != centre)
-    pairs, count = np.unique(np.stack([doc[ok], centre[ok], n[ok], n_centre[ok]], 1), axis=0, return_counts=True)
-    return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(count)], names=["a", "c", "votes"])
-
-
-def _mixed(key: np.ndarray, label: np.ndarray) -> tuple[list[int], list[int]]:
-    """Start and size of each block with more than one label."""
+        sides.append(np.frombuffer(raw, np.uint8, n_keys, to + 12 * n_keys))
+        at, to = at + n_sets, to + 13 * n_keys
+        for size in (sketch_bits(facts[-1]["n"]) // 8).tolist():
+            sketches.append(raw[to : to + size])
+            to += size
+    fact, key, place, side = np.concatenate(facts), np.concatenate(keys), np.concatenate(places), np.concatenate(sides)
+    order = np.lexsort((fact["n"][place], key))
+    key, place, side = key[order], place[order], side[order]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(key)]]))
+    label = fact["label"][place]
     mixed = np.maximum.reduceat(label, starts) != np.minimum.reduceat(label, starts)
-    return starts[mixed].tolist(), sizes[mixed].tolist()
-
-
-def _contested(rows: pa.Table) -> pa.Table:
-    """Documents that share a block with one of another label."""
-    fact, key, place = _received(rows)
-    found = [place[s : s + n] for s, n in zip(*_mixed(key, fact["label"][place]), strict=True)]
-    ids = np.unique(fact["id"][np.concatenate(found)]) if found else np.zeros(0, np.int64)
-    return pa.Table.from_arrays([pa.array(ids)], names=["d"])
-
-
-def _cross(rows: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a block with different labels whose sketches' Hamming distance allows the similarity."""
-    fact, key, place, sketches = _received(rows, True)
     out_a, out_c = [], []
     limit = np.float32(1 - percent / 100 + 1e-5)
-    for s, n in zip(*_mixed(key, fact["label"][place]), strict=True):
-        members = place[s : s + n]
-        members = members[np.argsort(fact["n"][members], kind="stable")]
+    for s, n in zip(starts[mixed].tolist(), sizes[mixed].tolist(), strict=True):
+        members, on = place[s : s + n], side[s : s + n]
+        two = bool(on.any())
         f = fact[members]
         bits = int(sketch_bits(f["n"][0]))
         matrix = np.stack([fold(sketches[m], bits) for m in members.tolist()])
@@ -370,16 +524,17 @@ def _cross(rows: pa.Table, percent: int) -> pa.Table:
         for i in range(n - 1):
             j = np.arange(i + 1, last[i])
             x, y = f[i], f[j]
-            far = (y["centre"] == x["centre"]) & (np.abs(y["far"] - x["far"]) > limit)
-            j = j[(y["label"] != x["label"]) & ~far]
+            ok = (y["label"] != x["label"]) & ~((y["centre"] == x["centre"]) & (np.abs(y["far"] - x["far"]) > limit))
+            if two:
+                ok &= on[j] != on[i]
+            j = j[ok]
             if len(j):
                 apart = np.bitwise_count(matrix[j] ^ matrix[i]).sum(1, dtype=np.int64)
-                j = j[apart <= bound(x["n"], f["n"][j], percent)]
-                other = f["id"][j]
-                out_a.append(np.maximum(other, x["id"]))
-                out_c.append(np.minimum(other, x["id"]))
+                other = f["name"][j[apart <= bound(x["n"], f["n"][j], percent)]]
+                out_a.append(np.maximum(other, x["name"]))
+                out_c.append(np.minimum(other, x["name"]))
     if not out_a:
-        return pa.Table.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "c"])
+        return _PAIRS.empty_table()
     pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_c)], 1), axis=0)
     return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "c"])
 
@@ -389,40 +544,19 @@ def _similarity(batches):
     for batch in batches:
         xs, ys = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         common = [
-            len(np.intersect1d(X.unpack40(x), X.unpack40(y), assume_unique=True)) for x, y in zip(xs, ys, strict=True)
+            len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(xs, ys, strict=True)
         ]
-        union = [(len(x) + len(y)) // 5 - c for x, y, c in zip(xs, ys, common, strict=True)]
+        union = [(len(x) + len(y)) // 8 - c for x, y, c in zip(xs, ys, common, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "c", "both", "either"])
 
 
 def _verify(pairs: DataFrame, own_sets: DataFrame) -> DataFrame:
-    left = own_sets.select(F.col("doc_id").alias("a"), F.col("blob").alias("x"))
-    right = own_sets.select(F.col("doc_id").alias("c"), F.col("blob").alias("y"))
+    left = own_sets.select(F.col("name").alias("a"), F.col("blob").alias("x"))
+    right = own_sets.select(F.col("name").alias("c"), F.col("blob").alias("y"))
     both = pairs.join(left, "a").join(right, "c").select("a", "c", "x", "y")
     return both.mapInArrow(_similarity, "a long, c long, both long, either long")
 
 
-def _offer(rows: pa.Table, round_: int, percent: int) -> pa.Table:
-    """Per set, the member of its blocks that comes first in a random order of this round, where the labels differ."""
-    fact, key, place = _received(rows)
-    none = pa.Table.from_arrays([pa.array([], pa.int64())] * 3, names=["a", "c", "votes"])
-    if not len(key):
-        return none
-    turn = mix(fact["id"].astype(np.uint64), 20 + round_)[place]
-    order = np.lexsort((turn, key))
-    key, f = key[order], fact[place[order]]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    head = f[np.repeat(start, np.diff(np.concatenate([start, [len(key)]])))]
-    small, large = np.minimum(f["n"], head["n"]), np.maximum(f["n"], head["n"])
-    limit = np.float32(1 - percent / 100 + 1e-5)
-    far = (f["centre"] == head["centre"]) & (np.abs(f["far"] - head["far"]) > limit)
-    ok = (f["label"] != head["label"]) & (small * 100 >= large * percent) & ~far
-    if not ok.any():
-        return none
-    pairs, count = np.unique(np.stack([f["id"][ok], head["id"][ok]], 1), axis=0, return_counts=True)
-    return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(count)], names=["a", "c", "votes"])
-
-
 def _merge(label: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (d, l) after links (a, c): the components of the labels' own graph, which is small."""
     left = label.select(F.col("d").alias("a"), F.col("l").alias("x"))
@@ -434,103 +568,82 @@ def _merge(label: DataFrame, links: DataFrame) -> DataFrame:
 
 def components(
     docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
-    unit_bytes: int = X.UNIT_BYTES,
+    unit_bytes: int = X.UNIT_BYTES, fan: int = X.FAN, tile: int = TILE,
 ) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest id that links reach."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     ensure_checkpoints(docs)
-    units = X.n_units(X.text_bytes(docs, F.col(text_col)), unit_bytes)
-    texts = X.dealt(docs, units, id_col, text_col)
-    asked = texts.groupBy("unit").applyInArrow(lambda t: X.lean(_ask, t, size, percent, units), _ASK_SQL)
-    said = asked.groupBy("bucket").applyInArrow(lambda t: X.lean(_answer, t), _SAY_SQL)
+    to = X.Layout.of(X.text_bytes(docs, F.col(text_col)), unit_bytes, fan)
+    texts = X.dealt(docs, to.units, id_col, text_col)
+    asked = texts.groupBy("unit").applyInArrow(lambda t: X.lean(_ask, t, size, percent, to.ranges), X.SENT_SQL)
+    said = X.answered(asked, _BLOCKS, to)
     base = (
-        texts.groupBy("unit").cogroup(said.groupBy("unit"))
-        .applyInArrow(lambda t, s: X.lean(_candidates, t, s, size, percent, units), _BASE_SQL)
+        texts.groupBy("unit").cogroup(said.groupBy("sender"))
+        .applyInArrow(lambda t, s: X.lean(_candidates, t, s, size, percent), _BASE_SQL)
         .checkpoint()
     )
-    own_sets = base.filter(F.col("kind") == _SET).select("doc_id", "blob")
+    own_sets = base.filter(F.col("kind") == _SET).select("name", "blob")
     keys = base.filter(F.col("kind") == _KEYS).select("unit", "blob")
 
-    def plain(batches):
-        for batch in batches:
-            for blob in batch.column(1).to_pylist():
-                ids, sizes, key, local = _open_keys(blob)
-                facts = np.zeros(len(ids), _FACTS)
-                facts["id"], facts["n"] = ids, sizes
-                rows = _send(facts, key, local, units)
-                yield from X.table(rows, _SENT).to_batches()
-
-    votes = keys.mapInArrow(plain, "bucket int, blob binary").groupBy("bucket").applyInArrow(lambda t: X.lean(_vote, t), "a long, c long, votes long")
-    counted = votes.groupBy("a", "c").agg(F.sum("votes").alias("votes"))
-    best = counted.groupBy("a").agg(F.max_by("c", F.struct("votes", -F.col("c"))).alias("c"))
+    def says(parts):
+        for batch in parts:
+            yield from X.lean(_says, pa.Table.from_batches([batch]), None, 20, to.ranges).to_batches()
+
+    centres = X.answered(keys.mapInArrow(says, X.SENT_SQL), _CENTRES, to)
+    best = keys.groupBy("unit").cogroup(centres.groupBy("sender")).applyInArrow(lambda k, s: X.lean(_vote, k, s, 20), "a long, c long")
     judged = _verify(best, own_sets).checkpoint()
     linked = F.col("both") * 100 >= F.col("either") * percent
-    first = judged.filter(linked).select("a", "c")
 
-    # every set's label is the least document that its links reach so far
-    where = base.filter(F.col("kind") == _SET).select(F.col("doc_id").alias("d"), F.col("unit").alias("u"))
+    # every set's label is the least name that its links reach so far
+    where = base.filter(F.col("kind") == _SET).select(F.col("name").alias("d"), F.col("unit").alias("u"))
     facts = judged.select(F.col("a").alias("d"), F.col("c").alias("centre"), (1 - F.col("both") / F.col("either")).cast("float").alias("far"))
     known = where.join(facts, "d", "left").select("d", "u", F.coalesce("centre", "d").alias("centre"), F.coalesce("far", F.lit(0.0).cast("float")).alias("far"))
-    label = known.select("d", F.col("d").alias("l"))
-    label = _merge(label, first)
-
-    def labelled(buckets: int, sketched: bool):
-        def run(rows: pa.Table, said: pa.Table) -> pa.Table:
-            if not rows.num_rows or not said.num_rows:
-                return _SENT.empty_table()
-            out = []
-            names = ["l", "centre", "far", *(["blob"] if sketched else [])]
-            told = dict(zip(said["d"].to_pylist(), zip(*(said[x].to_pylist() for x in names), strict=True), strict=True))
-            for blob in rows["blob"].to_pylist():
-                ids, sizes, key, local = _open_keys(blob)
-                chosen = np.fromiter((i in told for i in ids.tolist()), bool, len(ids))
-                take = chosen[local]
-                facts = np.zeros(len(ids), _FACTS)
-                facts["id"], facts["n"] = ids, sizes
-                own = [told[i] for i in ids[chosen].tolist()]
-                for place, name in enumerate(("label", "centre", "far")):
-                    facts[name][chosen] = [x[place] for x in own]
-                sketches = None
-                if sketched:
-                    sketches = [b""] * len(ids)
-                    for at, x in zip(np.flatnonzero(chosen).tolist(), own, strict=True):
-                        sketches[at] = parity_sketch(X.unpack40(x[3]))
-                        facts["n"][at] = len(x[3]) // 5
-                if take.any():
-                    out += _send(facts, key[take], local[take], buckets, sketches)
-            return X.table(out, _SENT)
-
-        return run
-
-    def blocks(told: DataFrame, buckets: int, sketched: bool = False):
-        sent = keys.groupBy("unit").cogroup(told.groupBy("u")).applyInArrow(labelled(buckets, sketched), "bucket int, blob binary")
-        return sent.groupBy("bucket")
+    label = _merge(known.select("d", F.col("d").alias("l")), judged.filter(linked).select("a", "c"))
 
     def facts_of(label: DataFrame) -> DataFrame:
         return known.join(label, "d").select("u", "d", "l", "centre", "far")
 
-    def offering(round_: int):
-        return lambda t: X.lean(_offer, t, round_, percent)
+    def beside(told: DataFrame, said: DataFrame) -> DataFrame:
+        """What a unit knows of its sets and what it is told, in one table."""
+        return told.unionByName(said.withColumnRenamed("sender", "u"), allowMissingColumns=True)
+
+    def offers_of(label: DataFrame, salt: int) -> DataFrame:
+        told = facts_of(label)
+        asked = keys.groupBy("unit").cogroup(told.groupBy("u")).applyInArrow(lambda k, t: X.lean(_says, k, t, salt, to.ranges), X.SENT_SQL)
+        both = beside(told, X.answered(asked, _CENTRES, to))
+        found = keys.groupBy("unit").cogroup(both.groupBy("u")).applyInArrow(lambda k, t: X.lean(_offer, k, t, salt, percent), "contested boolean, a long, c long")
+        return found.checkpoint()
 
+    found = offers_of(label, 21)
     for round_ in range(ROUNDS):
-        offered = blocks(facts_of(label), units).applyInArrow(offering(round_), "a long, c long, votes long")
-        counted = offered.groupBy("a", "c").agg(F.sum("votes").alias("votes"))
-        best = counted.groupBy("a").agg(F.max_by("c", F.struct("votes", -F.col("c"))).alias("c"))
-        more = _verify(best, own_sets).filter(linked).select("a", "c").checkpoint()
+        more = _verify(found.filter("not contested").select("a", "c"), own_sets).filter(linked).select("a", "c").checkpoint()
         if more.isEmpty():
             break
         label = _merge(label, more)
-    contested = blocks(facts_of(label), units).applyInArrow(lambda t: X.lean(_contested, t), "d long").distinct().checkpoint()
-    told = facts_of(label).join(contested, "d").join(own_sets.withColumnRenamed("doc_id", "d"), "d").select("u", "d", "l", "centre", "far", "blob")
-    few = max(1, -(-contested.count() // PER_BUCKET))
-    crossing = blocks(told, few, True).applyInArrow(lambda t: X.lean(_cross, t, percent), "a long, c long").distinct()
-    second = _verify(crossing, own_sets).filter(linked).select("a", "c").checkpoint()
-    reached = _merge(label, second).select(F.col("d").alias("node"), F.col("l").alias("component"))
-
-    every = base.filter(F.col("kind") == _DOC).select("doc_id", "n", "lead")
-    out = every.join(reached.withColumnRenamed("node", "lead"), "lead", "left")
-    null_id = F.lit(X.NO_ID)
-    return out.select(
-        F.nullif("doc_id", null_id).alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.nullif(F.coalesce("component", "lead"), null_id).alias("component_id"),
-    )
+        found = offers_of(label, 22 + round_)
+    contested = found.filter("contested").select(F.col("a").alias("d"))
+    told = facts_of(label).join(contested, "d").join(own_sets.withColumnRenamed("name", "d"), "d").select("u", "d", "l", "centre", "far", "blob").checkpoint()
+    counts = keys.groupBy("unit").cogroup(told.groupBy("u")).applyInArrow(lambda k, t: X.lean(_count_members, k, t, to.ranges), X.SENT_SQL)
+    both = beside(told, X.answered(counts, _SIZES, to))
+    few = max(1, -(-told.count() // PER_BUCKET))
+    cut = keys.groupBy("unit").cogroup(both.groupBy("u")).applyInArrow(lambda k, t: X.lean(_send_tiles, k, t, few, tile), "bucket int, blob binary")
+    crossing = cut.groupBy("bucket").applyInArrow(lambda t: X.lean(_cross, t, percent), "a long, c long").distinct()
+    label = _merge(label, _verify(crossing, own_sets).filter(linked).select("a", "c"))
+
+    # sets of one id are one node
+    same = base.filter(F.col("kind") == _SAME).select(F.col("doc_id").alias("a"), F.col("name").alias("c"))
+    if not same.isEmpty():
+        every = label.select(F.col("d").alias("a"), F.col("l").alias("c")).unionByName(same)
+        label = connected(every).select(F.col("node").alias("d"), F.col("component").alias("l")).checkpoint()
+
+    # equal sets meet once per unit before they meet each other, so no class is gathered
+    docs_of = base.filter(F.col("kind") == _DOC).select("unit", "doc_id", "n", "name")
+    held = docs_of.filter("name is not null").groupBy("unit", "name").agg(F.min("doc_id").alias("least"))
+    labelled = held.join(label.withColumnRenamed("d", "name"), "name", "left").select("unit", "name", "least", F.coalesce("l", "name").alias("l"))
+    # so do the sets of one label
+    part = labelled.groupBy("unit", "l").agg(F.min("least").alias("least"))
+    lowest = part.groupBy("l").agg(F.min("least").alias("component_id"))
+    named = labelled.join(part.select("unit", "l").join(lowest, "l"), ["unit", "l"]).select(F.col("unit").alias("u"), F.col("name").alias("s"), "component_id")
+    out = docs_of.join(named, (F.col("unit") == F.col("u")) & (F.col("name") == F.col("s")), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -195,7 +195,6 @@ def fit(labelled: DataFrame, path: str, sample: int = SAMPLE, train_words: int =
                 names=["lang", "word", "n"],
             )
 
-    batches.small(labelled)
     words = chosen.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
     most = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(train_words)
     counts: dict[str, dict[str, int]] = {name: {} for name in number}
@@ -233,7 +232,6 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray, path: str) ->
                 [batch.column(0), pa.array(labels, pa.string()), pa.array(best, pa.float64())], names=["doc_id", "lang_pred", "score"]
             )
 
-    batches.small(docs)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .components import ensure_checkpoints
+from .shared import ensure_checkpoints
 from .shingles import mix, words
 
 SUPERS, CLASSES = 16, 256
@@ -148,51 +148,49 @@ class Model:
                 table[first : first + n] -= (rate * grad / (weight[:, None] + 8)).reshape(n, columns).astype(np.float32)
 
 
-_ASK = pa.schema([("unit", pa.int32()), ("bucket", pa.int32()), ("tokens", pa.int64()), ("keys", pa.binary()), ("more", pa.binary())])
-_ASK_SQL = "unit int, bucket int, tokens long, keys binary, more binary"
-_SAY = pa.schema([("unit", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("value", pa.float64()), ("blob", pa.binary())])
-_SAY_SQL = "unit int, bucket int, kind int, value double, blob binary"
-#: kinds of answers: corpus counts of a unit's tokens; distinct tokens; discounted weight of class ``unit``
-_COUNTS, _DISTINCT, _WEIGHT = 0, 1, 2
+_FACT, _SAID = np.dtype([("n", "<u4"), ("suffix", "u1")]), np.dtype([("n", "<i8")])
+#: What a bucket notes: its distinct training tokens, and the discounted weight of each class.
+_NOTE = 1 + CLASSES
 
 
 def _held_of(rows: pa.Table) -> dict[int, bool]:
     return dict(zip(rows["doc_id"].to_pylist(), rows["held_out"].to_pylist(), strict=True))
 
 
-def _ask(rows: pa.Table, buckets: int) -> pa.Table:
+def _add(facts: X.Facts) -> tuple[X.Facts, np.ndarray]:
+    keys, first, which = np.unique(facts.keys, return_index=True, return_inverse=True)
+    out = np.empty(len(keys), _FACT)
+    out["n"] = np.minimum(np.bincount(which, facts.values["n"], len(keys)), 2**32 - 1)
+    out["suffix"] = facts.values["suffix"][first]
+    return X.Facts(keys, out), which
+
+
+def _talk(total: int) -> X.Talk:
+    """Training counts of tokens."""
+
+    def note(facts: X.Facts) -> bytes:
+        n, suffix = facts.values["n"].astype(np.int64), facts.values["suffix"].astype(np.int64)
+        known = n > 0
+        weight = np.bincount(classes(facts.keys, suffix, n, total)[known], n[known] - DISCOUNT, CLASSES)
+        return np.concatenate([[known.sum()], weight]).astype("<f8").tobytes()
+
+    return X.Talk(_FACT, _SAID, _add, lambda facts: facts.values["n"].astype("<i8").view(_SAID), bits=64, note=note)
+
+
+def _facts(t: Tokens, trains: np.ndarray) -> tuple[X.Facts, np.ndarray]:
+    keys, first, inverse = np.unique(t.hash, return_index=True, return_inverse=True)
+    values = np.empty(len(keys), _FACT)
+    values["n"] = np.bincount(inverse, weights=trains, minlength=len(keys))
+    values["suffix"] = t.suffix[first]
+    return X.Facts(keys, values), inverse
+
+
+def _ask(rows: pa.Table, routes: int) -> pa.Table:
     t, number = Tokens(rows), rows["unit"][0].as_py()
     trains = _trains(t.unit, _held_of(rows))[t.doc]
-    keys, first, inverse = np.unique(t.hash, return_index=True, return_inverse=True)
-    count = np.bincount(inverse, weights=trains, minlength=len(keys)).astype("<u4")
-    suffix = t.suffix[first].astype(np.uint8)
-    out = [(number, -1, int(trains.sum()), None, None)]
-    for b, i, j in X.cuts(X.bucket_of(keys, buckets).astype(np.int64)):
-        more = X.squeeze(np.frombuffer(count[i:j].tobytes() + suffix[i:j].tobytes(), np.uint8))
-        out.append((number, b, 0, keys[i:j].astype("<u8").tobytes(), more))
-    return X.table(out, _ASK)
-
-
-def _answer(rows: pa.Table, total: int) -> pa.Table:
-    units, bucket = rows["unit"].to_pylist(), rows["bucket"][0].as_py()
-    keys = [np.frombuffer(k, "<u8") for k in rows["keys"].to_pylist()]
-    counts, suffixes = [], []
-    for k, m in zip(keys, rows["more"].to_pylist(), strict=True):
-        raw = X.expand(m, np.uint8)
-        counts.append(raw[: 4 * len(k)].view("<u4"))
-        suffixes.append(raw[4 * len(k) :])
-    token, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    count = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
-    suffix = np.concatenate(suffixes)[first].astype(np.int64)
-    out, at = [], 0
-    for u, k in zip(units, keys, strict=True):
-        out.append((u, bucket, _COUNTS, None, X.squeeze(count[inverse[at : at + len(k)]].astype("<i8"))))
-        at += len(k)
-    known = count > 0
-    out.append((-1, bucket, _DISTINCT, float(known.sum()), None))
-    weight = np.bincount(classes(token, suffix, count, total)[known], weights=count[known] - DISCOUNT, minlength=CLASSES)
-    out += [(int(c), bucket, _WEIGHT, float(weight[c]), None) for c in np.flatnonzero(weight)]
-    return X.table(out, _SAY)
+    facts, _ = _facts(t, trains)
+    # the number of training tokens goes to no route
+    return X.table([(number, -1, int(trains.sum()).to_bytes(8, "big")), *X.sent(facts, number, routes, _talk(0))], X.SENT)
 
 
 class _Counted(Tokens):
@@ -200,11 +198,8 @@ class _Counted(Tokens):
 
     def __init__(self, rows: pa.Table, said: pa.Table, total: int):
         super().__init__(rows)
-        keys, inverse = np.unique(self.hash, return_inverse=True)
-        blobs = sorted((b, x) for b, x in zip(said["bucket"].to_pylist(), said["blob"].to_pylist(), strict=True))
-        count = np.concatenate([X.expand(x, "<i8") for _, x in blobs])
-        assert len(count) == len(keys)
-        self.count = count[inverse]
+        facts, inverse = _facts(self, np.zeros(len(self.hash)))
+        self.count = X.told(said, _talk(total), facts)["n"][inverse]
         self.cls = classes(self.hash, self.suffix, self.count, total)
 
 
@@ -267,30 +262,26 @@ def _score(rows: pa.Table, said: pa.Table, total: int, distinct: int, weight: np
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCORE, strict=True)], schema=_SCORE)
 
 
-def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = X.UNIT_BYTES) -> DataFrame:
+def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = X.UNIT_BYTES, fan: int = X.FAN) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     ``held_out`` is a boolean column of ``docs``; rows with true are not trained on.
     """
     ensure_checkpoints(docs)
-    units = X.n_units(X.text_bytes(docs, F.col(text_col)), unit_bytes)
-    doc_id = F.coalesce(F.col(id_col).cast("long"), F.lit(X.NO_ID))
-    texts = docs.select(
-        F.pmod(F.xxhash64(doc_id), F.lit(units)).cast("int").alias("unit"),
-        doc_id.alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.coalesce(held_out, F.lit(False)).alias("held_out"),
-    ).repartition(units, "unit")
-    asked = texts.groupBy("unit").applyInArrow(lambda t: X.lean(_ask, t, units), _ASK_SQL).checkpoint()
-    total = asked.filter("bucket = -1").agg(F.sum("tokens")).first()[0] or 0
-    said = asked.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: X.lean(_answer, t, total), _SAY_SQL).checkpoint()
-    distinct = int(said.filter(F.col("kind") == _DISTINCT).agg(F.sum("value")).first()[0] or 0)
-    weight = np.zeros(CLASSES)
-    for r in said.filter(F.col("kind") == _WEIGHT).groupBy("unit").agg(F.sum("value").alias("v")).collect():  # at most CLASSES rows
-        weight[r["unit"]] = r["v"]
-    counts = said.filter(F.col("kind") == _COUNTS).select("unit", "bucket", "blob")
-    parts = texts.groupBy("unit").cogroup(counts.groupBy("unit")).applyInArrow(lambda t, s: X.lean(_train, t, s, total), _PART_SQL)
-    left = units
+    to = X.Layout.of(X.text_bytes(docs, F.col(text_col)), unit_bytes, fan)
+    texts = X.dealt(docs, to.units, id_col, text_col, held_out=F.coalesce(held_out, F.lit(False)))
+    asked = texts.groupBy("unit").applyInArrow(lambda t: X.lean(_ask, t, to.ranges), X.SENT_SQL).checkpoint()
+    number = F.conv(F.hex("blob"), 16, 10).cast("long")
+    total = asked.filter("route = -1").agg(F.sum(number)).first()[0] or 0
+    said = X.answered(asked.filter("route >= 0"), _talk(total), to).checkpoint()
+    weight, distinct = np.zeros(CLASSES), 0
+    noted = said.filter("sender = -1").select("blob").toLocalIterator()  # a row of fixed size for each bucket, one at a time
+    for (blob,) in noted:
+        note = np.frombuffer(blob, "<f8")
+        distinct, weight = distinct + int(note[0]), weight + note[1:]
+    counts = said.filter("sender >= 0")
+    parts = texts.groupBy("unit").cogroup(counts.groupBy("sender")).applyInArrow(lambda t, s: X.lean(_train, t, s, total), _PART_SQL)
+    left = to.units
     while left > 1:  # a tree of bounded fan-in
         left = -(-left // FAN_IN)
         parts = parts.withColumn("part", F.pmod("part", F.lit(left))).groupBy("part").applyInArrow(lambda t: X.lean(_average, t), _PART_SQL)
@@ -301,7 +292,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         cut = (ROWS + PAIRS) * SUPERS
         model = Model(flat[:cut].reshape(-1, SUPERS).copy(), flat[cut:].reshape(-1, CLASSES).copy())
     out = (
-        texts.groupBy("unit").cogroup(counts.groupBy("unit"))
+        texts.groupBy("unit").cogroup(counts.groupBy("sender"))
         .applyInArrow(lambda t, s: X.lean(_score, t, s, total, distinct, weight, model), _SCORE_SQL)
     )
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -183,7 +183,6 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float
 
     ``docs`` has doc_id and text; ``labels`` has doc_id and toxic.
     """
-    batches.small(docs)
     # documents are measured once: texts and patterns are a table in the shared folder, read by all that follows
     path = shared.folder(docs.sparkSession, "judged")
     patterns(docs).write.option("compression", "zstd").parquet(path)

@@ -19,21 +19,27 @@ Contract: with documents in the order of their ids, a byte goes if a string of
    ``length``, and the smallest document of such a run decides its windows.
 4. *Cutting.*  Units map the answers back to places and cut the texts.
 
-An anchor that very many documents hold (``HOT`` of them) has as many different
-contexts at the edges of the passage; its windows travel one by one, by their own
-hash, so that no bucket gathers them all.  All stages are deterministic
-functions of their inputs, so lost executors are made good by recomputation.
+*Skew.*  An anchor that very many documents hold has as many different contexts at
+the edges of the passage.  Anchors are salted: one that n documents hold has
+ceil(n / ``PER_SALT``) salts; where that is more than one, its windows are dealt to
+them by a hash of the window, and the windows of a salt are contexts of their own,
+expanded like any others.  Equal windows have equal salts.  All stages are
+deterministic functions of their inputs, so lost executors are made good by
+recomputation.
 
 Defined results: a null text is empty, and texts shorter than ``length`` lose
-nothing; rows that share an id are not "smaller" than each other; null ids come
-after all others, as one id; an empty table gives an empty table.
+nothing; rows that share an id, repeated rows too, are not "smaller" than each
+other, so ties keep all copies; null ids come after all others, as one id; texts of
+any length are whole (a long one makes its unit as large as itself); an empty table
+gives an empty table.  Other columns are ignored, whatever their names, unless
+``carry`` asks for them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,8 +49,8 @@ from .shingles import mix
 
 LENGTH = 50
 GRAM = 16
-#: Documents from which an anchor's windows travel one by one.
-HOT = 50_000
+#: Documents for each salt of an anchor.
+PER_SALT = 50_000
 #: Positions hashed at a time, and characters of one transform, about.
 SLICE, BLOCK = 1 << 18, 1 << 20
 
@@ -113,63 +119,59 @@ def _unit_hashes(unit: X.Unit, length: int):
     return first, number, inverse, hashes
 
 
-_ASK = pa.schema([("unit", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("more", pa.binary())])
-_SAY = pa.schema([("unit", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
-_ASK_SQL = "unit int, bucket int, keys binary, more binary"
-_SAY_SQL = "unit int, bucket int, kind int, blob binary"
+def _count(facts: X.Facts) -> tuple[X.Facts, np.ndarray]:
+    keys, which = X.by_key(facts.keys)
+    values = np.zeros(len(keys), _HELD)
+    values["n"] = np.minimum(np.bincount(which, facts.values["n"], len(keys)), 2**32 - 1)
+    return X.Facts(keys, values), which
 
 
-def _ask_anchors(rows: pa.Table, length: int, buckets: int) -> pa.Table:
-    unit, number = X.Unit(rows), rows["unit"][0].as_py()
-    first, _, inverse, hashes = _unit_hashes(unit, length)
+_HELD, _SALTS = np.dtype([("n", "<u4")]), np.dtype([("salts", "<u4")])
+
+
+def _anchor_talk(per_salt: int) -> X.Talk:
+    """Documents that hold an anchor; its number of salts, 0 if one document alone holds it."""
+
+    def salts(facts: X.Facts) -> np.ndarray:
+        n = facts.values["n"].astype(np.int64)
+        return np.where(n > 1, -(-n // per_salt), 0).astype("<u4").view(_SALTS)
+
+    return X.Talk(_HELD, _SALTS, _count, salts)
+
+
+def _anchors(unit: X.Unit, length: int) -> tuple[X.Facts, np.ndarray, np.ndarray, np.ndarray]:
+    """Facts of the unit's anchors, and of its contexts: first window, number of windows and anchor."""
+    first, number, inverse, hashes = _unit_hashes(unit, length)
     doc = np.searchsorted(unit.ends, first, side="right")
     pairs = np.unique(inverse * np.int64(len(unit.ids) + 1) + doc) // (len(unit.ids) + 1)
-    docs = np.minimum(np.bincount(pairs, minlength=len(hashes)), 65535).astype("<u2")
-    out = [
-        (number, b, X.pack40(hashes[i:j]), X.squeeze(docs[i:j]))
-        for b, i, j in X.cuts(X.bucket_of(hashes, buckets).astype(np.int64))
-    ]
-    return X.table(out, _ASK)
+    held = np.bincount(pairs, minlength=len(hashes)).astype("<u4").view(_HELD)
+    return X.Facts(hashes, held), first, number, inverse
 
 
-def _answer_anchors(rows: pa.Table, hot: int) -> pa.Table:
-    """Per asked anchor: 0 in one document only, 1 in several, 2 in very many."""
-    units, keys = rows["unit"].to_pylist(), [X.unpack40(k) for k in rows["keys"].to_pylist()]
-    docs = np.concatenate([X.expand(m, "<u2") for m in rows["more"].to_pylist()])
-    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    number = np.bincount(inverse, weights=docs)[inverse]
-    state = ((number > 1).astype(np.uint8) + (number >= hot)).astype(np.uint8)
-    out, at, bucket = [], 0, rows["bucket"][0].as_py()
-    for u, k in zip(units, keys, strict=True):
-        out.append((u, bucket, 0, X.squeeze(state[at : at + len(k)])))
-        at += len(k)
-    return X.table(out, _SAY)
+def _ask_anchors(rows: pa.Table, length: int, routes: int, per_salt: int) -> pa.Table:
+    facts, *_ = _anchors(X.Unit(rows), length)
+    return X.table(X.sent(facts, rows["unit"][0].as_py(), routes, _anchor_talk(per_salt)), X.SENT)
 
 
 class _Shared:
-    """A unit's distinct contexts of shared anchors, by bucket, in an order that both passes rebuild."""
+    """A unit's distinct contexts of shared anchors, in order of their groups, as both passes rebuild them."""
 
-    def __init__(self, rows: pa.Table, said: pa.Table, length: int, buckets: int):
+    def __init__(self, rows: pa.Table, said: pa.Table, length: int, per_salt: int):
         self.unit = unit = X.Unit(rows)
-        first, number, inverse, hashes = _unit_hashes(unit, length)
-        blobs = sorted(
-            (b, x) for b, k, x in zip(*(said[c].to_pylist() for c in ("bucket", "kind", "blob")), strict=True) if k == 0
-        )
-        state = np.concatenate([X.expand(x, np.uint8) for _, x in blobs]) if blobs else np.zeros(0, np.uint8)
-        of = state[inverse] if len(hashes) else np.zeros(0, np.uint8)
-        warm, hot = np.flatnonzero(of == 1), np.flatnonzero(of == 2)
-        each = number[hot]
+        facts, first, number, inverse = _anchors(unit, length)
+        salts = X.told(said, _anchor_talk(per_salt), facts)["salts"][inverse]
+        plain, salted = np.flatnonzero(salts == 1), np.flatnonzero(salts > 1)
+        each = number[salted]
         offset = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        self.first = np.concatenate([first[warm], np.repeat(first[hot], each) + offset])
-        self.number = np.concatenate([number[warm], np.ones(len(offset), np.int64)])
-        # a hot window's group is the window itself, by a hash of its bytes
-        group = hashes[inverse[warm]]
-        whole = [unit.bytes[a : a + length] for a in (np.repeat(first[hot], each) + offset).tolist()]
-        own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in whole), np.uint64, len(whole))
-        self.group = np.concatenate([group, own]) if len(own) else group
+        window = np.repeat(first[salted], each) + offset
+        self.first = np.concatenate([first[plain], window])
+        self.number = np.concatenate([number[plain], np.ones(len(window), np.int64)])
+        anchor = np.repeat(facts.keys[inverse[salted]], each)
+        own = mix(_window_hashes(unit.buf, window, length), 21) % np.repeat(salts[salted], each).astype(np.uint64)
+        group = np.concatenate([facts.keys[inverse[plain]], mix(anchor ^ mix(own, 22), 23)])
         self.doc = np.searchsorted(unit.ends, self.first, side="right")
         order = np.argsort(self.doc, kind="stable")
-        self.first, self.number, self.group, self.doc = (x[order] for x in (self.first, self.number, self.group, self.doc))
+        self.first, self.number, group, self.doc = (x[order] for x in (self.first, self.number, group, self.doc))
         held: dict[bytes, int] = {}
         text = unit.bytes
         self.entry = np.fromiter(
@@ -180,25 +182,55 @@ class _Shared:
             np.int64,
             len(self.first),
         )
-        self.texts = list(held)
-        _, self.lead = np.unique(self.entry, return_index=True)  # the first occurrence has the smallest id
-        bucket = X.bucket_of(self.group[self.lead], buckets).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
-        self.cuts = X.cuts(bucket[self.order])
+        _, lead = np.unique(self.entry, return_index=True)  # the first occurrence has the smallest id
+        self.order = np.argsort(group[lead], kind="stable")
+        lead = lead[self.order]
+        texts = list(held)
+        ids = unit.ids[self.doc[lead]].astype("<i8").view(_SMALLEST)
+        self.facts = X.Facts(group[lead], ids, [texts[k] for k in self.order.tolist()])
+
+
+def _window_hashes(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` bytes at each place."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(length):
+        out = out * np.uint64(_BASE) + _TABLE[buf[at + k]]
+    return out
+
 
+_SMALLEST, _BITS = np.dtype([("id", "<i8")]), np.dtype([("bits", "<u8")])
+_EVERY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-def _ask_contexts(key, rows: pa.Table, said: pa.Table, length: int, buckets: int) -> pa.Table:
+
+def _distinct(facts: X.Facts) -> tuple[X.Facts, np.ndarray]:
+    """Distinct contexts with their smallest documents."""
+    held: dict[bytes, int] = {}
+    entry = np.fromiter((held.setdefault(t, len(held)) for t in facts.texts), np.int64, len(facts.texts))
+    _, lead = np.unique(entry, return_index=True)
+    least = np.full(len(held), X.NO_ID, np.int64)
+    np.minimum.at(least, entry, facts.values["id"])
+    order = np.argsort(facts.keys[lead], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    texts = list(held)
+    return X.Facts(facts.keys[lead][order], least[order].astype("<i8").view(_SMALLEST), [texts[k] for k in order.tolist()]), place[entry]
+
+
+def _later(said: np.ndarray, which: np.ndarray, given: X.Facts, merged: X.Facts) -> np.ndarray:
+    """A context that a smaller document holds as a whole has all of its windows from there."""
+    bits = np.where(given.values["id"] > merged.values["id"][which], _EVERY, said["bits"][which])
+    return bits.astype("<u8").view(_BITS)
+
+
+def _context_talk(length: int) -> X.Talk:
+    return X.Talk(_SMALLEST, _BITS, _distinct, lambda facts: _judge(facts, length), texts=True, spread=_later)
+
+
+def _ask_contexts(key, rows: pa.Table, said: pa.Table, length: int, routes: int, per_salt: int) -> pa.Table:
     if not rows.num_rows:
-        return X.table([], _ASK)
-    own, out = _Shared(rows, said, length, buckets), []
-    for b, i, j in own.cuts:
-        which = own.order[i:j]
-        texts = [own.texts[k] for k in which.tolist()]
-        lead = own.lead[which]
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)).astype("<u2")
-        more = X.squeeze(np.frombuffer(own.unit.ids[own.doc[lead]].astype("<i8").tobytes() + (own.group[lead] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + sizes.tobytes(), np.uint8))
-        out.append((key[0].as_py(), b, X.squeeze(np.frombuffer(b"".join(texts), np.uint8)), more))
-    return X.table(out, _ASK)
+        return X.table([], X.SENT)
+    own = _Shared(rows, said, length, per_salt)
+    return X.table(X.sent(own.facts, key[0].as_py(), routes, _context_talk(length)), X.SENT)
 
 
 def order_to_depth(text: np.ndarray, depth: int) -> np.ndarray:
@@ -285,58 +317,28 @@ def _windows_seen_before(texts: list[bytes], docs: np.ndarray, length: int) -> l
     return bits.tolist()
 
 
-def _answer_contexts(rows: pa.Table, length: int) -> pa.Table:
-    units, bucket = rows["unit"].to_pylist(), rows["bucket"][0].as_py()
-    held: dict[bytes, int] = {}
-    docs: list[int] = []
-    groups: list[int] = []
-    asked = []
-    for blob, more in zip(rows["keys"].to_pylist(), rows["more"].to_pylist(), strict=True):
-        raw = X.expand(more, np.uint8).tobytes()
-        n = len(raw) // 14
-        ids = np.frombuffer(raw, "<i8", n)
-        group = np.frombuffer(raw, "<u4", n, 8 * n).tolist()
-        stop = np.cumsum(np.frombuffer(raw, "<u2", n, 12 * n).astype(np.int64)).tolist()
-        text, at, entries = X.expand(blob, np.uint8).tobytes(), 0, []
-        for doc, g, end in zip(ids.tolist(), group, stop, strict=True):
-            piece = text[at:end]
-            at = end
-            e = held.setdefault(piece, len(docs))
-            if e == len(docs):
-                docs.append(doc)
-                groups.append(g)
-            elif doc < docs[e]:
-                docs[e] = doc
-            entries.append(e)
-        asked.append((ids, np.array(entries, np.int64)))
-    texts, smallest, group = list(held), np.array(docs, np.int64), np.array(groups, np.int64)
-    bits = np.zeros(len(texts), np.uint64)
-    # contexts that are alone with their anchor have no string in common with another
-    order = np.argsort(group, kind="stable")
-    _, index, count = np.unique(group[order], return_index=True, return_counts=True)
+def _judge(facts: X.Facts, length: int) -> np.ndarray:
+    """Windows of each distinct context that also start in a document smaller than its own smallest."""
+    bits = np.zeros(len(facts.keys), np.uint64)
     block: list[int] = []
-    held_bytes = 0
+    held = 0
 
     def solve() -> None:
         if block:
-            bits[block] = _windows_seen_before([texts[k] for k in block], smallest[block], length)
+            bits[block] = _windows_seen_before([facts.texts[k] for k in block], facts.values["id"][block], length)
 
+    # contexts that are alone in their group have no string in common with another
+    _, index, count = np.unique(facts.keys, return_index=True, return_counts=True)
     for i, c in zip(index.tolist(), count.tolist(), strict=True):
         if c > 1:
-            members = order[i : i + c].tolist()
-            size = sum(len(texts[k]) for k in members)
-            if block and held_bytes + size > BLOCK:
+            size = sum(len(t) for t in facts.texts[i : i + c])
+            if block and held + size > BLOCK:
                 solve()
-                block, held_bytes = [], 0
-            block += members
-            held_bytes += size
+                block, held = [], 0
+            block += range(i, i + c)
+            held += size
     solve()
-    everything = np.uint64(0xFFFFFFFFFFFFFFFF)
-    out = []
-    for u, (ids, entries) in zip(units, asked, strict=True):
-        answer = np.where(ids > smallest[entries], everything, bits[entries])
-        out.append((u, bucket, 1, X.squeeze(answer.astype("<u8"))))
-    return X.table(out, _SAY)
+    return bits.astype("<u8").view(_BITS)
 
 
 _CUT = pa.schema(
@@ -350,22 +352,17 @@ _CUT = pa.schema(
 _CUT_SQL = "doc_id long, n_bytes long, spans array<struct<from:long,to:long>>, kept binary"
 
 
-def _cut(rows: pa.Table, said: pa.Table, length: int, buckets: int) -> pa.Table:
+def _cut(rows: pa.Table, said: pa.Table, length: int, per_salt: int) -> pa.Table:
     if not rows.num_rows:
         out = _CUT.empty_table()
         return out.append_column("carried", rows["carried"].combine_chunks()) if "carried" in rows.column_names else out
-    own = _Shared(rows, said, length, buckets)
+    own = _Shared(rows, said.filter(pc.equal(said["kind"], 0)), length, per_salt)
     unit = own.unit
-    answers = sorted(
-        (b, x) for b, k, x in zip(*(said[c].to_pylist() for c in ("bucket", "kind", "blob")), strict=True) if k == 1
-    )
-    bits = np.zeros(len(own.texts), np.uint64)
-    if answers:
-        bits[own.order] = np.concatenate([X.expand(x, "<u8") for _, x in answers])
-    mine = bits[own.entry]
-    lead_id = unit.ids[own.doc[own.lead]][own.entry] if len(own.entry) else np.zeros(0, np.int64)
-    later = unit.ids[own.doc] > lead_id
-    mine = np.where(later, np.uint64(0xFFFFFFFFFFFFFFFF), mine)
+    bits = np.zeros(len(own.order), np.uint64)
+    lead_id = np.zeros(len(own.order), np.int64)
+    bits[own.order] = X.told(said.filter(pc.equal(said["kind"], 1)), _context_talk(length), own.facts)["bits"]
+    lead_id[own.order] = own.facts.values["id"]
+    mine = np.where(unit.ids[own.doc] > lead_id[own.entry], _EVERY, bits[own.entry])
     change = np.zeros(len(unit.buf) + 1, np.int8)  # at most ``length`` windows cover a byte
     for w in range(int(own.number.max(initial=0))):
         hit = (own.number > w) & ((mine >> np.uint64(w)) & np.uint64(1)).astype(bool)
@@ -390,8 +387,8 @@ def _cut(rows: pa.Table, said: pa.Table, length: int, buckets: int) -> pa.Table:
 
 
 def dedup(
-    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT,
-    unit_bytes: int = X.UNIT_BYTES, carry: tuple[str, ...] = (),
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", per_salt: int = PER_SALT,
+    unit_bytes: int = X.UNIT_BYTES, carry: tuple[str, ...] = (), fan: int = X.FAN,
 ) -> DataFrame:
     """Per row: doc_id, n_bytes, ``spans`` (removed byte ranges), ``kept`` (the bytes that remain).
 
@@ -399,19 +396,20 @@ def dedup(
     """
     if not 2 * GRAM <= length <= 79:
         raise ValueError(f"length must be from {2 * GRAM} to 79 bytes")
-    units = X.n_units(X.text_bytes(docs, F.col(text_col)), unit_bytes)
-    texts = X.dealt(docs, units, id_col, text_col, carry)
+    to = X.Layout.of(X.text_bytes(docs, F.col(text_col)), unit_bytes, fan)
+    texts = X.dealt(docs, to.units, id_col, text_col, carry, by_text=True)
     out_schema = T.StructType.fromDDL(_CUT_SQL)
     if carry:
         out_schema.add(texts.schema["carried"])
-    ask = texts.groupBy("unit").applyInArrow(lambda t: X.lean(_ask_anchors, t, length, units), _ASK_SQL)
-    said = ask.groupBy("bucket").applyInArrow(lambda t: X.lean(_answer_anchors, t, hot), _SAY_SQL)
+    ask = texts.groupBy("unit").applyInArrow(lambda t: X.lean(_ask_anchors, t, length, to.ranges, per_salt), X.SENT_SQL)
+    said = X.answered(ask, _anchor_talk(per_salt), to)
     shown = (
-        texts.groupBy("unit").cogroup(said.groupBy("unit"))
-        .applyInArrow(lambda k, t, s: X.lean(_ask_contexts, k, t, s, length, units), _ASK_SQL)
+        texts.groupBy("unit").cogroup(said.groupBy("sender"))
+        .applyInArrow(lambda k, t, s: X.lean(_ask_contexts, k, t, s, length, to.ranges, per_salt), X.SENT_SQL)
     )
-    judged = shown.groupBy("bucket").applyInArrow(lambda t: X.lean(_answer_contexts, t, length), _SAY_SQL)
+    judged = X.answered(shown, _context_talk(length), to)
+    both = said.withColumn("kind", F.lit(0)).unionByName(judged.withColumn("kind", F.lit(1)))
     return (
-        texts.groupBy("unit").cogroup(said.unionByName(judged).groupBy("unit"))
-        .applyInArrow(lambda t, s: X.lean(_cut, t, s, length, units), out_schema)
+        texts.groupBy("unit").cogroup(both.groupBy("sender"))
+        .applyInArrow(lambda t, s: X.lean(_cut, t, s, length, per_salt), out_schema)
     )

@@ -59,10 +59,10 @@ def test_bpe_frames(spark):
     assert bpe.round_trip(df.limit(0), RANKS, P.PATTERN).count() == 0
 
 
-@pytest.mark.parametrize(("hot", "unit_bytes"), [(50_000, 8 << 20), (3, 8 << 20), (50_000, 9000)])
-def test_suffix_dedup(spark, hot, unit_bytes):
+@pytest.mark.parametrize(("per_salt", "unit_bytes", "fan"), [(50_000, 8 << 20, 128), (2, 8 << 20, 128), (50_000, 9000, 128), (2, 3000, 2)])
+def test_suffix_dedup(spark, per_salt, unit_bytes, fan):
     rows = H.awkward()
-    got = suffix_dedup.dedup(H.frame(spark, rows), hot=hot, unit_bytes=unit_bytes, carry=("lang", "kind")).collect()
+    got = suffix_dedup.dedup(H.frame(spark, rows), per_salt=per_salt, unit_bytes=unit_bytes, fan=fan, carry=("lang", "kind")).collect()
     assert sorted((H.NO_ID if r.doc_id is None else r.doc_id, r.n_bytes, bytes(r.kept)) for r in got) == H.removed(rows)
     assert all(r.n_bytes - len(r.kept) == sum(s["to"] - s["from"] for s in r.spans) for r in got)
     assert all(r.carried.lang == "en" and r.carried.kind == 2 for r in got)
@@ -87,12 +87,51 @@ def test_bounded_prefixes_against_sorting():
         assert cut.tolist() == [True] + [a != b for a, b in zip(ordered, ordered[1:], strict=False)]
 
 
-@pytest.mark.parametrize("unit_bytes", [8 << 20, 9000])
-def test_jaccard_join(spark, unit_bytes):
-    rows = [r for r in H.awkward() if r[0] != 92]
-    got = jaccard_join.components(H.frame(spark, rows), unit_bytes=unit_bytes).collect()
-    fix = lambda v: H.NO_ID if v is None else v
-    assert sorted((fix(r.doc_id), r.n_shingles, fix(r.component_id)) for r in got) == H.components(rows)
+def _jaccard(rows):
+    """Rows as brute force sees them: a null id is a document of its own."""
+    least = max((i for i, _ in rows if i is not None), default=0)
+    own = [(i if i is not None else least + 1 + k, t) for k, (i, t) in enumerate(rows)]
+    back = lambda v: None if v > least else v
+    return sorted(((back(i), n, back(c)) for i, n, c in H.components(own)), key=str), least
+
+
+@pytest.mark.parametrize(("unit_bytes", "fan", "tile"), [(8 << 20, 128, 2000), (9000, 128, 2), (3000, 2, 3)])
+def test_jaccard_join(spark, unit_bytes, fan, tile):
+    rows = [*H.awkward(), (96, H.awkward()[0][1]), (96, H.awkward()[41][1]), (None, H.awkward()[1][1]), (None, "no one else has these six words"), (None, "no one else has these six words")]
+    got = jaccard_join.components(H.frame(spark, rows), unit_bytes=unit_bytes, fan=fan, tile=tile).collect()
+    want, _ = _jaccard(rows)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+
+
+@pytest.mark.parametrize("percent", [1, 10, 30, 50, 60, 67, 90, 100])
+def test_jaccard_join_at_any_similarity(spark, percent):
+    rng = random.Random(percent)
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 13)))) for i in range(150)]
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    for i in range(40):
+        w = list(base)
+        for _ in range(rng.randrange(0, 12)):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((200 + i, " ".join(w[: rng.randrange(30, 61)])))
+    got = jaccard_join.components(H.frame(spark, rows), percent=percent).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == H.components(rows, percent)
+
+
+def test_every_pair_of_a_block_meets_in_one_tile():
+    rng = np.random.default_rng(0)
+    name = rng.integers(-(1 << 62), 1 << 62, 50)
+    key, held = np.full(50, 7, np.uint64), np.full(50, 50)
+    of, at, side = jaccard_join.tiles(key, name, held, 8)
+    met = {}
+    for tile in np.unique(of):
+        own = np.flatnonzero(of == tile)
+        two = side[own].any()
+        assert len(own) <= 3 * 16
+        for x in own:
+            for y in own:
+                if at[x] < at[y] and (not two or side[x] != side[y]):
+                    met[at[x], at[y]] = met.get((at[x], at[y]), 0) + 1
+    assert len(met) == 50 * 49 // 2 and set(met.values()) == {1}
 
 
 def test_jaccard_join_of_small_sets_and_empty_table(spark):
@@ -103,10 +142,10 @@ def test_jaccard_join_of_small_sets_and_empty_table(spark):
     assert jaccard_join.components(H.frame(spark, [])).count() == 0
 
 
-def test_rows_that_share_an_id_do_not_crash(spark):
-    rows = [(1, "a b c d e f g"), (1, "h i j k l m n o"), (2, "h i j k l m n o")]
+def test_rows_that_share_an_id_are_one_node(spark):
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n o"), (2, "h i j k l m n o"), (3, "a b c d e f g"), (4, None)]
     got = jaccard_join.components(H.frame(spark, rows)).collect()
-    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1)]
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
 
 
 def test_sketch_bounds_the_difference():
@@ -158,12 +197,13 @@ def test_chat_format(spark):
     assert chat_format.render(df.limit(0)).count() == 0
 
 
-def test_lm_base_scores(spark):
+@pytest.mark.parametrize(("unit_bytes", "fan"), [(20_000, 128), (4000, 2)])
+def test_lm_base_scores(spark, unit_bytes, fan):
     rows = [r for r in H.awkward() if r[0] is not None]
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     count = H.token_counts(rows, held)
     n, v = sum(count.values()), len(count)
-    got = lm_score.score(H.frame(spark, rows), held_out(parts=5, part=1), unit_bytes=20_000).collect()
+    got = lm_score.score(H.frame(spark, rows), held_out(parts=5, part=1), unit_bytes=unit_bytes, fan=fan).collect()
     want = []
     for i, t in rows:
         w = [*H.words(t), "\0end"]
