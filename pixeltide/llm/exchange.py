@@ -93,7 +93,12 @@ def dealt(docs: DataFrame, units: int, id_col: str = "doc_id", text_col: str = "
         *([F.struct(*carry).alias("carried")] if carry else []),
         *(c.alias(name) for name, c in more.items()),
     )
-    return rows.repartition(math.ceil(units / UNITS_EACH), "unit")
+    return rows.repartition(partitions(units), "unit")
+
+
+def partitions(units: int) -> int:
+    """Partitions that units are dealt to."""
+    return math.ceil(units / UNITS_EACH)
 
 
 _libc = ctypes.CDLL(None)
@@ -256,7 +261,7 @@ def _replies(senders: list[int], parts: list[Facts], route: int, answers: np.nda
     return out
 
 
-def _answer(rows: pa.Table, talk: Talk) -> pa.Table:
+def answer(rows: pa.Table, talk: Talk) -> pa.Table:
     route = rows["route"][0].as_py()
     senders, parts = _heard(rows, talk)
     given = Facts.joined(parts)
@@ -301,11 +306,11 @@ def told(rows: pa.Table, talk: Talk, facts: Facts | None) -> np.ndarray:
 def answered(asked: DataFrame, talk: Talk, layout: Layout) -> DataFrame:
     """(sender, route, blob): answers to messages (sender, route, blob) that went to ``layout.ranges`` routes."""
     if not layout.two_hops:
-        return asked.groupBy("route").applyInArrow(lambda t: lean(_answer, t, talk), SENT_SQL)
+        return asked.groupBy("route").applyInArrow(lambda t: lean(answer, t, talk), SENT_SQL)
     each = layout.buckets // layout.ranges
     near = asked.withColumn("home", F.pmod("sender", F.lit(layout.groups)))
     merged = near.groupBy("home", "route").applyInArrow(lambda t: lean(_gather, t, talk, layout.buckets), SENT_SQL)
-    judged = merged.groupBy("route").applyInArrow(lambda t: lean(_answer, t, talk), SENT_SQL)
+    judged = merged.groupBy("route").applyInArrow(lambda t: lean(answer, t, talk), SENT_SQL)
     back = judged.select("sender", F.col("sender").alias("home"), F.floor(F.col("route") / each).cast("int").alias("route"), F.col("route").alias("bucket"), "blob")
     return near.groupBy("home", "route").cogroup(back.groupBy("home", "route")).applyInArrow(lambda t, b: lean(_spread, t, b, talk), SENT_SQL)
 

@@ -207,16 +207,18 @@ _BLOCKS = X.Talk(_ASKED, _SAID, _count, _held, bits=48)
 def _first_facts(own: _Sets, number: int, keys: np.ndarray) -> tuple[X.Facts, np.ndarray, np.ndarray]:
     """Facts of a unit's block keys and set names, and the places of both in them."""
     high = np.uint64(0xFFFFFFFFFFFF0000)
-    block, count = np.unique(keys & high, return_counts=True)
-    values = np.zeros(len(block) + len(own.own), _ASKED)
-    values["n"][: len(block)] = count
-    values["unit"] = np.concatenate([np.full(len(block), 2**32 - 1), np.full(len(own.own), number)])
-    values["rest"][len(block) :] = (own.set_keys & np.uint64(0xFFFF)).astype(np.uint16)
-    every = np.concatenate([block, own.set_keys & high])
-    order = np.argsort(every, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return X.Facts(every[order], values[order]), place[: len(block)][np.searchsorted(block, keys & high)], place[len(block) :]
+    block, of, count = np.unique(keys & high, return_inverse=True, return_counts=True)
+    order = np.argsort(own.set_keys)
+    names = own.set_keys[order]
+    at = np.searchsorted(block, names & high)  # names stand between the block keys
+    shift = np.cumsum(np.bincount(at, minlength=len(block) + 1))[: len(block)]
+    at_block, at_name = np.arange(len(block)) + shift, np.empty(len(names), np.int64)
+    at_name[order] = at + np.arange(len(names))
+    every, values = np.empty(len(block) + len(names), np.uint64), np.zeros(len(block) + len(names), _ASKED)
+    every[at_block], every[at_name] = block, own.set_keys & high
+    values["n"][at_block], values["unit"][at_block] = count, 2**32 - 1
+    values["unit"][at_name], values["rest"][at_name] = number, (own.set_keys & np.uint64(0xFFFF)).astype(np.uint16)
+    return X.Facts(every, values), at_block[of], at_name
 
 
 def _ask(rows: pa.Table, size: int, percent: int, routes: int) -> pa.Table:
@@ -266,12 +268,12 @@ def _candidates(rows: pa.Table, said: pa.Table, size: int, percent: int) -> pa.T
         rank = np.arange(len(order)) - np.repeat(np.cumsum(number_of) - number_of, number_of)
         g = group[order]
         take = (rank <= number_of[g] - least[g]) & (held[order] > 1)
-        key, doc, held = key[order][take], group_set[g[take]], held[order][take]
+        key, doc = key[order][take], group_set[g[take]]
         if len(key):
             who = np.unique(doc)
             local = np.searchsorted(who, doc)
             by = np.argsort(key, kind="stable")
-            blob = _packed(names[who], own.sizes[who], key[by], local[by], held[by])
+            blob = _packed(names[who], own.sizes[who], key[by], local[by])
             out.append((_KEYS, number, None, None, None, blob))
             for w in who.tolist():
                 a = own.starts[w]
@@ -279,13 +281,13 @@ def _candidates(rows: pa.Table, said: pa.Table, size: int, percent: int) -> pa.T
     return X.table(out, _BASE)
 
 
-_WHO, _KEY = np.dtype([("name", "<i8"), ("n", "<i8")]), np.dtype([("key", "<u8"), ("local", "<u4"), ("held", "<u4")])
+_WHO, _KEY = np.dtype([("name", "<i8"), ("n", "<i8")]), np.dtype([("key", "<u8"), ("local", "<u4")])
 
 
-def _packed(names: np.ndarray, sizes: np.ndarray, key: np.ndarray, local: np.ndarray, held: np.ndarray) -> bytes:
+def _packed(names: np.ndarray, sizes: np.ndarray, key: np.ndarray, local: np.ndarray) -> bytes:
     who, keys = np.empty(len(names), _WHO), np.empty(len(key), _KEY)
     who["name"], who["n"] = names, sizes
-    keys["key"], keys["local"], keys["held"] = key, local, np.minimum(held, 2**32 - 1)
+    keys["key"], keys["local"] = key, local
     head = np.array([len(who), len(keys)], "<i8").tobytes()
     return X.squeeze(np.frombuffer(head + who.tobytes() + keys.tobytes(), np.uint8))
 
@@ -299,49 +301,74 @@ class _Members:
         who = np.frombuffer(raw, _WHO, n_who, 16)
         keys = np.frombuffer(raw, _KEY, n_keys, 16 + n_who * _WHO.itemsize)
         self.name, self.n = who["name"], who["n"]
-        self.key, self.local, self.held = keys["key"], keys["local"].astype(np.int64), keys["held"].astype(np.int64)
+        self.key, self.local = keys["key"], keys["local"].astype(np.int64)
+        self.label, self.centre, self.far = np.zeros(n_who, np.int64), np.zeros(n_who, np.int64), np.zeros(n_who, np.float32)
         if known is None:
             return
         order = np.argsort(self.name)
         own = np.array(known["d"].to_pylist(), np.int64)
         place = order[np.minimum(np.searchsorted(self.name, own, sorter=order), len(order) - 1)]
+        here = self.name[place] == own  # sets without keys are left out
+        place, known = place[here], known.filter(pa.array(here))
         self.chosen = np.zeros(n_who, bool)
         self.chosen[place] = True
-        self.label, self.centre, self.far = np.zeros(n_who, np.int64), np.zeros(n_who, np.int64), np.zeros(n_who, np.float32)
         self.label[place] = known["l"].to_pylist()
         self.centre[place] = known["centre"].to_pylist()
         self.far[place] = known["far"].to_pylist()
         self.told, self.place = known, place
 
+    def only(self, keep: np.ndarray) -> list[bytes]:
+        """The members with these keys only, if there are any."""
+        if not keep.any():
+            return []
+        who, local = np.unique(self.local[keep], return_inverse=True)
+        return [_packed(self.name[who], self.n[who], self.key[keep], local)]
 
-#: Of a block: one of its sets, the one that comes first in some order, with what is known of it; and its extreme labels.
-_HEAD = np.dtype([("turn", "<u8"), ("name", "<i8"), ("n", "<i8"), ("label", "<i8"), ("centre", "<i8"), ("far", "<f4"), ("low", "<i8"), ("high", "<i8")])
 
+#: Of a block: one of its sets, the one that comes first in some order, with what is known of it, and the
+#: extreme labels.  Labels are kept as differences, as most are equal, and the centre as a hash.
+_HEAD = np.dtype([("name", "<i8"), ("n", "<u4"), ("label", "<i8"), ("centre", "<u4"), ("far", "<f4"), ("low", "<i8"), ("high", "<i8"), ("several", "u1")])
+_TOLD = np.dtype([("name", "<i8"), ("n", "<u4"), ("label", "<i8"), ("centre", "<u4"), ("far", "<f4"), ("mixed", "u1"), ("several", "u1")])
 
-def _heads(facts: X.Facts) -> tuple[X.Facts, np.ndarray]:
+
+def _heads(facts: X.Facts, salt: int) -> tuple[X.Facts, np.ndarray]:
+    v = facts.values
     keys, which = X.by_key(facts.keys)
-    order = np.lexsort((facts.values["turn"], which))
+    order = np.lexsort((mix(v["name"].astype(np.uint64), salt), which))
     lead = order[np.flatnonzero(np.concatenate([[True], which[order][1:] != which[order][:-1]]))] if len(order) else order
-    out = facts.values[lead].copy()
+    out = v[lead].copy()
+    label = v["label"] ^ v["name"]
     for name, least in (("low", np.minimum), ("high", np.maximum)):
-        held = out[name].copy()
-        least.at(held, which, facts.values[name])
-        out[name] = held
+        given = v[name] ^ label
+        held = given[lead].copy()
+        least.at(held, which, given)
+        out[name] = held ^ label[lead]
+    out["several"] = (np.bincount(which, v["several"], len(keys)) > 0) | (np.bincount(which, minlength=len(keys)) > 1)
     return X.Facts(keys, out), which
 
 
-_CENTRES = X.Talk(_HEAD, _HEAD, _heads, lambda facts: facts.values, bits=64)
+def _say(facts: X.Facts) -> np.ndarray:
+    out = np.empty(len(facts.keys), _TOLD)
+    for name in ("name", "n", "label", "centre", "far", "several"):
+        out[name] = facts.values[name]
+    out["mixed"] = facts.values["low"] != facts.values["high"]
+    return out
+
+
+def _centres(salt: int) -> X.Talk:
+    return X.Talk(_HEAD, _TOLD, lambda facts: _heads(facts, salt), _say)
+
+
+def _hashed(centre: np.ndarray) -> np.ndarray:
+    return (mix(centre.view(np.uint64), 34) >> np.uint64(32)).astype(np.uint32)
 
 
 def _block_facts(m: _Members, salt: int) -> tuple[X.Facts, np.ndarray]:
     """For each key of a unit its first set in the order of ``salt``, and the place of each member's key."""
-    values = np.zeros(len(m.key), _HEAD)
-    values["turn"] = mix(m.name.view(np.uint64), salt)[m.local]
-    values["name"], values["n"] = m.name[m.local], m.n[m.local]
-    if hasattr(m, "label"):
-        values["label"] = values["low"] = values["high"] = m.label[m.local]
-        values["centre"], values["far"] = m.centre[m.local], m.far[m.local]
-    return _heads(X.Facts(m.key, values))
+    who = np.zeros(len(m.name), _HEAD)
+    who["name"], who["n"], who["label"] = m.name, m.n, m.name ^ m.label
+    who["centre"], who["far"] = _hashed(m.centre), m.far
+    return _heads(X.Facts(m.key, who[m.local]), salt)
 
 
 def _most_common(m: _Members, head: np.ndarray, ok: np.ndarray) -> pa.Table:
@@ -357,44 +384,57 @@ def _says(rows: pa.Table, known: pa.Table | None, salt: int, routes: int) -> pa.
     out = []
     for unit, blob in zip(rows["unit"].to_pylist(), rows["blob"].to_pylist(), strict=True):
         facts, _ = _block_facts(_Members(blob, known), salt)
-        out += X.sent(facts, unit, routes, _CENTRES)
+        out += X.sent(facts, unit, routes, _centres(salt))
     return X.table(out, X.SENT)
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("c", pa.int64())])
+#: Pairs to verify, contested sets, and what is left of a unit's keys.
+_OFFERS = pa.schema([("contested", pa.bool_()), ("a", pa.int64()), ("c", pa.int64()), ("unit", pa.int32()), ("blob", pa.binary())])
+_OFFERS_SQL = "contested boolean, a long, c long, unit int, blob binary"
+
+
+def _offers(pairs: pa.Table, contested: np.ndarray, unit: int, blobs: list[bytes]) -> pa.Table:
+    n, m, k = pairs.num_rows, len(contested), len(blobs)
+    return pa.Table.from_arrays(
+        [
+            pa.array([False] * n + [True] * m + [None] * k, pa.bool_()),
+            pa.array([*pairs["a"].to_pylist(), *contested.tolist(), *[None] * k], pa.int64()),
+            pa.array([*pairs["c"].to_pylist(), *[None] * (m + k)], pa.int64()),
+            pa.array([None] * (n + m) + [unit] * k, pa.int32()),
+            pa.array([None] * (n + m) + blobs, pa.binary()),
+        ],
+        schema=_OFFERS,
+    )
 
 
 def _vote(rows: pa.Table, said: pa.Table, salt: int) -> pa.Table:
-    """Per set the centre that it shares most blocks with."""
+    """Per set the centre that it shares most blocks with; and the keys that several sets have."""
     if not rows.num_rows:
-        return _PAIRS.empty_table()
+        return _OFFERS.empty_table()
     m = _Members(rows["blob"][0].as_py())
     facts, which = _block_facts(m, salt)
-    head = X.told(said, _CENTRES, facts)[which]
-    return _most_common(m, head, head["name"] != m.name[m.local])
-
-
-_OFFERS = pa.schema([("contested", pa.bool_()), ("a", pa.int64()), ("c", pa.int64())])
+    head = X.told(said, _centres(salt), facts)[which]
+    pairs = _most_common(m, head, head["name"] != m.name[m.local])
+    return _offers(pairs, np.zeros(0, np.int64), rows["unit"][0].as_py(), m.only(head["several"] > 0))
 
 
 def _offer(rows: pa.Table, both: pa.Table, salt: int, percent: int) -> pa.Table:
-    """Per set one member of its blocks with another label that may be a partner; and the sets of blocks of several labels."""
+    """Per set one member of its blocks with another label that may be a partner; and the sets and keys of blocks of several labels."""
     if not rows.num_rows:
         return _OFFERS.empty_table()
     known, said = both.filter(pc.is_valid(both["d"])), both.filter(pc.is_valid(both["route"]))
     m = _Members(rows["blob"][0].as_py(), known)
     facts, which = _block_facts(m, salt)
-    head = X.told(said, _CENTRES, facts)[which]
+    head = X.told(said, _centres(salt), facts)[which]
     n, label = m.n[m.local], m.label[m.local]
-    small, large = np.minimum(n, head["n"]), np.maximum(n, head["n"])
+    theirs = head["label"] ^ head["name"]
+    small, large = np.minimum(n, head["n"].astype(np.int64)), np.maximum(n, head["n"].astype(np.int64))
     limit = np.float32(1 - percent / 100 + 1e-5)
-    apart = (head["centre"] == m.centre[m.local]) & (np.abs(m.far[m.local] - head["far"]) > limit)
-    offers = _most_common(m, head, (head["label"] != label) & (small * 100 >= large * percent) & ~apart)
-    contested = np.unique(m.name[m.local[head["low"] != head["high"]]])
-    return pa.concat_tables([
-        pa.Table.from_arrays([pa.array([False] * offers.num_rows, pa.bool_()), *offers.columns], schema=_OFFERS),
-        pa.Table.from_arrays([pa.array([True] * len(contested), pa.bool_()), pa.array(contested), pa.nulls(len(contested), pa.int64())], schema=_OFFERS),
-    ])
+    apart = (head["centre"] == _hashed(m.centre)[m.local]) & (np.abs(m.far[m.local] - head["far"]) > limit)
+    pairs = _most_common(m, head, (theirs != label) & (small * 100 >= large * percent) & ~apart)
+    mixed = head["mixed"] > 0
+    return _offers(pairs, np.unique(m.name[m.local[mixed]]), rows["unit"][0].as_py(), m.only(mixed))
 
 
 def sketch_bits(n) -> np.ndarray:
@@ -424,7 +464,7 @@ def _add(facts: X.Facts) -> tuple[X.Facts, np.ndarray]:
     return X.Facts(keys, np.minimum(np.bincount(which, facts.values["n"], len(keys)), 2**32 - 1).astype("<u4").view(_NUMBER)), which
 
 
-_SIZES = X.Talk(_NUMBER, _NUMBER, _add, lambda facts: facts.values, bits=64)
+_SIZES = X.Talk(_NUMBER, _NUMBER, _add, lambda facts: facts.values)
 
 
 def _member_counts(m: _Members) -> tuple[X.Facts, np.ndarray, np.ndarray]:
@@ -590,8 +630,10 @@ def components(
         for batch in parts:
             yield from X.lean(_says, pa.Table.from_batches([batch]), None, 20, to.ranges).to_batches()
 
-    centres = X.answered(keys.mapInArrow(says, X.SENT_SQL), _CENTRES, to)
-    best = keys.groupBy("unit").cogroup(centres.groupBy("sender")).applyInArrow(lambda k, s: X.lean(_vote, k, s, 20), "a long, c long")
+    centres = X.answered(keys.mapInArrow(says, X.SENT_SQL), _centres(20), to)
+    voted = keys.groupBy("unit").cogroup(centres.groupBy("sender")).applyInArrow(lambda k, s: X.lean(_vote, k, s, 20), _OFFERS_SQL).checkpoint()
+    best = voted.filter("a is not null").select("a", "c")
+    keys = voted.filter("blob is not null").select("unit", "blob")
     judged = _verify(best, own_sets).checkpoint()
     linked = F.col("both") * 100 >= F.col("either") * percent
 
@@ -608,20 +650,22 @@ def components(
         """What a unit knows of its sets and what it is told, in one table."""
         return told.unionByName(said.withColumnRenamed("sender", "u"), allowMissingColumns=True)
 
-    def offers_of(label: DataFrame, salt: int) -> DataFrame:
+    def offers_of(keys: DataFrame, label: DataFrame, salt: int) -> DataFrame:
         told = facts_of(label)
         asked = keys.groupBy("unit").cogroup(told.groupBy("u")).applyInArrow(lambda k, t: X.lean(_says, k, t, salt, to.ranges), X.SENT_SQL)
-        both = beside(told, X.answered(asked, _CENTRES, to))
-        found = keys.groupBy("unit").cogroup(both.groupBy("u")).applyInArrow(lambda k, t: X.lean(_offer, k, t, salt, percent), "contested boolean, a long, c long")
+        both = beside(told, X.answered(asked, _centres(salt), to))
+        found = keys.groupBy("unit").cogroup(both.groupBy("u")).applyInArrow(lambda k, t: X.lean(_offer, k, t, salt, percent), _OFFERS_SQL)
         return found.checkpoint()
 
-    found = offers_of(label, 21)
+    # labels only ever merge, so each pass needs the keys alone whose blocks had several labels in the pass before
+    found = offers_of(keys, label, 21)
     for round_ in range(ROUNDS):
         more = _verify(found.filter("not contested").select("a", "c"), own_sets).filter(linked).select("a", "c").checkpoint()
         if more.isEmpty():
             break
         label = _merge(label, more)
-        found = offers_of(label, 22 + round_)
+        found = offers_of(found.filter("blob is not null").select("unit", "blob"), label, 22 + round_)
+    keys = found.filter("blob is not null").select("unit", "blob")
     contested = found.filter("contested").select(F.col("a").alias("d"))
     told = facts_of(label).join(contested, "d").join(own_sets.withColumnRenamed("name", "d"), "d").select("u", "d", "l", "centre", "far", "blob").checkpoint()
     counts = keys.groupBy("unit").cogroup(told.groupBy("u")).applyInArrow(lambda k, t: X.lean(_count_members, k, t, to.ranges), X.SENT_SQL)

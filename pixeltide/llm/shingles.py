@@ -56,7 +56,9 @@ def words(unit: Unit, slice_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarra
         which = place + np.repeat(a, size)
         out[at:stop] = np.add.reduceat(_BYTES[buf[which]] * power[place], np.cumsum(size) - size)
         at = stop
-    return start, end, mix(out), np.searchsorted(unit.ends, start, side="right")
+    # words are in order of their documents
+    first = np.searchsorted(start, unit.starts)
+    return start, end, mix(out), np.repeat(np.arange(len(first)), np.diff(np.append(first, len(start))))
 
 
 def shingles(word: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
