@@ -229,9 +229,9 @@ def _ask(rows: pa.Table, size: int, percent: int, routes: int) -> pa.Table:
 
 
 _BASE = pa.schema(
-    [("kind", pa.int32()), ("unit", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("blob", pa.binary())]
+    [("kind", pa.int32()), ("unit", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("blob", pa.binary()), ("hashes", pa.list_(pa.int64()))]
 )
-_BASE_SQL = "kind int, unit int, doc_id long, n long, name long, blob binary"
+_BASE_SQL = "kind int, unit int, doc_id long, n long, name long, blob binary, hashes array<long>"
 #: kinds of the base rows: every document, a candidate's set, a unit's candidate keys, two sets of one id
 _DOC, _SET, _KEYS, _SAME = 0, 1, 2, 3
 
@@ -247,13 +247,13 @@ def _candidates(rows: pa.Table, said: pa.Table, size: int, percent: int) -> pa.T
     names = own.names.view(np.int64)
     full = own.sizes > 0
     out = [
-        (_DOC, number, None if i == X.NO_ID else i, n, a if n else None, None)
+        (_DOC, number, None if i == X.NO_ID else i, n, a if n else None, None, None)
         for i, n, a in zip(ids.tolist(), own.sizes.tolist(), names.tolist(), strict=True)
     ]
     # documents are ordered by id: different sets of one id are neighbours, but for empty ones
     some = np.flatnonzero(full & (ids != X.NO_ID))
     same = np.flatnonzero((ids[some][1:] == ids[some][:-1]) & (names[some][1:] != names[some][:-1]))
-    out += [(_SAME, number, a, None, b, None) for a, b in zip(names[some][same].tolist(), names[some][same + 1].tolist(), strict=True)]
+    out += [(_SAME, number, a, None, b, None, None) for a, b in zip(names[some][same].tolist(), names[some][same + 1].tolist(), strict=True)]
     if len(key):
         held = answers["n"][at_key].astype(np.int64)
         # one unit alone stands for equal sets of all units
@@ -274,10 +274,10 @@ def _candidates(rows: pa.Table, said: pa.Table, size: int, percent: int) -> pa.T
             local = np.searchsorted(who, doc)
             by = np.argsort(key, kind="stable")
             blob = _packed(names[who], own.sizes[who], key[by], local[by])
-            out.append((_KEYS, number, None, None, None, blob))
+            out.append((_KEYS, number, None, None, None, blob, None))
             for w in who.tolist():
                 a = own.starts[w]
-                out.append((_SET, number, None, int(own.sizes[w]), int(names[w]), own.hashes[a : a + own.sizes[w]].astype("<u8").tobytes()))
+                out.append((_SET, number, None, int(own.sizes[w]), int(names[w]), None, own.hashes[a : a + own.sizes[w]].view(np.int64)))
     return X.table(out, _BASE)
 
 
@@ -515,8 +515,8 @@ def _send_tiles(rows: pa.Table, both: pa.Table, buckets: int, tile: int) -> pa.T
     for name in _FACTS.names:
         fact[name] = getattr(m, name)
     sketches = [b""] * len(m.name)
-    for place, blob in zip(m.place.tolist(), known["blob"].to_pylist(), strict=True):
-        sketches[place] = parity_sketch(np.frombuffer(blob, "<u8"))
+    for place, hashes in zip(m.place.tolist(), m.told["hashes"], strict=True):
+        sketches[place] = parity_sketch(hashes.values.to_numpy().view(np.uint64))
     of, at, side = tiles(m.key[take], m.name[m.local[take]], held, tile)
     member = m.local[take][at]
     order = np.argsort(of, kind="stable")
@@ -579,22 +579,12 @@ def _cross(rows: pa.Table, percent: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "c"])
 
 
-def _similarity(batches):
-    """Exact Jaccard similarity of each (a, c) row's sets, as intersection and union sizes."""
-    for batch in batches:
-        xs, ys = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        common = [
-            len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(xs, ys, strict=True)
-        ]
-        union = [(len(x) + len(y)) // 8 - c for x, y, c in zip(xs, ys, common, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "c", "both", "either"])
-
-
 def _verify(pairs: DataFrame, own_sets: DataFrame) -> DataFrame:
-    left = own_sets.select(F.col("name").alias("a"), F.col("blob").alias("x"))
-    right = own_sets.select(F.col("name").alias("c"), F.col("blob").alias("y"))
-    both = pairs.join(left, "a").join(right, "c").select("a", "c", "x", "y")
-    return both.mapInArrow(_similarity, "a long, c long, both long, either long")
+    """Exact Jaccard similarity of each (a, c) row's sets, as intersection and union sizes."""
+    left = own_sets.select(F.col("name").alias("a"), F.col("hashes").alias("x"))
+    right = own_sets.select(F.col("name").alias("c"), F.col("hashes").alias("y"))
+    both = pairs.join(left, "a").join(right, "c").select("a", "c", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    return both.select("a", "c", F.col("both").cast("long").alias("both"), (F.col("sum") - F.col("both")).cast("long").alias("either"))
 
 
 def _merge(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -623,7 +613,7 @@ def components(
         .applyInArrow(lambda t, s: X.lean(_candidates, t, s, size, percent), _BASE_SQL)
         .checkpoint()
     )
-    own_sets = base.filter(F.col("kind") == _SET).select("name", "blob")
+    own_sets = base.filter(F.col("kind") == _SET).select("name", "hashes")
     keys = base.filter(F.col("kind") == _KEYS).select("unit", "blob")
 
     def says(parts):
@@ -667,7 +657,7 @@ def components(
         found = offers_of(found.filter("blob is not null").select("unit", "blob"), label, 22 + round_)
     keys = found.filter("blob is not null").select("unit", "blob")
     contested = found.filter("contested").select(F.col("a").alias("d"))
-    told = facts_of(label).join(contested, "d").join(own_sets.withColumnRenamed("name", "d"), "d").select("u", "d", "l", "centre", "far", "blob").checkpoint()
+    told = facts_of(label).join(contested, "d").join(own_sets.withColumnRenamed("name", "d"), "d").select("u", "d", "l", "centre", "far", "hashes").checkpoint()
     counts = keys.groupBy("unit").cogroup(told.groupBy("u")).applyInArrow(lambda k, t: X.lean(_count_members, k, t, to.ranges), X.SENT_SQL)
     both = beside(told, X.answered(counts, _SIZES, to))
     few = max(1, -(-told.count() // PER_BUCKET))
