@@ -54,20 +54,34 @@ def test_decontamination_finds_changed_numbers_units_and_names(spark):
     item = "Tom has 3 apples and buys 4 kg more at the store in Paris, how many apples does Tom have now?"
     hit = "Well then. Anna has 12 apples and buys 1,200.5 lbs more at the store in Rome, how many apples does Anna have now? Yes."
     mixed = "Bob has 3 apples and Tom buys 3 kg more at a store near Rome and how many pears does Tim have now?"
-    docs = H.frame(spark, [(1, hit), (2, item.lower()), (3, mixed), (4, None), (5, ""), (None, item), (7, item), (7, item)])
-    bench = spark.createDataFrame([(70, item), (71, "too short"), (72, None), (73, "a b c d e")], "item_id long, text string")
-    got = [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()]
-    assert sorted(got, key=str) == sorted([(1, 70), (None, 70), (7, 70), (7, 70)], key=str) or (2, 70) in got
-    kept = decontaminate.clean(docs, bench)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {3, 4, 5}
-    assert decontaminate.leaks(docs, bench, block=1).count() == len(got)
+    docs = H.frame(spark, [(1, hit), (2, item.lower()), (3, mixed), (4, None), (5, ""), (None, item), (7, item), (7, item), (8, item.upper()), (9, "x\nToo short!\ny"), (10, "it is too short for that"), (11, "Well " * 30000 + item)])
+    bench = spark.createDataFrame([(70, item), (71, "too short"), (72, None), (73, "a b c d e"), (74, ""), (70, item)], "item_id long, text string")
+    twice = [(i, 70) for i in (1, 2, None, 7, 7, 8, 11)] * 2 + [(9, 71)]
+    for block in (1 << 20, 1):  # sent to the executors, and joined
+        got = [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, block=block).collect()]
+        assert sorted(got, key=str) == sorted(twice, key=str), block
+        kept = decontaminate.clean(docs, bench, block=block)
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 10]
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 == decontaminate.leaks(docs.limit(0), bench).count()
 
 
 def test_slots_must_be_consistent():
-    index = decontaminate.Index([1], ["from 3 take 3 then add 5 to what is left over of the pile"], 8, 4)
+    table = decontaminate.Table(["from 3 take 3 then add 5 to what is left over of the pile"])
     for text, found in (("from 8 take 8 then add 2 to what is left over of the pile", 1), ("from 8 take 9 then add 2 to what is left over of the pile", 0)):
-        assert len(index.leaks(decontaminate.Template([text]), 0.9)) == found
+        assert len(table.leaks([text], 0.9, 14)) == found
+
+
+def test_tables_of_numbers_match_themselves_only():
+    table = decontaminate.Table(["2, 4, 8, 16, 32, 64, 128, 256, 512, 1024: which number comes next?", "17 93 11 54 2 8 33 21 60 71"])
+    texts = ["Sales by day 17 93 11 54 3 8 33 22 60 71 18 94 12 55 4 9 34 23 61 72", "x 17 93 11 54 2 8 33 21 60 71 y", "1, 3, 9, 27, 81, 243, 729, 2187, 6561: which number comes next?"]
+    assert {(d, i) for d, i, *_ in table.leaks(texts)} == {(1, 1)}
+
+
+def test_a_long_part_of_a_longer_item_is_a_leak():
+    words = [f"w{i}" for i in range(200)]
+    table = decontaminate.Table([" ".join(words)])
+    assert [m[4] for m in table.leaks(["so " + " ".join(words[90:103]) + " it"])] == [13]
+    assert not table.leaks(["so " + " ".join(words[90:102]) + " it"])
 
 
 def test_case_and_names_that_open_sentences_hide_no_leak():
@@ -76,9 +90,30 @@ def test_case_and_names_that_open_sentences_hide_no_leak():
         "Tom has 3 red apples. Tom buys 4 more apples. Tom eats 2 of them. How many apples are left?",
     ]
     texts = [t for i in items for t in (i.lower(), i.upper())] + [items[1].replace("Tom", "Anna").replace("3", "7")]
-    texts += ["ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE TEN ELEVEN TWELVE"]
-    got = decontaminate.Index([1, 2], items, 8, 4).leaks(decontaminate.Template(texts), 0.5)
-    assert {(d, i) for d, i, *_ in got} == {(0, 0), (1, 0), (2, 1), (3, 1), (4, 1)}
+    texts += ["ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE TEN ELEVEN TWELVE", "tom has 5 red apples. tom buys 6 more apples. tom eats 1 of them. how many apples are left?"]
+    got = decontaminate.Table(items).leaks(texts)
+    assert {(d, i) for d, i, *_ in got} == {(0, 0), (1, 0), (2, 1), (3, 1), (4, 1), (6, 1)}
+
+
+def test_windows_against_brute_force():
+    """The literal template of a text, by another way: equal windows have equal hashes, and others have not."""
+    import re
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["red", "blue", "has", "of", "3", "4", "5 kg", "7 lbs"]) for _ in range(40)) for _ in range(30)]
+    own = decontaminate.Template(texts, "lower")
+    at, h = own.windows(8)
+    units, seen = set(decontaminate.UNITS), {}
+    for p, key in zip(at.tolist(), h.tolist(), strict=True):
+        d = int(own.doc[p])
+        tokens = re.findall(r"[a-z0-9]+", texts[d])
+        a = p - int(own.first[d])
+        kinds = [(2 if w.isdigit() else 1 if a + i and tokens[a + i - 1].isdigit() and w in units else 0, w) for i, w in enumerate(tokens[a : a + 8])]
+        values: dict = {}
+        words = sum(k == 0 for k, _ in kinds)
+        form = tuple((k, w if k == 0 else values.setdefault(w, len(values))) for k, w in kinds) if words >= 3 else ("raw", *tokens[a : a + 8])
+        assert seen.setdefault(form, key) == key
+    assert len(set(seen.values())) == len(seen)
 
 
 def test_decontamination_against_containment(spark):
