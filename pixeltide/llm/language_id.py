@@ -7,21 +7,28 @@ rank file (it holds every byte, so every word has a segmentation) and is never
 trained; the piece probabilities of each language are, by expectation-maximisation
 with the same recursion run both ways.
 
-Training reads a bounded sample: about ``SAMPLE`` documents of each language, of
-which at most ``TRAIN_WORDS`` distinct (language, word) counts, the most frequent
-ones, go to the driver.  The model has the size of the vocabulary times the number
-of languages.
+Training reads a bounded sample: about ``SAMPLE`` documents of each language, whole.
+Their word counts stay a table; each round of expectation-maximisation goes over it
+in at most ``PARTS`` tasks, and only piece counts come back, a table of the size of the
+vocabulary times the number of languages.  That is the size of the model too.
+
+Words are runs of letters, of any length; sums over segmentations are rescaled along a
+word, so that long words do not underflow.  Pieces with other characters than
+lower-case letters cannot be in a word and are left out of the table.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 training rows without a language are ignored; equal scores go to the smaller
 language name; without any training row every text is ``und``; rows are kept as
-they are, repeated ones too.  Only the id, text and language columns are read.
+they are, repeated ones too; texts of any length are whole; an empty table gives an
+empty table.  Only the id, text and language columns are read, whatever others there
+are.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +38,13 @@ from pyspark.sql import functions as F
 
 from . import batches
 from .bpe import read_ranks
+from .shared import ensure_checkpoints
 
-#: Documents of each language in the training sample, about; distinct counts on the driver, at most.
-SAMPLE, TRAIN_WORDS = 1500, 200_000
-#: Bytes of the longest piece that is used, and of a word that is scored at once (longer ones are cut there).
-PIECE, WORD = 12, 32
+#: Documents of each language in the training sample, about; tasks of a round of training, at most.
+SAMPLE, PARTS = 1500, 16
 ROUNDS, CACHED, FLOOR = 6, 300_000, 1e-7
+#: Cells (words times bytes) that are worked on at once, and places after which sums are rescaled.
+CELLS, STRIDE = 1 << 17, 8
 UNKNOWN = "und"
 
 _letters = regex.compile(r"\p{L}+").findall
@@ -53,16 +61,19 @@ class Pieces:
     _base = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, path: str):
-        tokens = sorted(t for t in read_ranks(path) if len(t) <= PIECE)
+        tokens = sorted(t for t in read_ranks(path) if not any(c < 0x61 or 0x7A < c < 0x80 for c in t))
         self.count = len(tokens)
         random = np.random.default_rng(5).integers(1, 1 << 63, 257, dtype=np.uint64)
         self.random = random
         hashes = np.zeros(len(tokens), np.uint64)
         size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        flat = np.zeros((len(tokens), PIECE), np.int64)
+        #: lengths of pieces in bytes
+        self.lengths = np.unique(size).tolist()
+        longest = max(self.lengths, default=1)
+        flat = np.zeros((len(tokens), longest), np.int64)
         for i, t in enumerate(tokens):
             flat[i, : len(t)] = np.frombuffer(t, np.uint8)
-        for j in range(PIECE):
+        for j in range(longest):
             has = size > j
             hashes[has] = hashes[has] * self._base + random[flat[has, j]]
         order = np.argsort(hashes)
@@ -83,87 +94,104 @@ class Pieces:
             out[hit] = here[hit]
         return out
 
-    def lattice(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes, and per word, place and length the number of the piece that starts there (-1: none)."""
+    def lattice(self, words: list[bytes]) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """Sizes, and for each length of pieces that occurs, the piece that starts at each place of each word (-1: none)."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        width = int(size.max(initial=1))
-        chars = np.zeros((len(words), width + PIECE), np.int64)
+        width, longest = int(size.max(initial=1)), self.lengths[-1]
+        chars = np.zeros((len(words), width + longest), np.int64)
         for i, w in enumerate(words):
             chars[i, : len(w)] = np.frombuffer(w, np.uint8)
-        out = np.full((len(words), width, PIECE), -1, np.int32)
+        out = []
         h = np.zeros((len(words), width), np.uint64)
         place = np.arange(width)
-        for k in range(PIECE):
+        for k in range(min(longest, width)):
             h = h * self._base + self.random[chars[:, k : k + width]]
-            row, col = np.nonzero(place + k < size[:, None])
-            out[row, col, k] = self.find(h[row, col])
+            if k + 1 in self.lengths:
+                row, col = np.nonzero(place + k < size[:, None])
+                piece = np.full((len(words), width), -1, np.int32)
+                piece[row, col] = self.find(h[row, col])
+                if (piece >= 0).any():
+                    out.append((k + 1, piece))
         return size, out
 
 
-def forward(size: np.ndarray, lattice: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """alpha[word, place, language]: the probability of the first ``place`` bytes, over all segmentations."""
-    n, width, _ = lattice.shape
+def blocks(words: list[bytes]) -> Iterator[list[int]]:
+    """Words of about the same length, by number, some at a time."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    at = 0
+    while at < len(order):
+        stop = at + 1
+        while stop < len(order) and (stop + 1 - at) * len(words[order[stop]]) <= CELLS:
+            stop += 1
+        yield order[at:stop]
+        at = stop
+
+
+def forward(size: np.ndarray, lattice: list[tuple[int, np.ndarray]], table: np.ndarray, backward: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all segmentations of the bytes before each place (``backward``: from it on), and their logarithmic scales.
+
+    Both are indexed by place, word and language; the sum is the first times the exponential of the second.
+    """
+    n, width = len(size), int(size.max(initial=0))
     padded = np.vstack([table, np.zeros((1, table.shape[1]))])  # piece -1: probability 0
-    alpha = np.zeros((n, width + 1, table.shape[1]))
-    alpha[:, 0] = 1
-    for j in range(1, width + 1):
-        live = size >= j
-        for k in range(min(PIECE, j)):
-            alpha[live, j] += alpha[live, j - 1 - k] * padded[lattice[live, j - 1 - k, k]]
-    return alpha
+    sums = np.zeros((width + 1, n, table.shape[1]))
+    scale = np.zeros((width + 1, n, table.shape[1]))
+    offset = np.zeros((n, table.shape[1]))
+    reach = max((k for k, _ in lattice), default=1)
+    if not backward:
+        sums[0] = 1
+    for step in range(0 if backward else 1, width + 1):
+        j = width - step if backward else step
+        now = np.zeros_like(offset)
+        for k, piece in lattice:
+            if backward and j + k <= width:
+                now += padded[piece[:, j]] * sums[j + k]
+            elif not backward and k <= j:
+                now += padded[piece[:, j - k]] * sums[j - k]
+        if backward:
+            now[size == j] = 1
+        sums[j], scale[j] = now, offset
+        if step % STRIDE == 0 and width > 4 * STRIDE:
+            # the places that later sums need are brought near one
+            near = slice(j, min(width, j + reach) + 1) if backward else slice(max(0, j - reach), j + 1)
+            most = sums[near].max(axis=0)
+            most = np.where(most > 0, most, 1.0)
+            # places that were scaled otherwise before are needed at one scale: shift all of them
+            sums[near] /= most
+            scale[near] += np.log(most)
+            offset = offset + np.log(most)
+    return sums, scale
 
 
 def word_scores(words: list[bytes], pieces: Pieces, table: np.ndarray) -> np.ndarray:
     """log probability of each word under each language."""
     out = np.zeros((len(words), table.shape[1]))
-    parts = [(i, w[a : a + WORD]) for i, w in enumerate(words) for a in range(0, len(w), WORD)]
-    parts.sort(key=lambda p: len(p[1]))
-    for at in range(0, len(parts), 4096):
-        block = parts[at : at + 4096]
-        size, lattice = pieces.lattice([w for _, w in block])
-        alpha = forward(size, lattice, table)
-        last = np.log(np.maximum(alpha[np.arange(len(block)), size], 1e-300))
-        np.add.at(out, [i for i, _ in block], last)
+    for block in blocks(words):
+        size, lattice = pieces.lattice([words[i] for i in block])
+        sums, scale = forward(size, lattice, table)
+        own = np.arange(len(block))
+        out[block] = np.log(np.maximum(sums[size, own], 1e-300)) + scale[size, own]
     return out
 
 
-def train(counts: dict[str, dict[str, int]], pieces: Pieces, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities, a column per language, by expectation-maximisation on word counts."""
-    columns = []
-    for _, words in sorted(counts.items()):
-        p = np.full(pieces.count, 1 / pieces.count)
-        parts: Counter = Counter()
-        for w, c in words.items():
-            raw = w.encode("utf-8", "replace")
-            for a in range(0, len(raw), WORD):
-                parts[raw[a : a + WORD]] += c
-        ordered = sorted(parts, key=len)
-        blocks = [
-            (*pieces.lattice(ordered[a : a + 4096]), np.array([parts[w] for w in ordered[a : a + 4096]], float))
-            for a in range(0, len(ordered), 4096)
-        ]
-        for _ in range(rounds):
-            expected = np.zeros(pieces.count + 1)
-            padded = np.append(p, 0.0)
-            for size, lattice, weight in blocks:
-                alpha = forward(size, lattice, p[:, None])[:, :, 0]
-                n, width, _ = lattice.shape
-                beta = np.zeros((n, width + PIECE + 1))
-                beta[np.arange(n), size] = 1
-                for i in range(width - 1, -1, -1):
-                    for k in range(PIECE):
-                        beta[:, i] += padded[lattice[:, i, k]] * beta[:, i + 1 + k]
-                scale = weight / np.maximum(beta[:, 0], 1e-300)
-                for i in range(width):
-                    for k in range(min(PIECE, width - i)):
-                        piece = lattice[:, i, k]
-                        share = alpha[:, i] * padded[piece] * beta[:, i + 1 + k] * scale
-                        expected += np.bincount(np.where(piece < 0, pieces.count, piece), share, pieces.count + 1)
-            expected = expected[:-1]
-            p = expected / max(expected.sum(), 1e-300)
-            p = (p + FLOOR) / (1 + FLOOR * pieces.count)
-        columns.append(p)
-    return np.stack(columns, 1) if columns else np.zeros((pieces.count, 0))
+def expected(words: list[bytes], counts: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """Expected number of each piece in counted words of one language."""
+    out = np.zeros(pieces.count + 1)
+    padded = np.append(p, 0.0)
+    for block in blocks(words):
+        size, lattice = pieces.lattice([words[i] for i in block])
+        (before, b), (after, a) = ((x[:, :, 0], y[:, :, 0]) for x, y in (forward(size, lattice, p[:, None], back) for back in (False, True)))
+        weight, whole = counts[block], np.log(np.maximum(after[0], 1e-300)) + a[0]
+        for k, piece in lattice:
+            for i in range(len(after) - k):
+                share = before[i] * padded[piece[:, i]] * after[i + k] * np.exp(np.minimum(b[i] + a[i + k] - whole, 700)) * weight
+                out += np.bincount(np.where(piece[:, i] < 0, pieces.count, piece[:, i]), share, pieces.count + 1)
+    return out[:-1]
+
+
+def smoothed(expected: np.ndarray) -> np.ndarray:
+    p = expected / max(expected.sum(), 1e-300)
+    return (p + FLOOR) / (1 + FLOOR * len(p))
 
 
 _pieces: dict[str, Pieces] = {}
@@ -175,17 +203,19 @@ def pieces_of(path: str) -> Pieces:
     return _pieces[path]
 
 
-def fit(labelled: DataFrame, path: str, sample: int = SAMPLE, train_words: int = TRAIN_WORDS) -> tuple[list[str], np.ndarray]:
-    """Language names and their piece probabilities, from rows of (doc_id, text, lang)."""
+def fit(labelled: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+    """Language names and their piece probabilities, a column each, from rows of (doc_id, text, lang)."""
+    count = pieces_of(path).count
+    ensure_checkpoints(labelled)
     known = labelled.filter("lang is not null and text is not null")
     number = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not number:
-        return [], np.zeros((pieces_of(path).count, 0))
+        return [], np.zeros((count, 0))
     share = F.element_at(F.create_map(*(x for l, n in number.items() for x in (F.lit(l), F.lit(min(1.0, sample / n))))), F.col("lang"))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
 
-    def count(parts):
-        for batch in parts:
+    def tally(parts):
+        for batch in batches.by_bytes(iter(parts), "text"):
             held: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for w, c in Counter(words_of(text)).items():
@@ -195,13 +225,29 @@ def fit(labelled: DataFrame, path: str, sample: int = SAMPLE, train_words: int =
                 names=["lang", "word", "n"],
             )
 
-    words = chosen.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
-    most = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(train_words)
-    counts: dict[str, dict[str, int]] = {name: {} for name in number}
-    for r in most.collect():
-        counts[r["lang"]][r["word"]] = r["n"]
-    names = sorted(n for n in counts if counts[n])
-    return names, train({n: counts[n] for n in names}, pieces_of(path))
+    words = chosen.select("lang", "text").mapInArrow(tally, "lang string, word string, n long")
+    words = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(PARTS, "lang", "word").checkpoint()
+    names = sorted(r[0] for r in words.select("lang").distinct().collect())
+    table = np.full((count, len(names)), 1 / count)
+    for _ in range(rounds if names else 0):
+        total = np.zeros_like(table)
+
+        def step(parts, table=table):
+            own = pieces_of(path)
+            sums = np.zeros_like(table)
+            for batch in parts:
+                lang, n = np.array(batch.column(0).to_pylist(), object), batch.column(2).to_numpy().astype(float)
+                raw = [w.encode("utf-8", "replace") for w in batch.column(1).to_pylist()]
+                for k, name in enumerate(names):
+                    here = np.flatnonzero(lang == name)
+                    if len(here):
+                        sums[:, k] += expected([raw[i] for i in here.tolist()], n[here], own, table[:, k])
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+        for (blob,) in words.mapInArrow(step, "sums binary").toLocalIterator():  # PARTS rows of the model's size, one at a time
+            total += np.frombuffer(blob).reshape(table.shape)
+        table = np.stack([smoothed(total[:, k]) for k in range(len(names))], 1)
+    return names, table
 
 
 def predict(docs: DataFrame, names: list[str], table: np.ndarray, path: str) -> DataFrame:

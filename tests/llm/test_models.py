@@ -39,15 +39,74 @@ def test_forward_sums_all_segmentations():
     pieces = language_id.pieces_of(RANKS)
     rng = np.random.default_rng(2)
     p = rng.random(pieces.count) / pieces.count
-    word = b"thing"
-    size, lattice = pieces.lattice([word])
-
-    def every(i):
-        if i == len(word):
-            return 1.0
-        return sum(p[lattice[0, i, k]] * every(i + k + 1) for k in range(len(word) - i) if lattice[0, i, k] >= 0)
-
-    assert language_id.forward(size, lattice, p[:, None])[0, len(word), 0] == pytest.approx(every(0))
+    table = p[:, None]
+    number = {int(h): i for i, h in enumerate(pieces.hashes)}
+
+    def piece(raw):
+        h = np.uint64(0)
+        with np.errstate(over="ignore"):
+            for c in raw:
+                h = h * pieces._base + pieces.random[c]
+        return number.get(int(h), -1)
+
+    words = [b"thing", "größe".encode(), "ありがとうございました".encode(), b"interestingly" * 40, b"a"]
+    got = language_id.word_scores(words, pieces, table)[:, 0]
+    for word, score in zip(words, got, strict=True):
+        logs = [0.0]  # by place, as logarithms: no scaling is needed
+        for j in range(1, len(word) + 1):
+            terms = [logs[i] + np.log(p[k]) for i in range(max(0, j - 40), j) if (k := piece(word[i:j])) >= 0]
+            logs.append(float(np.logaddexp.reduce(terms)))
+        assert score == pytest.approx(logs[-1], rel=1e-9)
+    # the expected pieces of a word have as many bytes as the word
+    sizes = np.zeros(pieces.count)
+    for word in words:
+        for i in range(len(word)):
+            for j in range(i + 1, min(len(word), i + 40) + 1):
+                if (k := piece(word[i:j])) >= 0:
+                    sizes[k] = j - i
+    for word in words:
+        assert language_id.expected([word], np.ones(1), pieces, p) @ sizes == pytest.approx(len(word), rel=1e-6)
+
+
+def test_language_fit_and_predict_against_brute_force(spark):
+    """Expectation-maximisation and prediction, again with plain dictionaries and all segmentations."""
+    rows = [(1, "the cat sat on the mat the end", "en"), (2, "der hund lief der katze nach", "de"), (3, "the dog", "en"), (4, "der mat", "de"), (4, "der mat", "de"), (5, None, "en"), (6, "x", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, table = language_id.fit(frame, RANKS, rounds=2)
+    from pixeltide.llm.bpe import read_ranks
+
+    vocabulary = sorted(t for t in read_ranks(RANKS) if not any(c < 0x61 or 0x7A < c < 0x80 for c in t))
+
+    def every(word):
+        return [[word[:k], *rest] for k in range(1, len(word) + 1) if word[:k] in models[0] for rest in (every(word[k:]) if k < len(word) else [[]])]
+
+    models = [dict.fromkeys(vocabulary, 1 / len(vocabulary)) for _ in names]
+    counts = [[w.encode() for _, t, l in rows if l == name and t for w in language_id.words_of(t)] for name in names]
+    weigh = lambda cut, p: np.prod([p[x] for x in cut])
+    for _ in range(2):
+        for k, words in enumerate(counts):
+            total = dict.fromkeys(vocabulary, 0.0)
+            for w in words:
+                cuts = every(w)
+                whole = sum(weigh(c, models[k]) for c in cuts)
+                for c in cuts:
+                    for x in c:
+                        total[x] += weigh(c, models[k]) / whole
+            sums = sum(total.values())
+            models[k] = {x: (v / sums + language_id.FLOOR) / (1 + language_id.FLOOR * len(vocabulary)) for x, v in total.items()}
+    texts = ["the der cat", "hund", "mat", "katze the", "the the der der"]
+    more = spark.createDataFrame([(i, t, 1, "z") for i, t in enumerate(texts)], "doc_id long, text string, score int, lang_pred string")
+    for r in language_id.predict(more, names, table, RANKS).collect():
+        logs = [sum(np.log(sum(weigh(c, p) for c in every(w.encode()))) for w in texts[r.doc_id].split()) for p in models]
+        best = int(np.argmax(logs))
+        assert r.lang_pred == names[best] and r.score == pytest.approx(1 / sum(np.exp(x - logs[best]) for x in logs), rel=1e-6)
+    assert language_id.predict(more.limit(0), names, table, RANKS).count() == 0
+
+
+def test_small_languages_keep_their_words(spark):
+    rows = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + j % 26)}" for j in range(50)), "en") for i in range(60)] + [(99, "zyx zyx", "zz")]
+    names, _ = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), RANKS, rounds=1)
+    assert names == ["en", "zz"]
 
 
 def test_decontamination_finds_changed_numbers_units_and_names(spark):
