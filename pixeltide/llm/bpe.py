@@ -7,18 +7,21 @@ least rank; the row is compacted and only the two pairs beside the new token are
 looked up again, in an open-addressing hash table of all mergeable pairs.  Rows
 without a mergeable pair leave the matrix.
 
-Pieces beyond ``LONGEST`` bytes (a text without any break) would make the matrix
-quadratic; they are merged with a heap in the same order, leftmost least rank first.
+A piece of many bytes (a text without any break) is a row of its own.  There a round
+merges all places of the least rank, from the left, up to the first merge that makes
+a pair of a lesser rank, which is what the single merges would have done; merged
+places become holes, and the row is compacted when a quarter of it are holes.  So the
+rounds of a long row follow its distinct ranks, not its length.
 
 Defined results: a null text is the empty text (no ids, no bytes); special-token
 strings in a text are ordinary text; every row, repeated ones too, gives one row;
-an empty table gives an empty table.  Only the id and text columns are read.
+equal ranks merge from the left; texts of any length are whole; an empty table gives
+an empty table.  Only the id and text columns are read, whatever others there are.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,8 +31,8 @@ from pyspark.sql import DataFrame
 
 from . import batches
 
-#: Bytes of the longest piece that goes through the matrices.
-LONGEST = 256
+#: Bytes from which a piece is a row of its own.
+WIDE = 256
 #: Pieces kept per Python worker before the cache starts anew.
 CACHED = 300_000
 NONE = np.iinfo(np.int32).max
@@ -125,8 +128,8 @@ class Codec:
             whole = self.ranks.get(piece)
             if whole is not None:
                 out[i] = whole.to_bytes(4, "little")
-            elif len(piece) > LONGEST:
-                out[i] = np.array(self._heap(piece), "<u4").tobytes()
+            elif len(piece) > WIDE:
+                out[i] = self._row(piece).astype("<u4").tobytes()
             elif piece:
                 rows.setdefault(max(4, 1 << (len(piece) - 1).bit_length()), []).append(i)
         for width, which in rows.items():
@@ -177,38 +180,50 @@ class Codec:
             ranks = np.where(columns[: used - 1] < sizes[:, None] - 1, ranks, NONE)
         return done  # type: ignore[return-value]
 
-    def _heap(self, piece: bytes) -> list[int]:
-        """The same merges for a very long piece, in n log n steps."""
+    def _row(self, piece: bytes) -> np.ndarray:
+        """Ids of a piece of any length."""
         ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
-        n = len(ids)
-        first = self.pairs.look_up(ids[:-1], ids[1:])
-        heap = [(int(first[i]), int(i)) for i in np.flatnonzero(first != NONE)]
-        heapq.heapify(heap)
-        token = ids.tolist()
-        rank = first.tolist() + [NONE]
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-
-        def renew(i: int) -> None:
-            j = after[i]
-            made = self.ranks.get(self.tokens[token[i]] + self.tokens[token[j]], NONE) if j < n else NONE
-            rank[i] = made
-            if made != NONE:
-                heapq.heappush(heap, (made, i))
-
-        while heap:
-            made, i = heapq.heappop(heap)
-            if rank[i] != made or token[i] < 0:
+
+        def laid(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            n = len(ids)
+            ranks = np.full(n, NONE, np.int32)
+            ranks[:-1] = self.pairs.look_up(ids[:-1], ids[1:])
+            return ranks, np.arange(1, n + 1), np.arange(-1, n - 1)
+
+        ranks, after, before = laid(ids)
+        live = len(ids)
+        while True:
+            best = ranks.min()
+            if best == NONE:
+                return ids[ids >= 0]
+            at = np.flatnonzero(ranks == best)
+            # of overlapping places the first, third, and so on
+            number = np.arange(len(at))
+            chained = np.concatenate([[False], after[at[:-1]] == at[1:]])
+            at = at[(number - np.maximum.accumulate(np.where(chained, 0, number))) % 2 == 0]
+            second = after[at]
+            behind, ahead = after[second], before[at]
+            # the pairs that each merge makes as it is done, with the places before it merged and those after it not
+            left = np.where(ahead >= 0, ids[np.maximum(ahead, 0)], -1)
+            left[1:][ahead[1:] == second[:-1]] = best
+            right = np.where(behind < len(ids), ids[np.minimum(behind, len(ids) - 1)], -1)
+            made = np.full(len(at), best, np.int32)
+            lesser = (self.pairs.look_up(left, made) < best) | (self.pairs.look_up(made, right) < best)
+            if lesser.any():
+                stop = int(lesser.argmax()) + 1
+                at, second, behind = at[:stop], second[:stop], behind[:stop]
+            ids[at], ids[second], ranks[second], after[at] = best, -1, NONE, behind
+            inner = behind < len(ids)
+            before[behind[inner]] = at[inner]
+            live -= len(at)
+            if 4 * live < 3 * len(ids):
+                ids = ids[ids >= 0]
+                ranks, after, before = laid(ids)
                 continue
-            j = after[i]
-            token[i], token[j], rank[j] = made, -1, NONE
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            renew(i)
-            if before[i] >= 0:
-                renew(before[i])
-        return [t for t in token if t >= 0]
+            ranks[at] = NONE
+            ranks[at[inner]] = self.pairs.look_up(ids[at[inner]], ids[behind[inner]])
+            first = at[before[at] >= 0]
+            ranks[before[first]] = self.pairs.look_up(ids[before[first]], ids[first])
 
 
 _codecs: dict[tuple[str, str], Codec] = {}

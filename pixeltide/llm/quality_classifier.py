@@ -7,9 +7,10 @@ votes under both classes, and with them the posterior of each pattern.  Posterio
 labels of a bounded sample train a linear scorer on hashed words and votes.  A second scorer
 of the same kind learns toxicity from a bounded sample of labelled rows.
 
-Bounds: the samples hold about ``SAMPLE`` and at most ``LABELLED`` documents; a
-document has at most ``FEATURES`` features, so what the driver reads is bounded.
-All other steps cover all rows: patterns, posteriors and scores.
+Bounds: the samples hold about ``SAMPLE`` and at most ``LABELLED`` documents, whole, in a
+random order that ends where they would have more than ``CELLS`` features together,
+so what the driver reads is bounded.  All other steps cover all rows: patterns,
+posteriors and scores.
 
 Defined results: a null or empty text has abstaining votes only and no feature; it
 is kept.  Without labels no text is toxic.  Repeated rows count and give a row
@@ -31,7 +32,7 @@ from .shingles import words
 
 #: Documents that train the quality scorer (about) and the toxicity scorer (at most).
 SAMPLE, LABELLED = 6000, 12_000
-BITS, FEATURES = 20, 4096
+BITS, CELLS = 20, 20_000_000
 EPOCHS, DECAY, BELIEF = 200, 1e-5, 0.1
 #: Bad votes that a labeller may give on good text, as a share: the constraint that tells the classes apart.
 TRUST = 0.002
@@ -106,24 +107,25 @@ def _digits(pattern: np.ndarray) -> np.ndarray:
     return pattern[:, None] // 3 ** np.arange(k) % 3 + 3 * np.arange(k)
 
 
-def _sample(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Features, vote patterns and targets of (text, pattern, target) rows, of at most ``FEATURES`` features each, on the driver."""
+def _sample(rows: DataFrame, cells: int = CELLS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Features, vote patterns and targets of (doc_id, text, pattern, target) rows on the driver, ``cells`` features at most, one document at least."""
 
     def run(parts):
         for batch in batches.by_bytes(iter(parts), "text"):
             cell, row = _features(batch, 0)
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            own = [cell[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            # of a very long text, features evenly spread over the hash space
-            own = [x[np.linspace(0, len(x) - 1, FEATURES).astype(int)] if len(x) > FEATURES else x for x in own]
-            packed = pa.array([x.astype("<i4").tobytes() for x in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([packed, batch.column(1), batch.column(2)], names=["cells", "pattern", "target"])
-
-    two = rows.select("text", "pattern", F.col("target").cast("double").alias("target"))
-    found = two.mapInArrow(run, "cells binary, pattern int, target double").collect()
-    found.sort(key=lambda r: (bytes(r["cells"]), r["pattern"], r["target"]))  # the order of tasks does not matter
-    cells = [np.frombuffer(r["cells"], "<i4") for r in found]
-    return cells, np.array([r["pattern"] for r in found], np.int64), np.array([r["target"] for r in found])
+            packed = pa.array([cell[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed, *(batch.column(k) for k in (1, 2, 3))], names=["cells", "pattern", "target", "turn"])
+
+    turn = F.xxhash64("doc_id", "text", F.lit("turn"))
+    own = rows.select("text", "pattern", F.col("target").cast("double").alias("target"), turn.alias("turn"))
+    found, held = [], 0
+    for r in own.mapInArrow(run, "cells binary, pattern int, target double, turn long").orderBy("turn", "target").toLocalIterator():
+        held += len(r["cells"]) // 4
+        if found and held > cells:
+            break
+        found.append((np.frombuffer(bytes(r["cells"]), "<i4"), r["pattern"], r["target"]))
+    return [f[0] for f in found], np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found])
 
 
 Linear = tuple[np.ndarray, np.ndarray, float]

@@ -36,12 +36,16 @@ def test_bpe_equals_the_library(coder):
         assert own.decode(ids) == text.encode()
 
 
-def test_bpe_heap_and_matrix_agree():
+def test_bpe_rows_of_any_length(coder):
     own, rng = bpe.Codec(RANKS, P.PATTERN), random.Random(4)
-    pieces = ["".join(rng.choice("thea nio") for _ in range(n)).encode() for n in (2, 9, 33, 120, 250)]
-    for piece, ids in zip(pieces, own.encode_pieces(pieces), strict=True):
-        if piece not in own.ranks:
-            assert own._heap(piece) == np.frombuffer(ids, "<u4").tolist()
+    pieces = ["".join(rng.choice(letters) for _ in range(n)) for n in (2, 9, 33, 120, 250, 255, 256, 257, 600, 5000) for letters in ("thea nio", "ab", "a", "abcdefghijklmnopqrstuvwxyzäöü", "日本語テキスト")]
+    for piece, ids in zip(pieces, own.encode_pieces([p.encode() for p in pieces]), strict=True):
+        want = coder.encode_single_piece(piece.encode()) if hasattr(coder, "encode_single_piece") else coder._encode_single_piece(piece)
+        assert np.frombuffer(ids, "<u4").tolist() == want
+        if piece.encode() not in own.ranks:
+            assert own._row(piece.encode()).tolist() == want
+    long = "x" * 200_000 + "".join(rng.choice("abcdefghij") for _ in range(100_000))
+    assert np.frombuffer(own.encode_all([long])[0], "<u4").tolist() == coder.encode_ordinary(long)
 
 
 def test_bpe_query(spark, coder):
