@@ -3,9 +3,17 @@
 Labellers vote good, bad or abstain on each document, from the measurements of the
 quality ledger (native columns).  Documents are counted by vote pattern, a table of
 at most 3**labellers rows; expectation-maximisation on it estimates each labeller's
-votes under both classes, and with them the posterior of each pattern.  Posterior
-labels of a bounded sample train a linear scorer on hashed words and votes.  A second scorer
-of the same kind learns toxicity from a bounded sample of labelled rows.
+votes under both classes, and with them the posterior of each pattern.  Documents
+whose quality is known count in their class alone; they tell the classes apart, so
+nothing is believed of the labellers beforehand but one vote of each kind.  The others
+together weigh ``OTHERS`` of the known ones, because labellers are not quite
+independent, and what is not told would outweigh what is.  Without any known quality a belief has to do that (``BELIEVED``, as strong as a tenth of the
+documents): kinds of bad text hardly overlap, and without either the estimates take a
+labeller that is alone with its kind for noise.  Posterior labels of a bounded sample
+train a linear scorer on hashed words and votes.
+
+Toxicity is separate: no labeller votes on it, and a second scorer of the same kind
+learns it from a bounded sample of labelled rows.
 
 Bounds: the samples hold about ``SAMPLE`` and at most ``LABELLED`` documents, whole, in a
 random order that ends where they would have more than ``CELLS`` features together,
@@ -14,8 +22,11 @@ posteriors and scores.
 
 Defined results: a null or empty text has abstaining votes only and no feature; it
 is kept.  Without labels no text is toxic.  Repeated rows count and give a row
-each; null ids are carried through; an empty table gives an empty table.  Other
-columns are ignored.
+each, and so do rows of one id, each with that id's label; of several labels of an id
+the larger quality and toxicity hold; labels without a document, an id or a value are
+ignored; null ids are carried through; texts of any length are whole; a score equal
+to its threshold rejects; an empty table gives an empty table.  Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,9 +44,11 @@ from .shingles import words
 #: Documents that train the quality scorer (about) and the toxicity scorer (at most).
 SAMPLE, LABELLED = 6000, 12_000
 BITS, CELLS = 20, 20_000_000
-EPOCHS, DECAY, BELIEF = 200, 1e-5, 0.1
-#: Bad votes that a labeller may give on good text, as a share: the constraint that tells the classes apart.
-TRUST = 0.002
+EPOCHS, DECAY = 200, 1e-5
+#: Votes (abstain, good, bad) on good and on bad text that are believed where no quality is known, and how strongly.
+BELIEVED, BELIEF = ((0.05, 0.948, 0.002), (0.05, 0.55, 0.4)), 0.1
+#: Weight of all documents of unknown quality, as a share of the known ones.
+OTHERS = 0.1
 LABELLERS = ("repeats", "symbols", "shouting", "lines", "lengths")
 ABSTAIN, GOOD, BAD = 0, 1, 2
 
@@ -63,29 +76,34 @@ def patterns(docs: DataFrame) -> DataFrame:
     return m.select(F.col("doc_id").cast("long").alias("doc_id"), "text", code.cast("int").alias("pattern"))
 
 
-def estimate(counts: dict[int, int], labellers: int = len(LABELLERS), rounds: int = 100) -> tuple[dict[int, float], np.ndarray]:
-    """Posterior of "bad" by pattern, and each labeller's vote probabilities under (good, bad)."""
+def estimate(
+    counts: dict[int, int], known: dict[tuple[int, int], int] | None = None, labellers: int = len(LABELLERS), rounds: int = 200
+) -> tuple[dict[int, float], np.ndarray]:
+    """Posterior of "bad" by pattern, and each labeller's vote probabilities under (good, bad).
+
+    ``counts`` has all documents by pattern, ``known`` those of known quality by pattern
+    and badness (0 or 1).
+    """
     if not counts:
         return {}, np.full((labellers, 2, 3), 1 / 3)
     codes = np.array(sorted(counts))
-    n = np.array([counts[c] for c in codes.tolist()], float)
     digit = codes[:, None] // 3 ** np.arange(labellers) % 3
+    told = np.array([[(known or {}).get((c, bad), 0) for c in codes.tolist()] for bad in (0, 1)], float)
+    n = np.maximum(np.array([counts[c] for c in codes.tolist()], float) - told.sum(0), 0)
     # start: the share of bad among a pattern's votes
     bad, cast = (digit == BAD).sum(1), (digit != ABSTAIN).sum(1)
     p = np.where(bad > 0, 0.9, np.where(cast > 0, 0.05, 0.2))
-    # what is believed of any labeller before: it seldom votes bad on good text, and misses much of the bad
-    believed = np.array([[0.05, 0.948, 0.002], [0.05, 0.55, 0.4]]) * n.sum() * BELIEF
+    believed = np.array(BELIEVED) * n.sum() * BELIEF
+    if told.any(1).all():
+        believed, n = np.ones((2, 3)), n * min(1.0, OTHERS * told.sum() / max(n.sum(), 1))
     theta = np.full((labellers, 2, 3), 1 / 3)
     for _ in range(rounds):
-        both = np.stack([(1 - p) * n, p * n])
-        prior = (both.sum(1) + 1) / (n.sum() + 2)
+        both = np.stack([(1 - p) * n, p * n]) + told
+        prior = (both.sum(1) + 1) / (both.sum() + 2)
         for j in range(labellers):
             for c in (0, 1):
                 hits = np.bincount(digit[:, j], both[c], 3) + believed[c]
                 theta[j, c] = hits / hits.sum()
-                if c == 0 and theta[j, 0, BAD] > TRUST:  # the least precision that a labeller must have
-                    theta[j, 0, :BAD] *= (1 - TRUST) / theta[j, 0, :BAD].sum()
-                    theta[j, 0, BAD] = TRUST
         log = np.log(prior)[:, None] + sum(np.log(theta[j][:, digit[:, j]]) for j in range(labellers))
         log -= log.max(0)
         p = np.exp(log[1]) / np.exp(log).sum(0)
@@ -190,18 +208,25 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float
     patterns(docs).write.option("compression", "zstd").parquet(path)
     judged = docs.sparkSession.read.parquet(path)
     counts = {r["pattern"]: r["n"] for r in judged.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 3**5 rows
-    posterior, _ = estimate(counts)
+    known: dict[tuple[int, int], int] = {}
+    if labels is not None and "quality" in labels.columns:
+        quality = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+        told = judged.select("doc_id", "pattern").join(quality, "doc_id").groupBy("pattern", (F.col("quality") == 0).cast("int").alias("bad"))
+        known = {(r["pattern"], r["bad"]): r["n"] for r in told.agg(F.count("*").alias("n")).collect()}  # twice as many at most
+    posterior, _ = estimate(counts, known)
     bucket = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
     models = {"low_score": SILENT, "toxic_score": SILENT}
     if posterior:
         share = min(1.0, SAMPLE / sum(counts.values()))
         soft = F.create_map(*(x for k, v in posterior.items() for x in (F.lit(k), F.lit(v))))
-        picked = judged.filter(bucket < share * 1_000_000)
+        # rows without an id are dealt by their texts
+        turn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text")), F.lit("sample")), F.lit(1_000_000))
+        picked = judged.filter(turn < share * 1_000_000)
         models["low_score"] = fit_linear(*_sample(picked.withColumn("target", F.element_at(soft, F.col("pattern")))))
     if labels is not None:
-        known = labels.filter("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").alias("target"))
-        share = min(1.0, LABELLED / max(known.count(), 1))
-        few = known.filter(bucket < share * 1_000_000).orderBy("doc_id").limit(LABELLED)
+        toxic = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("target"))
+        share = min(1.0, LABELLED / max(toxic.count(), 1))
+        few = toxic.filter(bucket < share * 1_000_000).orderBy("doc_id").limit(LABELLED)
         joined = judged.join(F.broadcast(few), "doc_id")  # at most LABELLED rows of two numbers
         models["toxic_score"] = fit_linear(*_sample(joined))
     scored = _apply(judged, models)

@@ -276,6 +276,55 @@ def test_weak_labels_tell_the_classes_apart():
     assert quality_classifier.estimate({})[0] == {}
 
 
+def test_known_qualities_take_the_place_of_beliefs():
+    """Kinds of bad text that do not overlap: a tenth of known qualities is enough, by plain counting too."""
+    rng, counts, known = np.random.default_rng(4), {}, {}
+    rates = {}
+    for _ in range(30_000):
+        kind = rng.integers(0, 5) if rng.random() < 0.15 else None
+        votes = [2 if kind == j and rng.random() < 0.9 else 2 if rng.random() < 0.01 else 1 for j in range(5)]
+        code = sum(v * 3**i for i, v in enumerate(votes))
+        counts[code] = counts.get(code, 0) + 1
+        if rng.random() < 0.1:
+            known[code, int(kind is not None)] = known.get((code, int(kind is not None)), 0) + 1
+        rates.setdefault(code, []).append(kind is not None)
+    posterior, theta = quality_classifier.estimate(counts, known)
+    for code, truth in rates.items():
+        if len(truth) > 300:
+            assert (posterior[code] > 0.5) == (np.mean(truth) > 0.5), code
+    assert np.allclose(theta[:, 0, 2], 0.01, atol=0.01) and np.allclose(theta.sum(2), 1)
+
+
+def test_scores_against_brute_force(spark):
+    """The query's scores again, from its models, text by text."""
+    import math
+
+    from pixeltide.llm.exchange import Unit
+    from pixeltide.llm.shingles import words
+
+    import pyarrow as pa
+
+    rows = [(1, "good words here"), (2, "Good WORDS words"), (None, "x"), (4, None), (4, "")]
+    rng = np.random.default_rng(0)
+    models = {n: (rng.normal(size=1 << quality_classifier.BITS).astype(np.float32), rng.normal(size=15), 0.3) for n in ("a", "b")}
+    df = spark.createDataFrame([(i, t, 1 + 3 + 9 + 27 + 81) for i, t in rows], "doc_id long, text string, pattern int")
+    got = [(r.doc_id, r.a, r.b) for r in quality_classifier._apply(df, models).collect()]
+    want = []
+    for i, t in rows:
+        _, _, word, _ = words(Unit(pa.table({"doc_id": [0], "text": [t or ""]})))
+        cells = {int(w) >> (64 - quality_classifier.BITS) for w in word}
+        score = lambda w, v, b: 1 / (1 + math.exp(-(b + sum(v[3 * k + 1] for k in range(5)) + sum(float(w[c]) for c in cells) / math.sqrt(len(cells))))) if cells else 0.0
+        want.append((i, *(score(*m) for m in models.values())))
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1:] for g in got], [w[1:] for w in want], atol=1e-5)
+
+
+def test_samples_are_whole_documents(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(3000 * (i + 1))), 1, 0.5) for i in range(4)], "doc_id long, text string, pattern int, target double")
+    assert sorted(map(len, quality_classifier._sample(df)[0]))[-1] > 11_000
+    few = quality_classifier._sample(df, 10)
+    assert len(few[0]) == 1 and len(few[0][0]) > 2900
+
+
 def test_quality_classifier(spark):
     labels = {i: (q, t) for i, q, t in duckdb.sql(f"SELECT * FROM '{SF}/labels.parquet'").fetchall()}
     got = {r.doc_id: r for r in queries.op9_quality_classifier(spark, SF).collect()}
