@@ -48,3 +48,24 @@ def test_empty_documents_table(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     shutil.copy(f"{SF}/benchmark.parquet", tmp_path / "benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Nulls, repeated rows, shared ids, very long texts and clashing columns, stage after stage."""
+    base = " ".join(f"word{i}" for i in range(80))
+    long = " ".join(f"l{i}" for i in range(60_000))
+    rows = [(1, base), (2, base), (None, base), (3, base + " end"), (3, " ".join(f"other{i}" for i in range(70))), (4, None), (5, ""), (6, long), (6, long)]
+    rows += [(None, " ".join(f"null{i}" for i in range(70)))] * 3 + [(7, " ".join(f"short{i}" for i in range(70)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "length(text) n_chars", "1 unit", "2 kept", "'x' ids")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    shutil.copy(f"{SF}/benchmark.parquet", tmp_path / "benchmark.parquet")
+    docs = corpus_pipeline.quality(spark, frame, SF)
+    docs = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert docs.columns == frame.columns
+    kept = sorted(((r.doc_id, r.text[:5]) for r in docs.collect()), key=str)
+    assert kept == sorted([(1, "word0"), (6, "l0 l1"), (7, "short"), (None, "null0")], key=str)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted([1, 6, 7, None], key=str) and all(r.exact for r in got)
+    plain = frame.select("doc_id", "text", "lang", "source", "n_chars").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, plain, SF).count() == 0
