@@ -4,6 +4,14 @@ Each stage is a function (spark, docs, sf_dir) -> DataFrame over all that the st
 before kept.  All but the last return the columns of ``documents``.  ``run`` writes
 each stage's rows as Parquet in the shared folder and reads them again, so a lost
 executor repeats a part of one stage at most.
+
+Defined results, for every stage: null and empty texts have no words, so the quality
+rules reject them; repeated rows are near-duplicates of each other, so one stays; rows
+that share an id are one document, of which the row of the smallest text stays; rows
+with a null id are documents by their texts; ties go to the smaller id, then the
+smaller text; texts of any length are whole; an empty table gives an empty table; all
+columns but the text (and ``n_chars`` where it was cut) pass unchanged, whatever their
+names, to the last stage, which returns the id and its own columns.
 """
 
 from __future__ import annotations
@@ -23,10 +31,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id in each group of near-duplicates."""
-    found = jaccard_join.components(docs)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """Keeps one document of each group of near-duplicates: that of the smallest id, or a row of a null id if there is no other."""
+    names = docs.columns
+    # a row with a null id goes by a number made of its text, beyond all ids of other rows in use
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+    keyed = docs.select(*names, own.alias("_key"))
+    found = jaccard_join.components(keyed.select("_key", "text"), id_col="_key")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    kept = keyed.join(gone.distinct(), F.col("_key") == F.col("_gone"), "left_anti")
+    # rows that share an id are one node: one of them stays
+    shared = keyed.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("_key").alias("_shared")).persist()
+    if shared.isEmpty():
+        return kept.select(*names)
+    alone = kept.join(shared, F.col("_key") == F.col("_shared"), "left_anti")
+    first = kept.join(shared, F.col("_key") == F.col("_shared"), "left_semi").groupBy("_key").agg(F.min(F.struct("text", *(c for c in names if c != "text"))).alias("_row"))
+    return alone.select(*names).unionByName(first.select(*(F.col("_row")[c].alias(c) for c in names)))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,9 +95,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     root = shared.folder(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{root}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # its rows have been read for the last time
+            shared.remove(spark, before)
+        before = path
     return docs
