@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import NotAligned, OutOfRange, need
 from ..functions import pixel
+from ..functions.geometry import INVERSE
 from ..model import Cube, GridSpec
 
 #: Resampling by aggregation: what a target cell makes of the source cells in it.
@@ -71,6 +72,47 @@ def coarsen(cube: Cube, factor: int, method: str | dict[str, str] = "average", o
     return replace(cube, df=df, aligned=True)
 
 
+def overlap(cube: Cube, nx: int, ny: int, step: float, method: str = "average", x0: float = 0.0, y0: float = 0.0) -> Cube:
+    """Target cells of any size, from the source cells that they overlap, weighted by the part of a source cell inside.
+
+    average, sum, rms and mode weigh; min and max take all cells that overlap.  A source
+    cell goes to the few target cells that it meets, so partial aggregates combine before
+    the one exchange.
+    """
+    need(nx >= 1 and ny >= 1 and step > 0, OutOfRange, "the target grid is empty")
+    need(method in WEIGHTED, OutOfRange, f"unknown method {method}")
+    x, y = cube.cell
+    parts = cube.df
+    for name, low, n in ((x, x0, nx), (y, y0, ny)):
+        first, last = F.floor((F.col(name) - low) / step), F.ceil((F.col(name) + 1 - low) / step) - 1
+        parts = parts.withColumn(f"_{name}", F.explode(F.sequence(first, last))).filter(F.col(f"_{name}").between(0, n - 1))
+        start = low + F.col(f"_{name}") * step
+        parts = parts.withColumn(f"_w_{name}", F.least(F.col(name) + 1, start + step) - F.greatest(F.col(name), start))
+    weight = F.col(f"_w_{x}") * F.col(f"_w_{y}")
+    keys = [F.col(cube.item), F.col(cube.time), F.col(f"_{x}").alias(x), F.col(f"_{y}").alias(y)]
+    parts = parts.filter(weight > 1e-12).select(*keys, weight.alias("_w"), *cube.bands)
+    if method == "mode":
+        df = parts.select(*cube.keys).distinct()
+        for b in cube.bands:
+            summed = parts.filter(F.col(b).isNotNull()).groupBy(*cube.keys, b).agg(F.sum("_w").alias("_w"))
+            best = summed.groupBy(*cube.keys).agg(F.max_by(b, F.struct(F.round("_w", 9), -F.col(b))).alias(b))
+            df = df.join(best, cube.keys, "left")
+        return replace(cube, df=df.select(*cube.keys, *cube.bands), aligned=True)
+    df = parts.groupBy(*cube.keys).agg(*(WEIGHTED[method](F.col(b), F.col("_w")).alias(b) for b in cube.bands))
+    return replace(cube, df=df, aligned=True)
+
+
+def _weighted_mean(v: Column, w: Column) -> Column:
+    return F.try_divide(F.sum(v * w), F.sum(F.when(v.isNotNull(), w)))
+
+
+#: Resampling by overlap: value and weight of the source cells.
+WEIGHTED: dict[str, Callable[[Column, Column], Column] | None] = {
+    "average": _weighted_mean, "sum": lambda v, w: F.sum(v * w), "rms": lambda v, w: F.sqrt(_weighted_mean(v * v, w)),
+    "min": lambda v, w: F.min(v), "max": lambda v, w: F.max(v), "mode": None,
+}
+
+
 def targets(cube: Cube, nx: int, ny: int, step: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
     """Every item with every cell of a target grid, and the cell's centre in source units.
 
@@ -85,11 +127,32 @@ def warp(cube: Cube, nx: int, ny: int, step: float, method: str = "bilinear", x0
     """Values on a target grid of nx by ny cells of ``step`` source cells, from (x0, y0) in source units.
 
     ``near`` joins the source cell under the target's centre; the kernels join their
-    neighbours and weigh the present ones.  Cells without any value come out NULL.
+    neighbours and weigh the present ones.  Where target cells are larger than source
+    cells the kernels widen with them.  Bands of whole numbers are always ``near``.
+    Cells without any value come out NULL.
     """
     need(nx >= 1 and ny >= 1 and step > 0, OutOfRange, "the target grid is empty")
+    return resample(cube, targets(cube, nx, ny, step, x0, y0), method, max(1.0, step))
+
+
+def reproject(cube: Cube, source: GridSpec, target: GridSpec, kind: str, lon0: float, lat0: float, method: str = "near") -> Cube:
+    """Values of a longitude-latitude grid on a grid of a projection (laea or aeqd around a centre).
+
+    Each target cell's centre goes back to longitude and latitude, and from there to
+    source cells.
+    """
+    need(kind in INVERSE, OutOfRange, f"a projection is one of {sorted(INVERSE)}")
+    cells = targets(cube, target.nx, target.ny, 1.0)
+    east = target.xmin + (F.col("_x") + 0.5) * target.xres
+    north = target.ymax - (F.col("_y") + 0.5) * target.yres
+    lon, lat = INVERSE[kind](east, north, lon0, lat0)
+    placed = cells.withColumns({"_cx": (lon - source.xmin) / source.xres, "_cy": (source.ymax - lat) / source.yres})
+    return replace(resample(cube, placed, method), grid=target)
+
+
+def resample(cube: Cube, target: DataFrame, method: str, widen: float = 1.0) -> Cube:
+    """Values at places (``_cx``, ``_cy``) in source units of target cells (``_x``, ``_y``) of each item."""
     x, y = cube.cell
-    target = targets(cube, nx, ny, step, x0, y0)
     source = cube.df.select(cube.item, cube.time, F.col(x).cast("long").alias("_sx"), F.col(y).cast("long").alias("_sy"), *cube.bands)
     on = [cube.item, cube.time, "_sx", "_sy"]
     if method == "near":
@@ -98,13 +161,16 @@ def warp(cube: Cube, nx: int, ny: int, step: float, method: str = "bilinear", x0
         return replace(cube, df=df, aligned=True)
     need(method in KERNELS, OutOfRange, f"unknown method {method}")
     reach, weight = KERNELS[method]
+    reach = math.ceil(reach * widen)
     steps = F.sequence(F.lit(1 - reach), F.lit(reach))
     around = target.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps)).withColumns(
         {"_sx": F.floor(F.col("_cx") - 0.5) + F.col("_i"), "_sy": F.floor(F.col("_cy") - 0.5) + F.col("_j")}
     )
-    w = weight(F.col("_cx") - 0.5 - F.col("_sx")) * weight(F.col("_cy") - 0.5 - F.col("_sy"))
+    w = weight((F.col("_cx") - 0.5 - F.col("_sx")) / widen) * weight((F.col("_cy") - 0.5 - F.col("_sy")) / widen)
     found = around.withColumn("_w", w).join(source, on, "left")
-    mean = {b: F.try_divide(F.sum(F.col("_w") * F.col(b)), F.sum(F.when(F.col(b).isNotNull(), F.col("_w")))) for b in cube.bands}
+    under = (F.col("_sx") == F.floor("_cx")) & (F.col("_sy") == F.floor("_cy"))
+    whole = {b for b in cube.bands if cube.df.schema[b].dataType.typeName() in ("byte", "short", "integer", "long")}
+    mean = {b: F.max(F.when(under, F.col(b))) if b in whole else _weighted_mean(F.col(b), F.col("_w")) for b in cube.bands}
     df = found.groupBy(cube.item, cube.time, "_x", "_y").agg(*(v.alias(b) for b, v in mean.items()))
     df = df.select(cube.item, cube.time, F.col("_x").alias(x), F.col("_y").alias(y), *cube.bands)
     return replace(cube, df=df, aligned=True)

@@ -22,20 +22,25 @@ from ..model import Cube
 DIGITS = 9
 
 
-def _centre_rows(cube: Cube, centre: Callable[[Column], Column]) -> DataFrame:
-    """Per cell and band: the centre, whether the band is complete, and the number of usable rows."""
+def _facts(cube: Cube) -> dict[str, Column]:
+    """Aggregates of a cell: the number of usable rows, and for each band whether it is complete."""
     used = F.coalesce(*cube.bands).isNotNull()
-    out = [F.count(F.when(used, 1)).alias("_n")]
-    for b in cube.bands:
-        out.append(centre(F.col(b)).alias(f"_c_{b}"))
-        out.append((F.count(b) == F.count(F.when(used, 1))).alias(f"_full_{b}"))
-    return cube.df.groupBy(*cube.cell).agg(*out)
+    n = F.count(F.when(used, 1))
+    return {"_n": n} | {f"_full_{b}": F.count(b) == n for b in cube.bands}
 
 
-def _closest(cube: Cube, centres: DataFrame, distance: str, impute: bool, options: dict) -> DataFrame:
+def _with_centres(cube: Cube, centre: Callable[[Column], Column]) -> DataFrame:
+    """The cube's rows with their cell's centre and facts, over one exchange by cell."""
+    whole = Window.partitionBy(*cube.cell)
+    used = F.coalesce(*cube.bands).isNotNull()
+    n = F.count(F.when(used, 1)).over(whole)
+    facts = {"_n": n} | {f"_full_{b}": F.count(b).over(whole) == n for b in cube.bands}
+    return cube.df.withColumns(facts | {f"_c_{b}": centre(F.col(b)).over(whole) for b in cube.bands})
+
+
+def _closest(cube: Cube, joined: DataFrame, distance: str, impute: bool, options: dict) -> DataFrame:
     """The usable row of least distance to its cell's centre over the complete bands; the earliest of equal ones."""
     need(distance in DISTANCES, OutOfRange, f"unknown distance {distance}")
-    joined = cube.df.join(centres, list(cube.cell))
     a = [F.when(F.col(f"_full_{b}"), F.col(b)) for b in cube.bands]
     c = [F.when(F.col(f"_full_{b}"), F.col(f"_c_{b}")) for b in cube.bands]
     far = F.round(DISTANCES[distance](a, c, **options), DIGITS)
@@ -54,14 +59,14 @@ def _closest(cube: Cube, centres: DataFrame, distance: str, impute: bool, option
 def medoid(cube: Cube, distance: str = "euclidean", impute: bool = True, **options) -> DataFrame:
     """The observation closest to the band medians."""
     cube.need_aligned()
-    return _closest(cube, _centre_rows(cube, F.median), distance, impute, options)
+    return _closest(cube, _with_centres(cube, F.median), distance, impute, options)
 
 
 def quantoid(cube: Cube, probability: float = 0.4, distance: str = "euclidean", impute: bool = True, **options) -> DataFrame:
     """The observation closest to the band quantiles."""
     need(0 <= probability <= 1, OutOfRange, "a probability is between 0 and 1")
     cube.need_aligned()
-    return _closest(cube, _centre_rows(cube, lambda v: F.percentile(v, F.lit(float(probability)))), distance, impute, options)
+    return _closest(cube, _with_centres(cube, lambda v: F.percentile(v, F.lit(float(probability)))), distance, impute, options)
 
 
 def geometric_median(matrix: np.ndarray, rounds: int = 200, epsilon: float = 1e-8) -> np.ndarray:
@@ -83,6 +88,40 @@ def geometric_median(matrix: np.ndarray, rounds: int = 200, epsilon: float = 1e-
     return centre
 
 
+def averaged_median(matrix: np.ndarray, nstart: int = 10, gamma: float = 10.0, alpha: float = 0.65, epsilon: float = 1e-8) -> np.ndarray:
+    """Geometric median by averaged stochastic gradient steps over the rows in their order.
+
+    Step k goes gamma * sqrt(bands) / k**alpha towards its row, over the row's present
+    bands; the estimate is the running mean of the steps' places.  It starts at the band
+    medians and passes over the rows ``nstart`` times, each time from the last estimate.
+    """
+    have = ~np.isnan(matrix)
+    mean = np.where(have.any(0), np.nanmedian(np.where(have.any(0), matrix, 0.0), axis=0), np.nan)
+    if len(matrix) < 2:
+        return matrix[0] if len(matrix) else mean
+    length = gamma * np.sqrt(matrix.shape[1])
+    for _ in range(nstart):
+        at, mean = mean.copy(), mean.copy()
+        for k in range(1, len(matrix)):
+            gap = np.where(have[k], matrix[k] - at, 0.0)
+            far = float(np.sqrt(np.nansum(gap * gap)))
+            if far > epsilon:
+                at = at + np.nan_to_num(gap) * (length / ((k + 1) ** alpha * far))
+            mean = mean + (at - mean) / (k + 1)
+    return mean
+
+
+def complete_median(matrix: np.ndarray, rounds: int = 200, epsilon: float = 1e-8, impute: bool = True, fill: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """Weiszfeld's iteration on the complete bands; the others come from ``fill`` of all bands, or stay missing."""
+    gaps = np.isnan(matrix).any(0)
+    out = np.full(matrix.shape[1], np.nan)
+    if not gaps.all():
+        out[~gaps] = geometric_median(matrix[:, ~gaps], rounds, epsilon)
+    if impute and gaps.any():
+        out[gaps] = (fill or averaged_median)(matrix)[gaps]
+    return out
+
+
 def reduce_with(cube: Cube, reducer: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """A user's matrix-to-vector reducer per cell (rows in order of time, columns bands), as a grouped Arrow map.
 
@@ -107,9 +146,18 @@ def reduce_with(cube: Cube, reducer: Callable[[np.ndarray], np.ndarray]) -> Data
     return narrow.groupBy(*cell).applyInPandas(run, schema)
 
 
-def geomedian(cube: Cube, rounds: int = 200, epsilon: float = 1e-8) -> DataFrame:
-    """The geometric median of the observations."""
-    return reduce_with(cube, lambda m: geometric_median(m, rounds, epsilon))
+def geomedian(
+    cube: Cube, weiszfeld: bool = False, rounds: int = 100, nstart: int = 10, gamma: float = 10.0, alpha: float = 0.65, epsilon: float = 1e-8,
+    impute: bool = True,
+) -> DataFrame:
+    """The geometric median of the observations: by averaged stochastic steps, which take gaps as they are, or by
+    Weiszfeld's iteration on the complete bands, with the others from the former if ``impute``."""
+    need(nstart >= 1 and rounds >= 1 and gamma > 0 and 0.5 < alpha <= 1, OutOfRange, "nstart and rounds from 1, gamma above 0, alpha above 0.5 to 1")
+
+    def averaged(m: np.ndarray) -> np.ndarray:
+        return averaged_median(m, nstart, gamma, alpha, epsilon)
+
+    return reduce_with(cube, (lambda m: complete_median(m, rounds, epsilon, impute, averaged)) if weiszfeld else averaged)
 
 
 def geomedian_fixed(cube: Cube, rounds: int = 5) -> DataFrame:
@@ -142,8 +190,16 @@ def geomedian_fixed(cube: Cube, rounds: int = 5) -> DataFrame:
 
 
 def geomedoid(cube: Cube, distance: str = "euclidean", impute: bool = True, rounds: int = 200, **options) -> DataFrame:
-    """The observation closest to the geometric median."""
-    centre = geomedian(cube, rounds)
-    renamed = centre.withColumnsRenamed({b: f"_c_{b}" for b in cube.bands})
-    facts = _centre_rows(cube, F.median).select(*cube.cell, "_n", *(f"_full_{b}" for b in cube.bands))
-    return _closest(cube, facts.join(renamed, list(cube.cell)), distance, impute, options)
+    """The observation closest to the geometric median of the complete bands; gaps take the median of the others."""
+
+    def centre(m: np.ndarray) -> np.ndarray:
+        gaps = np.isnan(m).any(0)
+        out = np.empty(m.shape[1])
+        for part in (gaps, ~gaps):
+            if part.any():
+                out[part] = geometric_median(m[:, part], rounds)
+        return out
+
+    centres = reduce_with(cube, centre).withColumnsRenamed({b: f"_c_{b}" for b in cube.bands})
+    facts = cube.df.groupBy(*cube.cell).agg(*(v.alias(name) for name, v in _facts(cube).items()))
+    return _closest(cube, cube.df.join(facts.join(centres, list(cube.cell)), list(cube.cell)), distance, impute, options)

@@ -21,19 +21,52 @@ def clean(v: Column, scale: float = 1.0, offset: float = 0.0) -> Column:
     return F.when(F.abs(v) != float("inf"), v) * scale + offset
 
 
+def _ranked(counts: DataFrame, value: str, parts: int = 200) -> DataFrame:
+    """(value, n) rows with the number of values up to each (``_upto``) and of all (``_all``).
+
+    Values fall into at most ``parts`` ranges between approximate quantiles; running
+    sums are taken within a range, and the ranges' totals, a table of ``parts`` rows,
+    give what lies before it.  So no task sees all values.
+    """
+    shares = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+    edges = counts.agg(F.percentile_approx(F.col(value).cast("double"), shares, F.lit(10_000)).alias("_edges"))
+    placed = counts.join(F.broadcast(edges))  # one row of fixed size
+    placed = placed.withColumn("_part", F.size(F.filter(F.array_distinct("_edges"), lambda e: e < F.col(value)))).drop("_edges")
+    totals = placed.groupBy("_part").agg(F.sum("n").alias("_n"))
+    one = Window.partitionBy(F.lit(1))
+    before = totals.select(
+        "_part", (F.sum("_n").over(one.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"), F.sum("_n").over(one).alias("_all")
+    )
+    running = F.sum("n").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("_run", running).join(F.broadcast(before), "_part").select(value, "n", (F.col("_run") + F.col("_before")).alias("_upto"), "_all")
+
+
+def _quantiles(df: DataFrame, band: str, shares: dict[str, float]) -> DataFrame:
+    """One row with exact, linearly interpolated quantiles of a band, by name, and the number of its distinct values."""
+    counts = df.filter(F.col(band).isNotNull()).groupBy(F.col(band).cast("double").alias("_v")).agg(F.count("*").alias("n"))
+    ranked = _ranked(counts, "_v")
+    out = []
+    for name, share in shares.items():
+        place = F.lit(float(share)) * (F.col("_all") - 1)
+        low, high = (F.min(F.when(F.col("_upto") >= at + 1, F.col("_v"))) for at in (F.floor(place), F.ceil(place)))
+        part = F.first(place - F.floor(place))
+        out.append((low + (high - low) * part).alias(name))
+    return ranked.agg(*out, F.count("*").alias("_distinct"))
+
+
 def stretch(df: DataFrame, bands, low: float = 0.01, high: float = 0.98, limits: dict | None = None) -> DataFrame:
     """Each band from 0 to 1 between two of its quantiles (or given limits), clamped.
 
     The limits are one row of fixed size, so broadcasting them is bounded.
     """
     need(0 <= low < high <= 1, OutOfRange, "quantiles out of order")
-    if limits is not None:
-        ends = {b: (F.lit(float(limits[b][0])), F.lit(float(limits[b][1]))) for b in bands}
-        joined = df
-    else:
-        row = df.agg(*(F.percentile(b, F.lit(low)).alias(f"_lo_{b}") for b in bands), *(F.percentile(b, F.lit(high)).alias(f"_hi_{b}") for b in bands))
-        joined = df.join(F.broadcast(row))
-        ends = {b: (F.col(f"_lo_{b}"), F.col(f"_hi_{b}")) for b in bands}
+    joined, ends = df, {}
+    for b in bands:
+        if limits is not None:
+            ends[b] = (F.lit(float(limits[b][0])), F.lit(float(limits[b][1])))
+        else:
+            joined = joined.join(F.broadcast(_quantiles(df, b, {f"_lo_{b}": low, f"_hi_{b}": high}).drop("_distinct")))
+            ends[b] = (F.col(f"_lo_{b}"), F.col(f"_hi_{b}"))
     out = {}
     for b, (lo, hi) in ends.items():
         share = F.try_divide(F.col(b) - lo, hi - lo)
@@ -52,24 +85,9 @@ def gamma(df: DataFrame, bands, exponents=GAMMA) -> DataFrame:
     return df.withColumns({b: F.pow(F.col(b), F.lit(1.0 / g)) for b, g in zip(bands, exponents, strict=True)})
 
 
-def _ecdf(counts: DataFrame, value: str, parts: int = 200) -> DataFrame:
-    """Empirical distribution at each distinct value of (value, n) rows.
-
-    Values fall into at most ``parts`` ranges between approximate quantiles; running
-    sums are taken within a range, and the ranges' totals, a table of ``parts`` rows,
-    give what lies before it.  So no task sees all values.
-    """
-    shares = F.array(*(F.lit(i / parts) for i in range(1, parts)))
-    edges = counts.agg(F.percentile_approx(F.col(value).cast("double"), shares, F.lit(10_000)).alias("_edges"))
-    placed = counts.join(F.broadcast(edges))  # one row of fixed size
-    placed = placed.withColumn("_part", F.size(F.filter(F.array_distinct("_edges"), lambda e: e < F.col(value)))).drop("_edges")
-    totals = placed.groupBy("_part").agg(F.sum("n").alias("_n"))
-    one = Window.partitionBy(F.lit(1))
-    before = totals.select(
-        "_part", (F.sum("_n").over(one.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"), F.sum("_n").over(one).alias("_all")
-    )
-    running = F.sum("n").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return placed.withColumn("_run", running).join(F.broadcast(before), "_part").select(value, ((F.col("_run") + F.col("_before")) / F.col("_all")).alias("ecdf"))
+def _ecdf(counts: DataFrame, value: str) -> DataFrame:
+    """Empirical distribution at each distinct value of (value, n) rows."""
+    return _ranked(counts, value).select(value, (F.col("_upto") / F.col("_all")).alias("ecdf"))
 
 
 def equalize(df: DataFrame, band: str) -> DataFrame:
@@ -96,10 +114,10 @@ def equalize_jointly(df: DataFrame, bands) -> DataFrame:
 
 def legend(df: DataFrame, value: str) -> DataFrame:
     """One row: distinct values, extremes, quartiles, and whether the legend is discrete."""
-    return df.agg(
-        F.count_distinct(value).alias("n_values"), F.min(value).alias("low"), F.max(value).alias("high"),
-        F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"),
-    ).withColumn("discrete", F.col("n_values") < DISCRETE)
+    ends = df.agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    found = _quantiles(df, value, {"q1": 0.25, "q3": 0.75}).withColumnRenamed("_distinct", "n_values")
+    # two tables of one row
+    return found.join(F.broadcast(ends)).select("n_values", "low", "high", "q1", "q3", (F.col("n_values") < DISCRETE).alias("discrete"))
 
 
 def legend_entries(df: DataFrame, value: str) -> DataFrame:
@@ -107,23 +125,14 @@ def legend_entries(df: DataFrame, value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")).orderBy(value)
 
 
-# Decimals by least magnitude, and, for smaller values, by least range.
-BY_MAGNITUDE = ((1000, 0), (100, 1), (10, 1))
-BY_RANGE = ((1, 2), (0.1, 2), (0.01, 3))
-
-
 def label_digits(values) -> int:
-    """Decimals of a legend's labels: fewer for larger numbers and wider ranges, six at most."""
+    """Decimals that tell neighbouring labels apart: as many as the smallest step between them needs."""
     finite = sorted({float(v) for v in values if v is not None and math.isfinite(v)})
-    if not finite or (len(values) > 2 and all(v.is_integer() for v in finite)):
+    if all(v.is_integer() for v in finite):
         return 0
-    size, width = max(map(abs, finite)), finite[-1] - finite[0]
-    for ladder, measure in ((BY_MAGNITUDE, size), (BY_RANGE, width)):
-        for least, digits in ladder:
-            if measure >= least:
-                return digits
-    gaps = [b - a for a, b in zip(finite, finite[1:], strict=False)]
-    return min(6, max(0, math.ceil(-math.log10(min(gaps))) + 1)) if gaps else 4
+    # a single label shows three figures
+    step = min((b - a for a, b in zip(finite, finite[1:], strict=False)), default=abs(finite[0]) / 100)
+    return min(15, max(0, math.ceil(-math.log10(step))))
 
 
 def colours(df: DataFrame, value: str, table: DataFrame, missing: str) -> DataFrame:

@@ -30,14 +30,14 @@ def hampel(cube: Cube, k: int = 1, t0: float = 3.0, impute: bool = False, bands=
     value goes if it lies more than t0 scaled median deviations off; windows always
     hold original values.  ``impute`` then carries values forward into gaps.
 
-    Missing values sort behind the valid ones of their cell, so one exchange and one
-    sort serve the windows of a band.
+    Missing values sort behind the valid ones of their cell.  Rows are dealt by cell
+    once, which serves the windows of all bands and of the imputation.
     """
     need(isinstance(k, int) and k >= 1, OutOfRange, "k is a whole number from 1")
     need(t0 >= 0, OutOfRange, "t0 must not be negative")
     need(isinstance(impute, bool), TypeMismatch, "impute is true or false")
     chosen = _chosen(cube, bands)
-    df = cube.df
+    df = cube.df.repartition(*cube.cell)
     for b in chosen:
         spec = Window.partitionBy(*cube.cell, F.col(b).isNull()).orderBy(*_order(cube))
         df = df.withColumn("_w", F.array_sort(F.collect_list(b).over(spec.rowsBetween(-k, k))))

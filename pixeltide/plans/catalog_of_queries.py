@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, pixel
 from ..functions.distances import DISTANCES
+from ..model import GridSpec
 from ..operators import bands, composites, grids, masks, reducers, rendering, series, sets, tiles
 from ..sources import catalog, rasters, sinks, tables
 
@@ -110,16 +111,25 @@ def _(spark, sf):
     return found.select("id", F.array_join(F.array_sort(F.map_keys("assets")), ",").alias("assets"))
 
 
+SEARCH = ((-60, -30, 60, 50), "1996-01-01", "1998-12-31")
+
+
 @add("stac_sentinel2_query", f"WITH {C}, {FOUND} SELECT id, 5 AS n_assets FROM g WHERE cloud_cover < 10")
 def _(spark, sf):
-    found = catalog.query(tables.catalog(spark, sf), (-60, -30, 60, 50), "c1", "1996-01-01", "1998-12-31", catalog.SENTINEL2_ASSETS, F.col("_pos"))
-    return catalog.cloud_filter(found, 10).select("id", F.size("assets").alias("n_assets"))
+    found = catalog.sentinel2_query(tables.catalog(spark, sf), *SEARCH, collection="c1", order=F.col("_pos"))
+    return found.select("id", F.size("assets").alias("n_assets"))
+
+
+@add("stac_hls_query", f"WITH {C}, {FOUND} SELECT id, 4 AS n_assets FROM g WHERE cloud_cover < 30")
+def _(spark, sf):
+    items = tables.catalog(spark, sf).withColumn("collection", F.when(F.col("collection") == "c1", "HLSS30_2.0").otherwise(F.col("collection")))
+    found = catalog.hls_query(items, *SEARCH, collection="HLSS30_2.0", max_cloud_cover=30, source="earthdata", order=F.col("_pos"))
+    return found.select("id", F.size("assets").alias("n_assets"))
 
 
 @add("stac_sentinel1_query", f"WITH {C}, {FOUND} SELECT id, orbit_state FROM g WHERE orbit_state IN ('ascending', 'descending')")
 def _(spark, sf):
-    found = catalog.query(tables.catalog(spark, sf), (-60, -30, 60, 50), "c1", "1996-01-01", "1998-12-31", order=F.col("_pos"))
-    return catalog.orbit_filter(found, ["ascending", "descending"]).select("id", "orbit_state")
+    return catalog.sentinel1_query(tables.catalog(spark, sf), *SEARCH, collection="c1", order=F.col("_pos")).select("id", "orbit_state")
 
 
 @add("stac_collections", f"WITH {C} SELECT DISTINCT collection FROM c")
@@ -147,6 +157,12 @@ def _(spark, sf):
     return signed.select("id", F.element_at("assets", "B02")["href"].alias("href"))
 
 
+@add("asset_sign_collection", f"WITH {C} SELECT id, 'https://example.org/' || id || '/B02.tif' || CASE WHEN collection = 'c1' THEN '?k1' ELSE '' END AS href FROM c")
+def _(spark, sf):
+    signed = catalog.sign_collection(tables.catalog(spark, sf), "c1", catalog.Tokens(lambda _: ("k1", 3600)))
+    return signed.select("id", F.element_at("assets", "B02")["href"].alias("href"))
+
+
 @add("collect_sources", f"""WITH {C} SELECT id, strftime(datetime, '%Y-%m-%dT%H:%M:%SZ') AS time,
   array_to_string(list_transform(['B02', 'B8A', 'B08', 'B12', 'SCL'], lambda a: '/vsicurl/https://example.org/' || id || '/' || a || '.tif'), ' ') AS sources FROM c""")
 def _(spark, sf):
@@ -218,6 +234,39 @@ def _(spark, sf):
     return rounded(p.select("id", east.alias("east"), north.alias("north")), 2)
 
 
+@add("box_valid", f"WITH {C} SELECT id, CASE WHEN ok THEN x0 END AS xmin, CASE WHEN ok THEN y0 END AS ymin, CASE WHEN ok THEN x0 + 15 END AS xmax, CASE WHEN ok THEN y0 + 12 END AS ymax FROM (SELECT *, x0 + 15 <= 180 AND y0 + 12 <= 90 AS ok FROM c)")
+def _(spark, sf):
+    turned = F.array(F.get("bbox", 2), F.get("bbox", 1), F.get("bbox", 0), F.get("bbox", 3))
+    box = geometry.ordered_box(turned)
+    return tables.catalog(spark, sf).select("id", *(F.get(box, i).alias(n) for i, n in enumerate(("xmin", "ymin", "xmax", "ymax"))))
+
+
+AEQD = "sqrt(pow(cos(radians(45)) * sin(radians(lat)) - sin(radians(45)) * cos(radians(lat)) * cos(radians(lon - 10)), 2) + pow(cos(radians(lat)) * sin(radians(lon - 10)), 2))"
+
+
+@add("project_box_laea", f"""WITH {C}, b AS (SELECT id, x0 / 10 AS x0, y0 / 3 + 40 AS y0, x0 / 10 + 2 AS x1, y0 / 3 + 41 AS y1 FROM c),
+s AS (SELECT i / 20.0 AS s FROM range(21) r(i)),
+p AS (SELECT id, x0 + (x1 - x0) * s AS lon, y AS lat FROM b, s, LATERAL (SELECT unnest([y0, y1]) AS y) UNION ALL SELECT id, x AS lon, y0 + (y1 - y0) * s AS lat FROM b, s, LATERAL (SELECT unnest([x0, x1]) AS x)),
+e AS (SELECT id, 6371008.8 * {LAEA} * cos(radians(lat)) * sin(radians(lon - 10)) AS east,
+  6371008.8 * {LAEA} * (cos(radians(45)) * sin(radians(lat)) - sin(radians(45)) * cos(radians(lat)) * cos(radians(lon - 10))) AS north FROM p)
+SELECT id, round(min(east), 1) + 0.0 AS xmin, round(min(north), 1) + 0.0 AS ymin, round(max(east), 1) + 0.0 AS xmax, round(max(north), 1) + 0.0 AS ymax FROM e GROUP BY id""")
+def _(spark, sf):
+    low = (F.get("bbox", 0) / 10, F.get("bbox", 1) / 3 + 40)
+    box = F.array(low[0], low[1], low[0] + 2, low[1] + 1)
+    b = tables.catalog(spark, sf).select("id", geometry.projected_box(box, "laea", 10, 45).alias("b"))
+    return rounded(b.select("id", *(F.get("b", i).alias(n) for i, n in enumerate(("xmin", "ymin", "xmax", "ymax")))), 1)
+
+
+@add("project_there_and_back", f"WITH {C} SELECT id, round(x0 / 10, 6) + 0.0 AS lon, round(y0 / 3 + 40, 6) + 0.0 AS lat FROM c")
+def _(spark, sf):
+    p = tables.catalog(spark, sf).select("id", (F.get("bbox", 0) / 10).alias("lon"), (F.get("bbox", 1) / 3 + 40).alias("lat"))
+    for kind in ("laea", "aeqd"):
+        x, y = geometry.FORWARD[kind](F.col("lon"), F.col("lat"), 10, 45)
+        lon, lat = geometry.INVERSE[kind](F.col("x"), F.col("y"), 10, 45)
+        p = p.select("id", x.alias("x"), y.alias("y")).select("id", lon.alias("lon"), lat.alias("lat"))
+    return rounded(p, 6)
+
+
 @add("tap_extent", f"WITH {BOXES} SELECT floor((xmin + 0.3) / 20) * 20 + 0.0 AS xmin, floor(ymin / 20) * 20 + 0.0 AS ymin, ceil(xmax / 20) * 20 + 0.0 AS xmax, ceil(ymax / 20) * 20 + 0.0 AS ymax FROM b")
 def _(spark, sf):
     b = _boxes(spark, sf).select((F.col("xmin") + 0.3).alias("xmin"), "ymin", "xmax", "ymax")
@@ -234,9 +283,9 @@ def _(spark, sf):
     return by_cell(composites.composite(cube, "sum"), 4)
 
 
-@add("band_move", f"WITH {L} SELECT x, y, round(green, 6) AS b1, round(blue, 6) AS b2, round(red, 6) AS b3 FROM l WHERE y = 3")
+@add("band_move", f"WITH {L} SELECT x, y, round(green, 6) AS b1, round(blue, 6) AS b2, round(red, 6) AS b3 FROM l")
 def _(spark, sf):
-    cube = bands.move(masks.window(tables.line_cube(spark, sf), ymin=3, ymax=3), 1, 2)
+    cube = bands.move(tables.line_cube(spark, sf), 1, 2)
     return rounded(cube.df.select("x", "y", *(F.col(b).alias(f"b{i + 1}") for i, b in enumerate(cube.bands[:3]))))
 
 
@@ -417,11 +466,11 @@ def _(spark, sf):
     return composites.composite(cube, "mode")
 
 
-@add("composite_product", f"WITH {M} SELECT x, y, round(exp(sum(ln(value / 100))), 6) AS value FROM m WHERE value IS NOT NULL AND item % 5 = 0 GROUP BY x, y")
+#: Growth rates near one, so that products of long series stay in range.
+@add("composite_product", f"WITH {M} SELECT x, y, round(exp(sum(ln(1 + value / 100000))), 6) AS value FROM m GROUP BY x, y")
 def _(spark, sf):
     cube = bands.subset(masked(spark, sf), ["value"])
-    cube = replace(cube, df=cube.df.filter("value is not null and item % 5 = 0").withColumn("value", F.col("value") / 100))
-    return by_cell(composites.composite(cube, "mul"))
+    return by_cell(composites.composite(cube.with_bands({"value": 1 + F.col("value") / 100000}), "mul"))
 
 
 @add("composite_argmax", f"WITH {M} SELECT x, y, arg_max(item, (value, -item)) FILTER (WHERE value IS NOT NULL) AS n FROM m GROUP BY x, y")
@@ -456,21 +505,22 @@ def _(spark, sf):
     return by_cell(composites.composite_with(bands.subset(masked(spark, sf), ["value"]), lambda v: v.max() - v.min()))
 
 
-FIVE = f"{E}, f AS (SELECT x, y, value, row_number() OVER (PARTITION BY x, y ORDER BY t, item) AS k FROM e QUALIFY k <= 5)"
+SERIES = f"{E}, a AS (SELECT x, y, list(value ORDER BY t, item) AS v, len(v) AS n FROM e GROUP BY x, y), s AS (SELECT *, greatest(0, least({{at}}, n - 2)) AS i FROM a)"
 
 
-@add("pixfun_interpolate_linear", f"""WITH {FIVE}, a AS (SELECT x, y, list(value ORDER BY k) AS v FROM f GROUP BY x, y)
-SELECT x, y, round(v[4] + (v[5] - v[4]) * 0.5, 6) AS inside, round(v[4] + (v[5] - v[4]) * 4.0, 6) AS beyond FROM a WHERE len(v) = 5""")
+@add("pixfun_interpolate_linear", f"""WITH {SERIES.format(at=3)}, z AS (SELECT *, greatest(0, least(1000, n - 2)) AS j FROM s)
+SELECT x, y, round(CASE WHEN n > 1 THEN v[i + 1] + (v[i + 2] - v[i + 1]) * (3.5 - i) ELSE v[1] END, 6) AS inside,
+  round(CASE WHEN n > 1 THEN v[j + 1] + (v[j + 2] - v[j + 1]) * (1000 - j) ELSE v[1] END, 4) AS beyond FROM z""")
 def _(spark, sf):
-    from pyspark.sql import Window
-
     cube = bands.subset(tables.event_cube(spark, sf), ["value"])
-    first = F.row_number().over(Window.partitionBy("x", "y").orderBy("t", "item"))
-    whole = F.count("*").over(Window.partitionBy("x", "y"))
-    cube = replace(cube, df=cube.df.withColumn("_k", first).withColumn("_n", whole).filter("_k <= 5 and _n >= 5").drop("_k", "_n"))
-    inside = composites.interpolated(cube, 0, 2, 7).withColumnRenamed("value", "inside")
-    beyond = composites.interpolated(cube, 0, 1, 7).withColumnRenamed("value", "beyond")
-    return by_cell(inside.join(beyond, ["x", "y"]))
+    inside = composites.interpolated(cube, 0, 2, 7).withColumn("inside", F.round("value", 6))
+    beyond = composites.interpolated(cube, 0, 1, 1000).withColumn("beyond", F.round("value", 4))
+    return by_cell(inside.drop("value").join(beyond.drop("value"), ["x", "y"]))
+
+
+@add("pixfun_interpolate_exp", f"""WITH {SERIES.format(at=3)} SELECT x, y, round(CASE WHEN n > 1 AND v[i + 1] > 0 AND v[i + 2] > 0 THEN v[i + 1] * pow(v[i + 2] / v[i + 1], 3.5 - i) END, 5) AS value FROM s""")
+def _(spark, sf):
+    return by_cell(composites.interpolated(bands.subset(tables.event_cube(spark, sf), ["value"]), 0, 2, 7, how="exp"), 5)
 
 
 ROWWISE = {
@@ -483,6 +533,12 @@ ROWWISE = {
     "dB2pow": ("pow(10.0, (value - 200) / 10 / 10)", {}),
     "replace_nodata": ("coalesce(value - 200, -1.0)", {"to": -1.0}),
     "phase": ("CASE WHEN value - 200 < 0 THEN pi() ELSE 0.0 END", {}),
+    "exp": ("exp((value - 200) * 0.01)", {"fact": 0.01}),
+    "mod": ("abs(value - 200)", {}),
+    "real": ("value - 200", {}),
+    "imag": ("0.0", {}),
+    "conj": ("value - 200", {}),
+    "dB2amp": ("pow(10.0, (value - 200) / 10 / 20)", {}),
 }
 
 
@@ -490,7 +546,7 @@ def _rowwise(name: str, sql: str, options: dict) -> None:
     @add(f"pixfun_{name}", f"WITH {E} SELECT item, round({sql}, 6) + 0.0 AS value FROM e")
     def _(spark, sf):
         shift = F.col("value") - 200
-        cube = tables.event_cube(spark, sf).with_bands({"value": shift / 10 if name == "dB2pow" else shift})
+        cube = tables.event_cube(spark, sf).with_bands({"value": shift / 10 if name in ("dB2pow", "dB2amp") else shift})
         return rounded(composites.apply_rowwise(cube, name, **options).df.select("item", "value"))
 
 
@@ -505,6 +561,18 @@ def _(spark, sf):
     return by_cell(composites.composite(cube, "mean"))
 
 
+@add("pixfun_div", f"WITH {L} SELECT x, y, round(avg(green / nullif(red, 0)), 5) AS v, count(green / nullif(red, 0)) AS n FROM l GROUP BY x, y")
+def _(spark, sf):
+    v = pixel.PAIRWISE["div"](F.col("green"), F.col("red"))
+    return by_cell(tables.line_cube(spark, sf).df.groupBy("x", "y").agg(F.avg(v).alias("v"), F.count(v).alias("n")), 5)
+
+
+@add("pixfun_complex", f"WITH {L} SELECT x, y, round(sum(red), 4) AS re, round(sum(nir), 4) AS im FROM l GROUP BY x, y")
+def _(spark, sf):
+    pair = tables.line_cube(spark, sf).with_bands({"z": pixel.PAIRWISE["complex"](F.col("red"), F.col("nir"))}).df
+    return by_cell(pair.groupBy("x", "y").agg(F.sum("z.re").alias("re"), F.sum("z.im").alias("im")), 4)
+
+
 @add("pixfun_polynomial", f"WITH {E} SELECT item, round(1 + 0.5 * value + 0.01 * value * value, 6) AS value FROM e")
 def _(spark, sf):
     return rounded(tables.event_cube(spark, sf).with_bands({"value": pixel.polynomial(F.col("value"), [1, 0.5, 0.01])}).df.select("item", "value"))
@@ -521,7 +589,7 @@ def _(spark, sf):
 #: Cube with gaps: red is missing for returned lines, and all bands for a few.
 G = L + """,
 h AS (SELECT item, t, x, y, CASE WHEN skip THEN NULL ELSE blue END AS blue, CASE WHEN skip OR (l_returnflag = 'R' AND y < 5) THEN NULL ELSE red END AS red,
-  CASE WHEN skip THEN NULL ELSE nir END AS nir FROM (SELECT *, item.a % 37 = 0 AS skip FROM l WHERE item.a % 20 = 0 OR x > 4))"""
+  CASE WHEN skip THEN NULL ELSE nir END AS nir FROM (SELECT *, item.a % 37 = 0 AS skip FROM l))"""
 
 
 def _gaps(spark, sf):
@@ -531,7 +599,7 @@ def _gaps(spark, sf):
         F.col("l_shipdate").alias("t"), (F.col("l_suppkey") % 10).alias("x"), F.floor(F.col("l_suppkey") / 10).alias("y"),
         F.col("l_quantity").alias("blue"), (F.col("l_discount") * 100).alias("red"), (F.col("l_tax") * 1000).alias("nir"),
         "l_returnflag", (F.col("l_orderkey") % 37 == 0).alias("skip"),
-    ).filter((F.col("item.l_orderkey") % 20 == 0) | (F.col("x") > 4))
+    )
     df = df.withColumn("red", F.when(~((F.col("l_returnflag") == "R") & (F.col("y") < 5)), F.col("red")))
     df = df.select("item", "t", "x", "y", *(F.when(~F.col("skip"), F.col(b)).alias(b) for b in ("blue", "red", "nir")))
     return rasters.from_table(df, ["blue", "red", "nir"])
@@ -647,6 +715,11 @@ def _(spark, sf):
     return by_cell(reducers.geomedian(_gaps(spark, sf)), 5)
 
 
+@add("reduce_geomedian_weiszfeld")
+def _(spark, sf):
+    return by_cell(reducers.geomedian(_gaps(spark, sf), weiszfeld=True), 5)
+
+
 @add("reduce_geomedoid")
 def _(spark, sf):
     return by_cell(reducers.geomedoid(_gaps(spark, sf)), 5)
@@ -739,7 +812,8 @@ def _(spark, sf):
 
 
 def _kernel_sql(reach: int, weight: str) -> str:
-    wx, wy = weight.replace("{d}", "(cx - 0.5 - sx)"), weight.replace("{d}", "(cy - 0.5 - sy)")
+    reach = -(-reach * 17 // 10)  # kernels widen with target cells of 1.7 source cells
+    wx, wy = weight.replace("{d}", "((cx - 0.5 - sx) / 1.7)"), weight.replace("{d}", "((cy - 0.5 - sy) / 1.7)")
     return f"""WITH {GRID}, {CELLS}, n AS (SELECT z.*, floor(cx - 0.5) + i.i AS sx, floor(cy - 0.5) + j.j AS sy FROM z, range({1 - reach}, {reach + 1}) i(i), range({1 - reach}, {reach + 1}) j(j)),
 w AS (SELECT n.x, n.y, ({wx}) * ({wy}) AS w, g.value AS v FROM n LEFT JOIN g ON g.x = sx AND g.y = sy)
 SELECT x, y, round(sum(w * v) / nullif(sum(w) FILTER (WHERE v IS NOT NULL), 0), 5) AS value FROM w GROUP BY x, y"""
@@ -762,6 +836,48 @@ def _kernel(name: str) -> None:
 for _name in KERNEL_SQL:
     _kernel(_name)
 
+
+
+OVERLAP = f"""WITH {GRID}, o AS (SELECT tx.i AS x, ty.j AS y, (least(g.x + 1, (tx.i + 1) * 1.7) - greatest(g.x, tx.i * 1.7)) * (least(g.y + 1, (ty.j + 1) * 1.7) - greatest(g.y, ty.j * 1.7)) AS w, value AS v, qa
+  FROM g, range(8) tx(i), range(5) ty(j) WHERE least(g.x + 1, (tx.i + 1) * 1.7) - greatest(g.x, tx.i * 1.7) > 1e-9 AND least(g.y + 1, (ty.j + 1) * 1.7) - greatest(g.y, ty.j * 1.7) > 1e-9)"""
+OVERLAPS = {
+    "average": "sum(v * w) / sum(w) FILTER (WHERE v IS NOT NULL)", "sum": "sum(v * w)", "rms": "sqrt(sum(v * v * w) / sum(w) FILTER (WHERE v IS NOT NULL))", "min": "min(v)", "max": "max(v)",
+}
+
+
+def _overlap(name: str) -> None:
+    @add(f"warp_overlap_{name}", f"{OVERLAP} SELECT x, y, round({OVERLAPS[name]}, 5) AS value FROM o GROUP BY x, y")
+    def _(spark, sf):
+        return by_cell(grids.overlap(bands.subset(_image(spark, sf), ["value"]), 8, 5, 1.7, name).df.select("x", "y", "value"), 5)
+
+
+for _name in OVERLAPS:
+    _overlap(_name)
+
+
+@add("warp_overlap_mode", f"{OVERLAP}, k AS (SELECT x, y, qa % 3 AS v, round(sum(w), 9) AS w FROM o GROUP BY 1, 2, 3) SELECT x, y, v AS cls FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY w DESC, v) AS rn FROM k) WHERE rn = 1")
+def _(spark, sf):
+    cube = _image(spark, sf).with_bands({"cls": F.col("qa") % 3}, mask_band="cls")
+    return by_cell(grids.overlap(cube, 8, 5, 1.7, "mode").df.select("x", "y", "cls"))
+
+
+@add("warp_whole_numbers_near", f"WITH {GRID}, {CELLS} SELECT z.x, z.y, g.qa FROM z LEFT JOIN g ON g.x = floor(cx) AND g.y = floor(cy)")
+def _(spark, sf):
+    return by_cell(grids.warp(bands.subset(_image(spark, sf), ["qa"]), 8, 5, 1.7, "bilinear").df.select("x", "y", "qa"))
+
+
+BACK = "asin(sqrt(ex * ex + ny * ny) / (2 * 6371008.8)) * 2"
+
+
+@add("warp_reproject", f"""WITH {GRID}, z AS (SELECT i.i AS x, j.j AS y, -350000 + (i.i + 0.5) * 100000.0 AS ex, 350000 - (j.j + 0.5) * 100000.0 AS ny FROM range(7) i(i), range(7) j(j)),
+r AS (SELECT *, sqrt(ex * ex + ny * ny) AS rho, {BACK} AS c FROM z),
+q AS (SELECT x, y, CASE WHEN rho = 0 THEN 45 ELSE degrees(asin(cos(c) * sin(radians(45)) + ny * sin(c) * cos(radians(45)) / rho)) END AS lat,
+  10 + degrees(atan2(ex * sin(c), rho * cos(radians(45)) * cos(c) - ny * sin(radians(45)) * sin(c))) AS lon FROM r)
+SELECT q.x, q.y, round(g.value, 6) AS value FROM q LEFT JOIN g ON g.x = floor(lon - 2.5) AND g.y = floor(50 - lat)""")
+def _(spark, sf):
+    source, target = GridSpec("EPSG:4326", 2.5, 40, 17.5, 50, 1, 1), GridSpec("laea", -350000, -350000, 350000, 350000, 100000, 100000)
+    return by_cell(grids.reproject(bands.subset(_image(spark, sf), ["value"]), source, target, "laea", 10, 45).df.select("x", "y", "value"))
+
 # ---------------------------------------------------------------- sets
 
 
@@ -859,6 +975,23 @@ def _(spark, sf):
     return sinks.file_names(items, "t", by="pos").select("pos", "file")
 
 
+@add("sink_nodata", f"WITH {M} SELECT item, coalesce(value, -9999.0) AS value FROM m")
+def _(spark, sf):
+    return sinks.to_nodata(bands.set_nodata(bands.subset(masked(spark, sf), ["value"]), -9999.0)).select("item", "value")
+
+
+@add("source_read", "SELECT o_orderkey, o_orderstatus, 'orders.parquet' AS item FROM orders")
+def _(spark, sf):
+    return rasters.read(spark, f"{sf}/orders.parquet", ["o_orderstatus", "o_orderkey"])
+
+
+@add("asset_need", f"WITH {C} SELECT DISTINCT 'B02' AS name FROM c")
+def _(spark, sf):
+    items = tables.catalog(spark, sf)
+    catalog.need_assets(items, ["B02"])
+    return items.select(F.explode(F.map_keys("assets")).alias("name")).filter("name = 'B02'").distinct()
+
+
 @add("tile_index", "SELECT (i % 20) * 512 AS x_off, (i // 20) * 512 AS y_off, least(512, 10000 - (i % 20) * 512) AS x_size, least(512, 10000 - (i // 20) * 512) AS y_size, 1::BIGINT AS band FROM range(400) r(i)")
 def _(spark, sf):
     return tiles.tile_table(spark, 10000, 10000, *tiles.tile_size(10000, 10000, 512, 512, 1000))

@@ -7,6 +7,8 @@ box and time predicates on plain columns reach the scan.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from ..functions.geometry import coverage, validate_box
 SENTINEL2_ASSETS = ("B01", "B02", "B03", "B04", "B05", "B06", "B07", "B08", "B8A", "B09", "B11", "B12", "SCL")
 HLS_ASSETS = ("B01", "B02", "B03", "B04", "B05", "B06", "B07", "B08", "B8A", "B09", "B10", "B11", "B12", "Fmask")
 SENTINEL1_ASSETS = ("hh", "hv", "vh", "vv")
+# Harmonised collections by source.
+HLS_COLLECTIONS = {"planetary": ("hls2-s30", "hls2-l30"), "earthdata": ("HLSS30_2.0", "HLSL30_2.0")}
 
 
 def iso_time(t: Column) -> Column:
@@ -40,7 +44,7 @@ def cloud_filter(items: DataFrame, most: float) -> DataFrame:
 
 def orbit_filter(items: DataFrame, states) -> DataFrame:
     states = [states] if isinstance(states, str) else list(states)
-    need(set(states) <= {"ascending", "descending"} or bool(states), OutOfRange, "no orbit state given")
+    need(bool(states) and set(states) <= {"ascending", "descending"}, OutOfRange, "orbit states are ascending and descending")
     return items.filter(F.col("orbit_state").isin(states))
 
 
@@ -53,7 +57,7 @@ def coverage_filter(items: DataFrame, box, least: float = 0.5) -> DataFrame:
 def drop_duplicates(items: DataFrame, order: Column, places: int = 4) -> DataFrame:
     """First item, by ``order``, of each (rounded box, time, platform, orbit state)."""
     key = [
-        F.array_join(F.transform("bbox", lambda v: F.format_number(v, places)), ","),
+        F.transform("bbox", lambda v: F.round(v, places) + F.lit(0.0)),
         F.col("datetime"),
         F.coalesce("platform", F.lit("")),
         F.coalesce("orbit_state", F.lit("")),
@@ -67,10 +71,44 @@ def select_assets(items: DataFrame, names) -> DataFrame:
     return items.withColumn("assets", F.map_filter("assets", lambda k, _: k.isin(names)))
 
 
+class Tokens:
+    """Access tokens by collection: a token is asked for once and kept until shortly before it expires.
+
+    ``issue`` is the caller's function from a collection to (token, seconds of life).
+    """
+
+    def __init__(self, issue, margin: float = 60.0, clock=time.monotonic):
+        self._issue, self._margin, self._clock = issue, margin, clock
+        self._held: dict[str, tuple[str, float]] = {}
+
+    def get(self, collection: str) -> str:
+        held = self._held.get(collection)
+        if held is None or held[1] <= self._clock():
+            token, life = self._issue(collection)
+            held = self._held[collection] = (token, self._clock() + life - self._margin)
+        return held[0]
+
+    def forget(self, collection: str | None = None) -> None:
+        """Drops one token, or all."""
+        if collection is None:
+            self._held.clear()
+        else:
+            self._held.pop(collection, None)
+
+
+def sign_collection(items: DataFrame, collection: str, tokens: Tokens) -> DataFrame:
+    """Signs the items of one collection by its token; the others stay as they are."""
+    own = F.col("collection").eqNullSafe(collection)
+    return items.withColumn("assets", F.when(own, signed_assets(tokens.get(collection))).otherwise(F.col("assets")))
+
+
+def signed_assets(token: str) -> Column:
+    return F.transform_values("assets", lambda _, v: v.withField("href", F.concat(v["href"], F.lit("?"), F.lit(token))))
+
+
 def sign_assets(items: DataFrame, token: str) -> DataFrame:
     """Appends an access token to every address."""
-    signed = F.transform_values("assets", lambda _, v: v.withField("href", F.concat(v["href"], F.lit("?"), F.lit(token))))
-    return items.withColumn("assets", signed)
+    return items.withColumn("assets", signed_assets(token))
 
 
 def query(items: DataFrame, box, collection: str, start, end, assets=None, order: Column | None = None) -> DataFrame:
@@ -86,17 +124,23 @@ def query(items: DataFrame, box, collection: str, start, end, assets=None, order
     return found if assets is None else select_assets(found, assets)
 
 
-def sentinel2_query(items, box, start, end, collection="sentinel-2-l2a", assets=SENTINEL2_ASSETS, max_cloud_cover=10.0):
-    return cloud_filter(query(items, box, collection, start, end, assets), max_cloud_cover)
+def _clear(items: DataFrame, most: float | None) -> DataFrame:
+    return items if most is None else cloud_filter(items, most)
 
 
-def hls_query(items, box, start, end, collection="hls2-s30", assets=HLS_ASSETS, max_cloud_cover=10.0):
-    need(collection in ("hls2-s30", "hls2-l30", "HLSS30_2.0", "HLSL30_2.0"), OutOfRange, "not a harmonised collection")
-    return cloud_filter(query(items, box, collection, start, end, assets), max_cloud_cover)
+def sentinel2_query(items, box, start, end, collection="sentinel-2-l2a", assets=SENTINEL2_ASSETS, max_cloud_cover=10.0, order=None):
+    return _clear(query(items, box, collection, start, end, assets, order), max_cloud_cover)
 
 
-def sentinel1_query(items, box, start, end, collection="sentinel-1-rtc", assets=SENTINEL1_ASSETS, orbit_state=("ascending", "descending")):
-    return orbit_filter(query(items, box, collection, start, end, assets), orbit_state)
+def hls_query(items, box, start, end, collection="hls2-s30", assets=HLS_ASSETS, max_cloud_cover=10.0, source="planetary", order=None):
+    """Harmonised images; each source has collections of its own names."""
+    need(source in HLS_COLLECTIONS, OutOfRange, f"a source is one of {sorted(HLS_COLLECTIONS)}")
+    need(collection in HLS_COLLECTIONS[source], OutOfRange, f"the collections of {source} are {HLS_COLLECTIONS[source]}")
+    return _clear(query(items, box, collection, start, end, assets, order), max_cloud_cover)
+
+
+def sentinel1_query(items, box, start, end, collection="sentinel-1-rtc", assets=SENTINEL1_ASSETS, orbit_state=("ascending", "descending"), order=None):
+    return orbit_filter(query(items, box, collection, start, end, assets, order), orbit_state)
 
 
 def asset_number(name: Column) -> Column:
@@ -147,6 +191,7 @@ def shortened(text: Column, width: int = 60) -> Column:
 
 
 def need_assets(items: DataFrame, names) -> None:
-    """Raises if an asset occurs in no item (stops at the names, not the rows)."""
-    have = [r[0] for r in items.select(F.explode(F.map_keys("assets"))).distinct().limit(10_000).collect()]
-    need_bands(have, names)
+    """Raises if an asset occurs in no item; only the names asked for come back."""
+    names = list(names)
+    have = items.select(F.explode(F.map_keys("assets")).alias("name")).filter(F.col("name").isin(names)).distinct()
+    need_bands([r[0] for r in have.collect()], names)

@@ -39,9 +39,15 @@ def write(cube: Cube, path: str, fmt: str = "parquet", mode: str = "error", by_i
     (writer.partitionBy(*parts) if parts else writer).save(path)
 
 
-def recollect(spark: SparkSession, cube: Cube, path: str, fmt: str = "parquet", **options) -> Cube:
-    """Writes the cube and reads it back: a later plan starts at the files."""
-    write(cube, path, fmt, "overwrite", **options)
+def recollect(spark: SparkSession, cube: Cube, path: str, fmt: str = "parquet", mode: str = "error", **options) -> Cube:
+    """Writes the cube and reads it back: a later plan starts at the files.
+
+    With ``mode="overwrite"`` an older copy goes, unless the cube itself reads from it.
+    """
+    here = path.split("://")[-1].split("file:")[-1].rstrip("/")
+    own = any(f"{here}/" in f for f in cube.df.inputFiles()) if mode == "overwrite" else False
+    need(not own, OutOfRange, "the cube reads from the path that it would overwrite")
+    write(cube, path, fmt, mode, **options)
     df = spark.read.format(fmt).load(path)
     values = [F.col(b) if cube.of(b).nodata is None else F.nullif(F.col(b), F.lit(float(cube.of(b).nodata))).alias(b) for b in cube.bands]
     return replace(cube, df=df.select(*cube.keys, *values))

@@ -110,3 +110,101 @@ def test_empty_cube(spark):
     cube = cube_of(spark, [])
     assert composites.composite(cube, "median").count() == reducers.medoid(cube).count() == 0
     assert series.hampel(cube).df.count() == 0
+
+
+def _plain_averaged(rows, nstart=10, gamma=10.0, alpha=0.65):
+    """The averaged steps again, number by number."""
+    k = len(rows[0])
+    column = lambda i: sorted(r[i] for r in rows if r[i] is not None)
+    median = lambda v: (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2 if v else None
+    mean = [median(column(i)) for i in range(k)]
+    for _ in range(nstart):
+        at = list(mean)
+        for n, row in enumerate(rows[1:], 2):
+            gap = [0.0 if v is None else v - a for v, a in zip(row, at, strict=True)]
+            far = sum(g * g for g in gap) ** 0.5
+            if far > 1e-8:
+                at = [a + g * gamma * k**0.5 / n**alpha / far for a, g in zip(at, gap, strict=True)]
+            mean = [m + (a - m) / n for m, a in zip(mean, at, strict=True)]
+    return mean
+
+
+def test_averaged_median_against_plain_steps(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, i, i % 3, 0, *(None if rng.random() < 0.1 else float(v) for v in rng.normal(50, 20, 3))) for i in range(90)]
+    cube = cube_of(spark, rows, ("a", "b", "c"))
+    for r in reducers.geomedian(cube).collect():
+        own = [row[4:] for row in rows if row[2] == r.x and any(v is not None for v in row[4:])]
+        assert [r.a, r.b, r.c] == pytest.approx(_plain_averaged(own), rel=1e-9)
+
+
+def test_averaged_median_comes_near_the_geometric_median():
+    m = np.random.default_rng(1).normal(100, 10, size=(400, 3))
+    assert np.abs(reducers.averaged_median(m) - reducers.geometric_median(m)).max() < 2.0
+
+
+def test_weiszfeld_takes_complete_bands_and_imputes_the_others(spark):
+    rows = [(i, i, 0, 0, float(v), float(2 * v), None if i == 2 else float(3 * v)) for i, v in enumerate((1, 2, 4, 8, 9))]
+    cube = cube_of(spark, rows, ("a", "b", "c"))
+    got = reducers.geomedian(cube, weiszfeld=True).first()
+    m = np.array([[v, 2 * v] for v in (1, 2, 4, 8, 9)], float)
+    assert [got.a, got.b] == pytest.approx(reducers.geometric_median(m).tolist(), abs=1e-4)
+    assert got.c == pytest.approx(_plain_averaged([r[4:] for r in rows])[2])
+    assert reducers.geomedian(cube, weiszfeld=True, impute=False).first().c is None
+    with pytest.raises(errors.OutOfRange):
+        reducers.geomedian(cube, nstart=0)
+
+
+def _gap_rows():
+    """The rows of the registered reducers' cube at the smallest scale, by cell, in order of time."""
+    import duckdb
+
+    from pixeltide.plans import catalog_of_queries as catalog
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW lineitem AS SELECT * FROM '/root/testdata/sf0.001/lineitem.parquet'")
+    cells = {}
+    for x, y, *v in con.execute(f"WITH {catalog.G} SELECT x, y, blue, red, nir FROM h WHERE coalesce(blue, red, nir) IS NOT NULL ORDER BY x, y, t, item").fetchall():
+        cells.setdefault((x, y), []).append(v)
+    return cells
+
+
+def test_registered_medians_against_brute_force(spark):
+    """What SQL cannot say of the registered reducers: medians by steps, and the row nearest to the median."""
+    from pixeltide.plans import catalog_of_queries as catalog
+
+    cells, sf = _gap_rows(), "/root/testdata/sf0.001"
+    for r in catalog.QUERIES["reduce_geomedian"](spark, sf).collect():
+        assert [r.blue, r.red, r.nir] == pytest.approx(_plain_averaged(cells[r.x, r.y]), abs=2e-5)
+
+    def minimum(points):
+        """By bisection along the gradient of each coordinate: the sum of distances is convex."""
+        z = np.median(points, axis=0)
+        for _ in range(20_000):
+            d = np.maximum(np.linalg.norm(points - z, axis=1), 1e-8)
+            new = (points / d[:, None]).sum(0) / (1 / d).sum()
+            if np.abs(new - z).max() < 1e-9:
+                break
+            z = new
+        return z
+
+    weiszfeld = {(r.x, r.y): r for r in catalog.QUERIES["reduce_geomedian_weiszfeld"](spark, sf).collect()}
+    medoid = {(r.x, r.y): r for r in catalog.QUERIES["reduce_geomedoid"](spark, sf).collect()}
+    for cell, rows in cells.items():
+        m = np.array([[np.nan if v is None else v for v in row] for row in rows])
+        full = ~np.isnan(m).any(0)
+        z = minimum(m[:, full])
+        got = np.array([weiszfeld[cell][b] for b in ("blue", "red", "nir")], float)[full]
+        cost = lambda c: np.linalg.norm(m[:, full] - c, axis=1).sum()  # noqa: E731, B023
+        assert cost(got) <= cost(z) * (1 + 1e-4)
+        own = np.array([medoid[cell][b] for b in ("blue", "red", "nir")], float)[full]
+        far = np.linalg.norm(m[:, full] - z, axis=1)
+        assert np.abs(m[:, full] - own).max(1).min() < 1e-4 and np.linalg.norm(own - z) <= far.min() + 0.05
+
+
+def test_one_exchange_for_medoids_and_filters(spark):
+    rows = [(i, i, 0, 0, float(i), 1.0, 2.0) for i in range(9)]
+    cube = cube_of(spark, rows, ("a", "b", "c"))
+    for df in (reducers.medoid(cube), series.hampel(cube, 1, 3.0, True).df):
+        assert df._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

@@ -114,7 +114,10 @@ def test_median_date(spark):
 
 def test_labels():
     assert rendering.label_digits([1, 2, 3]) == 0 and rendering.label_digits([1500.5, 2]) == 0
-    assert rendering.label_digits([0.1, 1.5]) == 2 and rendering.label_digits([0.01, 0.03]) == 3 and rendering.label_digits([]) == 0
+    assert rendering.label_digits([0.1, 1.5]) == 0 and rendering.label_digits([0.01, 0.03]) == 2 and rendering.label_digits([]) == 0
+    assert rendering.label_digits([0.1, 0.1004, 2]) == 4 and rendering.label_digits([0.5]) == 3 and rendering.label_digits([1e-30, 2e-30]) == 15
+    for labels in ([0.25, 0.5, 0.75], [1.1, 1.12, 1.125], [12.5, 100.25]):
+        assert len({round(v, rendering.label_digits(labels)) for v in labels}) == len(labels)
 
 
 def test_save_and_load(spark, tmp_path):
@@ -141,3 +144,41 @@ def test_registered_pixel_function(spark):
             pixel.register("median", F.median)
     finally:
         del pixel.AGGREGATES["spread"]
+
+
+def test_tokens_expire_and_are_kept():
+    now, issued = [0.0], []
+    tokens = catalog.Tokens(lambda c: (issued.append(c) or f"{c}{len(issued)}", 100), margin=10, clock=lambda: now[0])
+    assert tokens.get("a") == tokens.get("a") == "a1" and tokens.get("b") == "b2"
+    now[0] = 89
+    assert tokens.get("a") == "a1"
+    now[0] = 90
+    assert tokens.get("a") == "a3"
+    tokens.forget("a")
+    assert tokens.get("a") == "a4"
+    tokens.forget()
+    assert tokens.get("b") == "b5"
+
+
+def test_presets_check_their_arguments(spark):
+    box, span = (-1, 50, 1, 52), ("2023-01-01", "2023-02-01")
+    assert catalog.sentinel2_query(items(spark, 3), box, *span, collection="s2", max_cloud_cover=None).count() == 3
+    assert catalog.sentinel1_query(items(spark, 3), box, *span, collection="s2", orbit_state="ascending").count() == 1
+    for wrong in (lambda: catalog.hls_query(items(spark, 1), box, *span, "HLSS30_2.0"), lambda: catalog.hls_query(items(spark, 1), box, *span, source="x"), lambda: catalog.orbit_filter(items(spark, 1), "sideways"), lambda: catalog.orbit_filter(items(spark, 1), [])):
+        with pytest.raises(errors.OutOfRange):
+            wrong()
+
+
+def test_a_cube_is_not_overwritten_while_it_is_read(spark, tmp_path):
+    cube = cube_of(spark, [(1, 1, 0, 0, 1.0, None)])
+    back = sinks.recollect(spark, cube, str(tmp_path / "a"))
+    with pytest.raises(errors.OutOfRange):
+        sinks.recollect(spark, back, str(tmp_path / "a"), mode="overwrite")
+    assert sinks.recollect(spark, back, str(tmp_path / "b")).df.count() == sinks.recollect(spark, cube, str(tmp_path / "b"), mode="overwrite").df.count() == 1
+
+
+def test_projection_strings():
+    assert "+lat_1=51 +lat_2=50" in geometry.projection_for((-4, 50, -3, 51), "eqdc")
+    assert geometry.projection_for((-4, 50, -3, 51), specific="EPSG:27700") == "EPSG:27700"
+    with pytest.raises(errors.OutOfRange):
+        geometry.projection_for((-4, 50, -3, 51), specific="EPSG:4326")
