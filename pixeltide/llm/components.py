@@ -16,6 +16,19 @@ from pyspark.sql import functions as F
 from .shared import ensure_checkpoints
 
 
+#: Rows of a small table in a task.
+EACH = 5000
+
+
+def few(df: DataFrame, n: int) -> DataFrame:
+    """A table of ``n`` short rows in as many partitions as it needs, at most those it has.
+
+    A shuffle writes a file for each partition that it reads, whatever is in it.
+    """
+    parts = max(1, -(-n // EACH))
+    return df.coalesce(parts) if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) else df
+
+
 def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
     """Edges (a, c) with the ``m`` of their ``a`` in ``least`` (a, m, degree).
 
@@ -28,7 +41,7 @@ def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
     marked = edges.join(F.broadcast(hubs), F.col("a") == F.col("hub"), "left")
     hot = marked.filter("hub is not null").select("a", "c", F.col("hub_m").alias("m"))
     cold = marked.filter("hub is null").select("a", "c").join(least.filter(F.col("degree") <= high).select("a", "m"), "a")
-    return hot.unionByName(cold.select("a", "c", "m"))
+    return few(hot, n).unionByName(few(cold.select("a", "c", "m"), n))
 
 
 def _star(links: DataFrame, large: bool, n: int) -> DataFrame:
@@ -53,7 +66,8 @@ def connected(links: DataFrame) -> DataFrame:
         if seen == digest or not seen[0]:
             break
         digest = seen
-        now = _star(_star(now, True, seen[0]), False, seen[0]).checkpoint()
+        n = seen[0]
+        now = _star(few(_star(few(now, n), True, n), n), False, n).checkpoint()
     return now.select(F.col("a").alias("node"), F.col("c").alias("component")).unionByName(
         now.select(F.col("c").alias("node"), F.col("c").alias("component")).distinct()
     )

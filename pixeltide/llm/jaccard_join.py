@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .components import connected
+from .components import connected, few
 from .shared import ensure_checkpoints
 from .shingles import mix, sets, shingles, words
 
@@ -65,6 +65,8 @@ SEEDS = 8
 EMPTY = np.uint64(0)
 #: Rounds in which sets are verified against one more member of their blocks before pairs are formed.
 ROUNDS = 1
+#: Salt of the round that finds centres; later rounds count on from it.
+CENTRE = 20
 #: Contested documents for each bucket of the last step, and members of a part of a block there.
 PER_BUCKET, TILE = 1000, 2000
 
@@ -273,7 +275,7 @@ def _candidates(rows: pa.Table, said: pa.Table, size: int, percent: int) -> pa.T
             who = np.unique(doc)
             local = np.searchsorted(who, doc)
             by = np.argsort(key, kind="stable")
-            blob = _packed(names[who], own.sizes[who], key[by], local[by])
+            blob = _packed(names[who], own.sizes[who], ids[who], key[by], local[by])
             out.append((_KEYS, number, None, None, None, blob, None))
             for w in who.tolist():
                 a = own.starts[w]
@@ -281,12 +283,12 @@ def _candidates(rows: pa.Table, said: pa.Table, size: int, percent: int) -> pa.T
     return X.table(out, _BASE)
 
 
-_WHO, _KEY = np.dtype([("name", "<i8"), ("n", "<i8")]), np.dtype([("key", "<u8"), ("local", "<u4")])
+_WHO, _KEY = np.dtype([("name", "<i8"), ("n", "<i8"), ("first", "<i8")]), np.dtype([("key", "<u8"), ("local", "<u4")])
 
 
-def _packed(names: np.ndarray, sizes: np.ndarray, key: np.ndarray, local: np.ndarray) -> bytes:
+def _packed(names: np.ndarray, sizes: np.ndarray, first: np.ndarray, key: np.ndarray, local: np.ndarray) -> bytes:
     who, keys = np.empty(len(names), _WHO), np.empty(len(key), _KEY)
-    who["name"], who["n"] = names, sizes
+    who["name"], who["n"], who["first"] = names, sizes, first
     keys["key"], keys["local"] = key, local
     head = np.array([len(who), len(keys)], "<i8").tobytes()
     return X.squeeze(np.frombuffer(head + who.tobytes() + keys.tobytes(), np.uint8))
@@ -300,7 +302,7 @@ class _Members:
         n_who, n_keys = np.frombuffer(raw, "<i8", 2).tolist()
         who = np.frombuffer(raw, _WHO, n_who, 16)
         keys = np.frombuffer(raw, _KEY, n_keys, 16 + n_who * _WHO.itemsize)
-        self.name, self.n = who["name"], who["n"]
+        self.name, self.n, self.first = who["name"], who["n"], who["first"]
         self.key, self.local = keys["key"], keys["local"].astype(np.int64)
         self.label, self.centre, self.far = np.zeros(n_who, np.int64), np.zeros(n_who, np.int64), np.zeros(n_who, np.float32)
         if known is None:
@@ -322,19 +324,21 @@ class _Members:
         if not keep.any():
             return []
         who, local = np.unique(self.local[keep], return_inverse=True)
-        return [_packed(self.name[who], self.n[who], self.key[keep], local)]
+        return [_packed(self.name[who], self.n[who], self.first[who], self.key[keep], local)]
 
 
 #: Of a block: one of its sets, the one that comes first in some order, with what is known of it, and the
 #: extreme labels.  Labels are kept as differences, as most are equal, and the centre as a hash.
-_HEAD = np.dtype([("name", "<i8"), ("n", "<u4"), ("label", "<i8"), ("centre", "<u4"), ("far", "<f4"), ("low", "<i8"), ("high", "<i8"), ("several", "u1")])
+_HEAD = np.dtype([("first", "<i8"), ("name", "<i8"), ("n", "<u4"), ("label", "<i8"), ("centre", "<u4"), ("far", "<f4"), ("low", "<i8"), ("high", "<i8"), ("several", "u1")])
 _TOLD = np.dtype([("name", "<i8"), ("n", "<u4"), ("label", "<i8"), ("centre", "<u4"), ("far", "<f4"), ("mixed", "u1"), ("several", "u1")])
 
 
 def _heads(facts: X.Facts, salt: int) -> tuple[X.Facts, np.ndarray]:
     v = facts.values
     keys, which = X.by_key(facts.keys)
-    order = np.lexsort((mix(v["name"].astype(np.uint64), salt), which))
+    # the set of the smallest document is most like the copies made of it; later rounds take any other
+    turn = mix(v["name"].astype(np.uint64), salt)
+    order = np.lexsort((turn, v["first"], which) if salt == CENTRE else (turn, which))
     lead = order[np.flatnonzero(np.concatenate([[True], which[order][1:] != which[order][:-1]]))] if len(order) else order
     out = v[lead].copy()
     label = v["label"] ^ v["name"]
@@ -368,6 +372,8 @@ def _block_facts(m: _Members, salt: int) -> tuple[X.Facts, np.ndarray]:
     who = np.zeros(len(m.name), _HEAD)
     who["name"], who["n"], who["label"] = m.name, m.n, m.name ^ m.label
     who["centre"], who["far"] = _hashed(m.centre), m.far
+    if salt == CENTRE:
+        who["first"] = m.first
     return _heads(X.Facts(m.key, who[m.local]), salt)
 
 
@@ -587,13 +593,14 @@ def _verify(pairs: DataFrame, own_sets: DataFrame) -> DataFrame:
     return both.select("a", "c", F.col("both").cast("long").alias("both"), (F.col("sum") - F.col("both")).cast("long").alias("either"))
 
 
-def _merge(label: DataFrame, links: DataFrame) -> DataFrame:
+def _merge(label: DataFrame, links: DataFrame, n: int) -> DataFrame:
     """Labels (d, l) after links (a, c): the components of the labels' own graph, which is small."""
+    links = few(links, n)
     left = label.select(F.col("d").alias("a"), F.col("l").alias("x"))
     right = label.select(F.col("d").alias("c"), F.col("l").alias("y"))
     edges = links.join(left, "a").join(right, "c").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("c"))
     reached = connected(edges).select(F.col("node").alias("l"), F.col("component").alias("to"))
-    return label.join(reached, "l", "left").select("d", F.coalesce("to", "l").alias("l")).checkpoint()
+    return few(label.join(few(reached, n), "l", "left").select("d", F.coalesce("to", "l").alias("l")).checkpoint(), n)
 
 
 def components(
@@ -618,20 +625,22 @@ def components(
 
     def says(parts):
         for batch in parts:
-            yield from X.lean(_says, pa.Table.from_batches([batch]), None, 20, to.ranges).to_batches()
+            yield from X.lean(_says, pa.Table.from_batches([batch]), None, CENTRE, to.ranges).to_batches()
 
-    centres = X.answered(keys.mapInArrow(says, X.SENT_SQL), _centres(20), to)
-    voted = keys.groupBy("unit").cogroup(centres.groupBy("sender")).applyInArrow(lambda k, s: X.lean(_vote, k, s, 20), _OFFERS_SQL).checkpoint()
+    centres = X.answered(keys.mapInArrow(says, X.SENT_SQL), _centres(CENTRE), to)
+    voted = keys.groupBy("unit").cogroup(centres.groupBy("sender")).applyInArrow(lambda k, s: X.lean(_vote, k, s, CENTRE), _OFFERS_SQL).checkpoint()
     best = voted.filter("a is not null").select("a", "c")
     keys = voted.filter("blob is not null").select("unit", "blob")
-    judged = _verify(best, own_sets).checkpoint()
+    n = base.filter(F.col("kind") == _SET).count()
+    judged = few(_verify(best, own_sets).checkpoint(), n)
     linked = F.col("both") * 100 >= F.col("either") * percent
 
     # every set's label is the least name that its links reach so far
-    where = base.filter(F.col("kind") == _SET).select(F.col("name").alias("d"), F.col("unit").alias("u"))
+    where = few(base.filter(F.col("kind") == _SET).select(F.col("name").alias("d"), F.col("unit").alias("u")), n)
     facts = judged.select(F.col("a").alias("d"), F.col("c").alias("centre"), (1 - F.col("both") / F.col("either")).cast("float").alias("far"))
     known = where.join(facts, "d", "left").select("d", "u", F.coalesce("centre", "d").alias("centre"), F.coalesce("far", F.lit(0.0).cast("float")).alias("far"))
-    label = _merge(known.select("d", F.col("d").alias("l")), judged.filter(linked).select("a", "c"))
+    known = few(known.checkpoint(), n)
+    label = _merge(known.select("d", F.col("d").alias("l")), judged.filter(linked).select("a", "c"), n)
 
     def facts_of(label: DataFrame) -> DataFrame:
         return known.join(label, "d").select("u", "d", "l", "centre", "far")
@@ -648,22 +657,22 @@ def components(
         return found.checkpoint()
 
     # labels only ever merge, so each pass needs the keys alone whose blocks had several labels in the pass before
-    found = offers_of(keys, label, 21)
+    found = offers_of(keys, label, CENTRE + 1)
     for round_ in range(ROUNDS):
-        more = _verify(found.filter("not contested").select("a", "c"), own_sets).filter(linked).select("a", "c").checkpoint()
+        more = _verify(few(found.filter("not contested").select("a", "c"), n), own_sets).filter(linked).select("a", "c").checkpoint()
         if more.isEmpty():
             break
-        label = _merge(label, more)
-        found = offers_of(found.filter("blob is not null").select("unit", "blob"), label, 22 + round_)
+        label = _merge(label, more, n)
+        found = offers_of(found.filter("blob is not null").select("unit", "blob"), label, CENTRE + 2 + round_)
     keys = found.filter("blob is not null").select("unit", "blob")
-    contested = found.filter("contested").select(F.col("a").alias("d"))
+    contested = few(found.filter("contested").select(F.col("a").alias("d")), n)
     told = facts_of(label).join(contested, "d").join(own_sets.withColumnRenamed("name", "d"), "d").select("u", "d", "l", "centre", "far", "hashes").checkpoint()
     counts = keys.groupBy("unit").cogroup(told.groupBy("u")).applyInArrow(lambda k, t: X.lean(_count_members, k, t, to.ranges), X.SENT_SQL)
     both = beside(told, X.answered(counts, _SIZES, to))
-    few = max(1, -(-told.count() // PER_BUCKET))
-    cut = keys.groupBy("unit").cogroup(both.groupBy("u")).applyInArrow(lambda k, t: X.lean(_send_tiles, k, t, few, tile), "bucket int, blob binary")
+    buckets = max(1, -(-told.count() // PER_BUCKET))
+    cut = keys.groupBy("unit").cogroup(both.groupBy("u")).applyInArrow(lambda k, t: X.lean(_send_tiles, k, t, buckets, tile), "bucket int, blob binary")
     crossing = cut.groupBy("bucket").applyInArrow(lambda t: X.lean(_cross, t, percent), "a long, c long").distinct()
-    label = _merge(label, _verify(crossing, own_sets).filter(linked).select("a", "c"))
+    label = _merge(label, _verify(crossing, own_sets).filter(linked).select("a", "c"), n)
 
     # sets of one id are one node
     same = base.filter(F.col("kind") == _SAME).select(F.col("doc_id").alias("a"), F.col("name").alias("c"))
