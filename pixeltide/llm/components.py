@@ -18,6 +18,8 @@ from .shared import ensure_checkpoints
 
 #: Rows of a small table in a task.
 EACH = 5000
+#: Links that may meet in one task.
+SMALL = 20_000
 
 
 def few(df: DataFrame, n: int) -> DataFrame:
@@ -36,6 +38,8 @@ def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
     2 * 1000 nodes of more than n / 1000 of n links' ends, so those are broadcast, and
     their edges stay where they are.
     """
+    if n <= SMALL:  # no node has more links than there are
+        return few(edges.join(least.select("a", "m"), "a").select("a", "c", "m"), n)
     high = max(100, n // 1000)
     hubs = least.filter(F.col("degree") > high).select(F.col("a").alias("hub"), F.col("m").alias("hub_m"))  # 2000 rows at most
     marked = edges.join(F.broadcast(hubs), F.col("a") == F.col("hub"), "left")

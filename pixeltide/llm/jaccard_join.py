@@ -183,8 +183,8 @@ class _Sets:
         return key, group, own[of] if len(of) else of, least
 
 
-#: What units say: sets that hold a key; or, of a set's name (its other bits are ``rest``), their own number.
-_ASKED, _SAID = np.dtype([("n", "<u4"), ("unit", "<u4"), ("rest", "<u2")]), np.dtype([("n", "<u4"), ("unit", "<u4")])
+#: What units say: sets that hold a key; or, of a set's name (its other bits are ``rest``), their own number and its smallest document.
+_ASKED, _SAID = np.dtype([("n", "<u4"), ("unit", "<u4"), ("rest", "<u2"), ("id", "<i8")]), np.dtype([("n", "<u4"), ("unit", "<u4"), ("id", "<i8")])
 
 
 def _count(facts: X.Facts) -> tuple[X.Facts, np.ndarray]:
@@ -193,13 +193,16 @@ def _count(facts: X.Facts) -> tuple[X.Facts, np.ndarray]:
     out["n"] = np.minimum(np.bincount(which, facts.values["n"], len(keys)), 2**32 - 1)
     unit = np.full(len(keys), 2**32 - 1, np.uint32)
     np.minimum.at(unit, which, facts.values["unit"])
-    out["unit"], out["rest"] = unit, (keys & np.uint64(0xFFFF)).astype(np.uint16)
+    least = np.full(len(keys), X.NO_ID, np.int64)
+    np.minimum.at(least, which, facts.values["id"])
+    out["unit"], out["rest"], out["id"] = unit, (keys & np.uint64(0xFFFF)).astype(np.uint16), least
     return X.Facts(keys, out), which
 
 
 def _held(facts: X.Facts) -> np.ndarray:
     out = np.empty(len(facts.keys), _SAID)
-    out["n"], out["unit"] = facts.values["n"], facts.values["unit"]
+    for name in _SAID.names:
+        out[name] = facts.values[name]
     return out
 
 
@@ -220,6 +223,8 @@ def _first_facts(own: _Sets, number: int, keys: np.ndarray) -> tuple[X.Facts, np
     every[at_block], every[at_name] = block, own.set_keys & high
     values["n"][at_block], values["unit"][at_block] = count, 2**32 - 1
     values["unit"][at_name], values["rest"][at_name] = number, (own.set_keys & np.uint64(0xFFFF)).astype(np.uint16)
+    values["id"] = X.NO_ID
+    values["id"][at_name] = own.unit.ids[own.own]
     return X.Facts(every, values), at_block[of], at_name
 
 
@@ -261,6 +266,8 @@ def _candidates(rows: pa.Table, said: pa.Table, size: int, percent: int) -> pa.T
         # one unit alone stands for equal sets of all units
         leads = np.zeros(len(ids), bool)
         leads[own.own] = answers["unit"][at_name] == number
+        smallest = np.zeros(len(ids), np.int64)
+        smallest[own.own] = answers["id"][at_name]
         n_groups = len(group_set)
         shared = np.bincount(group, weights=held > 1, minlength=n_groups)
         alive = ((shared >= least) & leads[group_set])[group]
@@ -275,7 +282,7 @@ def _candidates(rows: pa.Table, said: pa.Table, size: int, percent: int) -> pa.T
             who = np.unique(doc)
             local = np.searchsorted(who, doc)
             by = np.argsort(key, kind="stable")
-            blob = _packed(names[who], own.sizes[who], ids[who], key[by], local[by])
+            blob = _packed(names[who], own.sizes[who], smallest[who], key[by], local[by])
             out.append((_KEYS, number, None, None, None, blob, None))
             for w in who.tolist():
                 a = own.starts[w]
@@ -656,8 +663,11 @@ def components(
         found = keys.groupBy("unit").cogroup(both.groupBy("u")).applyInArrow(lambda k, t: X.lean(_offer, k, t, salt, percent), _OFFERS_SQL)
         return found.checkpoint()
 
-    # labels only ever merge, so each pass needs the keys alone whose blocks had several labels in the pass before
+    # labels only ever merge, so each pass needs the keys alone whose blocks had several labels in the pass before,
+    # and from the first one on the sets alone that have such keys
     found = offers_of(keys, label, CENTRE + 1)
+    mixed = few(found.filter("contested").select(F.col("a").alias("name")), n)
+    own_sets = few(own_sets.join(mixed, "name", "left_semi").checkpoint(), n)
     for round_ in range(ROUNDS):
         more = _verify(few(found.filter("not contested").select("a", "c"), n), own_sets).filter(linked).select("a", "c").checkpoint()
         if more.isEmpty():
