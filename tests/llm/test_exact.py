@@ -162,6 +162,22 @@ def test_sketch_bounds_the_difference():
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
+def test_messages_grow_far_less_than_with_the_square():
+    from pixeltide.llm.exchange import Layout
+
+    small, large = Layout.of(50 << 30), Layout.of(500 << 30)
+    assert small.two_hops and not Layout.of(1 << 30).two_hops
+    assert large.messages < 40 * small.messages  # ten times the data; by the square a hundred times
+    assert small.messages < small.units * small.buckets / 8 and large.messages < large.units * large.buckets / 25
+
+
+def test_components_of_stars_and_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "SMALL", 10)
+    links = spark.range(3000).selectExpr("id + 10 as a", "5 as c").unionByName(spark.createDataFrame([(1, 5), (9000, 9001)], "a long, c long"))
+    got = {r.node: r.component for r in components.connected(links).collect()}
+    assert got == {i + 10: 1 for i in range(3000)} | {5: 1, 1: 1, 9000: 9000, 9001: 9000}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101), (7, 7)], "a long, c long")
     got = {r.node: r.component for r in components.connected(links).collect()}
