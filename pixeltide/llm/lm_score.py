@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .shared import ensure_checkpoints
+from .shared import ensure_checkpoints, free_shuffles
 from .shingles import mix, words
 
 SUPERS, CLASSES = 16, 256
@@ -271,6 +271,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     to = X.Layout.of(X.text_bytes(docs, F.col(text_col)), unit_bytes, fan)
     texts = X.dealt(docs, to.units, id_col, text_col, held_out=F.coalesce(held_out, F.lit(False)))
     asked = texts.groupBy("unit").applyInArrow(lambda t: X.lean(_ask, t, to.ranges), X.SENT_SQL).checkpoint()
+    # each pass over the texts deals them anew: the files of a pass that is done go before the next one
+    free_shuffles(docs.sparkSession)
     number = F.conv(F.hex("blob"), 16, 10).cast("long")
     total = asked.filter("route = -1").agg(F.sum(number)).first()[0] or 0
     said = X.answered(asked.filter("route >= 0"), _talk(total), to).checkpoint()
@@ -286,6 +288,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         left = -(-left // FAN_IN)
         parts = parts.withColumn("part", F.pmod("part", F.lit(left))).groupBy("part").applyInArrow(lambda t: X.lean(_average, t), _PART_SQL)
     found = parts.filter("tokens > 0").collect()  # one row of fixed size
+    del parts
+    free_shuffles(docs.sparkSession)
     model = None
     if found:
         flat = X.expand(found[0]["blob"], np.float32)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,3 +36,9 @@ def ensure_checkpoints(df: DataFrame) -> None:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(_root(df.sparkSession))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the session delete files of shuffles that no table refers to any more (it does so after a collection of garbage)."""
+    gc.collect()
+    spark._jvm.System.gc()
