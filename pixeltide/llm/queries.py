@@ -36,6 +36,25 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents),
+g AS (SELECT doc_id, p, t[p + 1:p + 50] AS piece FROM (SELECT doc_id, t, unnest(range(0, n_bytes - 49)) AS p FROM d)),
+f AS (SELECT piece, min(doc_id) AS first_id FROM g GROUP BY piece HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS step FROM g JOIN f USING (piece) WHERE doc_id > first_id),
+r AS (SELECT doc_id, p, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM c),
+s AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next_a, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS i FROM s),
+j AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans,
+         string_agg(CASE WHEN i = 1 THEN hex(t[1:a]) ELSE '' END || hex(t[b + 1:coalesce(next_a, n_bytes)]), '' ORDER BY a) AS rest
+  FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(rest, hex(t)))) AS kept_sha256
+FROM d LEFT JOIN j USING (doc_id)
+"""
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
 
@@ -112,6 +131,7 @@ u AS (SELECT min(conv_id) AS conv_id, n_turns, count(*)::BIGINT AS n_copies, ren
 SELECT u.* FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.prefix = u.rendered AND p.i = u.n_turns)
 """
 
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(_table(spark, sf_dir, "documents"), language_id.held_out(parts=5, part=1))
 
@@ -124,6 +144,26 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(_table(spark, sf_dir, "documents"), size=5, percent=75)
 
 
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*)::BIGINT AS n_shingles FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (
+  SELECT x, y FROM c JOIN n AS m ON m.doc_id = x JOIN n AS o ON o.doc_id = y
+  WHERE 100 * common >= 75 * (m.n_shingles + o.n_shingles - common)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS seen FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.seen)
+SELECT doc_id, coalesce(n_shingles, 0)::BIGINT AS n_shingles, component_id
+FROM (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -137,4 +177,4 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op7_chat_format": OP7_SQL}
+ORACLE_SQL = {"op2_suffix_dedup": OP2_SQL, "op4_quality_rules": OP4_SQL, "op7_chat_format": OP7_SQL, "op10_jaccard_join": OP10_SQL}
