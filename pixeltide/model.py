@@ -45,6 +45,7 @@ class BandMeta:
     offset: float = 0.0
     nodata: float | None = None
     pixel_type: str = "Float64"
+    description: str | None = None
 
 
 @dataclass(frozen=True)
@@ -107,6 +108,7 @@ class Cube:
     grid: GridSpec | None = None
     mask_band: str | None = None
     aligned: bool = True
+    notes: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
         need(isinstance(self.df, DataFrame), TypeMismatch, "df must be a DataFrame")

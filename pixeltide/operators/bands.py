@@ -88,6 +88,17 @@ def drop_nodata(cube: Cube) -> Cube:
     return replace(cube, meta={b: replace(cube.of(b), nodata=None) for b in cube.bands})
 
 
+def set_descriptions(cube: Cube, texts) -> Cube:
+    """A description for each band; a sink writes it as field metadata."""
+    need(len(texts) == len(cube.bands), LengthMismatch, "one description per band")
+    return replace(cube, meta={b: replace(cube.of(b), description=t) for b, t in zip(cube.bands, texts, strict=True)})
+
+
+def set_notes(cube: Cube, **notes: str | None) -> Cube:
+    """Named notes about the whole cube, kept in its plan; None takes a note away."""
+    return replace(cube, notes={k: v for k, v in (cube.notes | notes).items() if v is not None})
+
+
 def scaled(cube: Cube, band: str) -> Column:
     """The band's value after its own scale and offset."""
     m = cube.of(band)

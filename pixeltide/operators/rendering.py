@@ -145,6 +145,23 @@ def colours(df: DataFrame, value: str, table: DataFrame, missing: str) -> DataFr
     return joined.select(*df.columns, F.coalesce("_rgba", F.lit(missing)).alias("rgba"))
 
 
+def rendered(df: DataFrame, bands, low: float = 0.01, high: float = 0.98, limits: dict | None = None, missing: str = "#00000000") -> DataFrame:
+    """Adds ``rgba``: one band in greys, three as red, green and blue, stretched like ``stretch``.
+
+    A cell that lacks a band is ``missing``.  Drawing itself is left to the caller: after
+    ``grids.shrink_for_display`` the table has a bounded number of rows.
+    """
+    need(len(bands) in (1, 3), OutOfRange, "one band or three")
+    shown = [f"_c{i}" for i in range(len(bands))]
+    levels = stretch(
+        df.withColumns({s: F.col(b).cast("double") for s, b in zip(shown, bands, strict=True)}), shown, low, high,
+        None if limits is None else {s: limits[b] for s, b in zip(shown, bands, strict=True)},
+    )
+    pairs = [F.lpad(F.hex(F.floor(F.col(s) * 255 + 0.5).cast("long")), 2, "0") for s in shown]
+    text = F.lower(F.concat(F.lit("#"), *(pairs * (3 // len(bands))), F.lit("ff")))
+    return levels.select(*df.columns, F.coalesce(text, F.lit(missing)).alias("rgba"))
+
+
 def flipped(df: DataFrame, y: str, ny: int) -> DataFrame:
     """South-up rows turned north-up."""
     return df.withColumn(y, F.lit(ny - 1) - F.col(y))

@@ -954,6 +954,21 @@ def _(spark, sf):
     return rendering.colours(tables.event_cube(spark, sf).df.select("item", "cls"), "cls", table, "#00000000").select("item", "rgba")
 
 
+_LEVEL = "lower(lpad(printf('%X', floor(least(1.0, greatest(0.0, ({} - 20) / 60)) * 255 + 0.5)::INTEGER), 2, '0'))"
+
+
+@add("plot_grey", f"WITH {GRID} SELECT x, y, coalesce('#' || repeat({_LEVEL.format('value')}, 3) || 'ff', '#00000000') AS rgba FROM g")
+def _(spark, sf):
+    return rendering.rendered(_image(spark, sf).df.select("x", "y", "value"), ["value"], limits={"value": (20, 80)}).select("x", "y", "rgba")
+
+
+@add("plot_rgb", f"""WITH {GRID} SELECT x, y, coalesce('#' || {_LEVEL.format('value')} || {_LEVEL.format('(value / 2)')} || {_LEVEL.format('(100 - value)')} || 'ff', '#00000000') AS rgba FROM g""")
+def _(spark, sf):
+    v = F.col("value")
+    df = _image(spark, sf).df.select("x", "y", v.alias("r"), (v / 2).alias("g"), (100 - v).alias("b"))
+    return rendering.rendered(df, ["r", "g", "b"], limits=dict.fromkeys("rgb", (20, 80))).select("x", "y", "rgba")
+
+
 @add("plot_flip", f"WITH {GRID} SELECT x, 9 - y AS y, round(value, 6) AS value FROM g")
 def _(spark, sf):
     return by_cell(rendering.flipped(_image(spark, sf).df.select("x", "y", "value"), "y", 10))

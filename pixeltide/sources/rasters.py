@@ -98,6 +98,11 @@ def header(text: Column) -> Column:
     return F.expr(f"str_to_map({text}, ',', '=')") if isinstance(text, str) else F.str_to_map(text, F.lit(","), F.lit("="))
 
 
+def system_of(df: DataFrame, x: str = "x") -> str | None:
+    """The reference system that a sink noted with the cells' place; None where it noted none."""
+    return df.schema[x].metadata.get("srs")
+
+
 def box_of(df: DataFrame, x: str, y: str, extend: float = 0.0) -> DataFrame:
     """Extent of point columns as one row, optionally extended."""
     need(extend >= 0, OutOfRange, "extend must not be negative")

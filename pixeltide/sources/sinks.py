@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import asdict, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import OutOfRange, need
 from ..model import BandMeta, Cube, GridSpec
+from .folders import Folder
 
 FORMATS = ("parquet", "orc", "csv", "json")
 
@@ -21,7 +23,9 @@ def to_nodata(cube: Cube) -> DataFrame:
         m = cube.of(b)
         value = F.col(b) if m.nodata is None else F.coalesce(F.col(b), F.lit(float(m.nodata)))
         out.append(value.alias(b, metadata={k: v for k, v in asdict(m).items() if v is not None}))
-    return cube.df.select(*cube.keys, *out)
+    srs = {"srs": cube.grid.srs} if cube.grid else {}
+    place = [F.col(c).alias(c, metadata=srs) for c in cube.cell]
+    return cube.df.select(cube.item, cube.time, *place, *out)
 
 
 def write(cube: Cube, path: str, fmt: str = "parquet", mode: str = "error", by_item: bool = False, tile: int | None = None, **options) -> None:
@@ -58,7 +62,7 @@ def describe_json(cube: Cube, sources: dict[str, str] | None = None) -> str:
     return json.dumps(
         {
             "bands": list(cube.bands), "keys": cube.keys, "meta": {b: asdict(cube.of(b)) for b in cube.bands},
-            "grid": asdict(cube.grid) if cube.grid else None, "mask_band": cube.mask_band, "aligned": cube.aligned, "sources": sources or {},
+            "grid": asdict(cube.grid) if cube.grid else None, "mask_band": cube.mask_band, "aligned": cube.aligned, "notes": cube.notes, "sources": sources or {},
         },
         sort_keys=True,
     )
@@ -71,7 +75,7 @@ def from_json(spark: SparkSession, text: str, path: str, fmt: str = "parquet") -
     df = spark.read.format(fmt).load(path)
     meta = {b: BandMeta(**m) for b, m in d["meta"].items()}
     df = df.select(*d["keys"], *(F.col(b) if meta[b].nodata is None else F.nullif(F.col(b), F.lit(float(meta[b].nodata))).alias(b) for b in d["bands"]))
-    return Cube(df, tuple(d["bands"]), item, time, (x, y), meta, GridSpec(**d["grid"]) if d["grid"] else None, d["mask_band"], d["aligned"])
+    return Cube(df, tuple(d["bands"]), item, time, (x, y), meta, GridSpec(**d["grid"]) if d["grid"] else None, d["mask_band"], d["aligned"], d.get("notes", {}))
 
 
 def median_date(times: Column) -> Column:
@@ -120,7 +124,55 @@ def save(cube: Cube, path: str, bundle: bool = True, sources: dict[str, str] | N
     cube.df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/plan")
 
 
+def gather(spark: SparkSession, path: str, target: str) -> list[tuple[str, str, str]]:
+    """Copies a saved cube and all that it was saved from into one folder that can move.
+
+    Sources are followed through saved cubes to any depth, each once.  They are
+    copied by folder below ``target/sources`` under names of their own; addresses of other stores
+    stay as they are (one warning for all), and missing ones are left out with a
+    warning each.  Returns (address, name or "", state) of every source.  Only
+    descriptions pass through the driver: the store copies the files.
+    """
+    root, found, names, todo = Folder(spark, path), [], set(), []
+    need(root.exists("plan"), OutOfRange, f"no saved cube at {path}")
+    kept, seen = Folder(spark, target), {path.rstrip("/")}
+    need(not kept.exists(), OutOfRange, f"{target} exists")
+    root.copy(target)
+    todo += sorted(_sources(spark, path).values())
+    while todo:
+        address = todo.pop(0).rstrip("/")
+        if address in seen:
+            continue
+        seen.add(address)
+        if "://" in address and not address.startswith("file:"):
+            found.append((address, "", "remote"))
+            continue
+        source = Folder(spark, address)
+        if not source.exists():
+            warnings.warn(f"source {address} is missing and left out", stacklevel=2)
+            found.append((address, "", "missing"))
+            continue
+        stem, number = address.rsplit("/", 1)[-1], 0
+        while (name := f"{stem}_{number}" if number else stem) in names:
+            number += 1
+        names.add(name)
+        source.copy(f"{target.rstrip('/')}/sources/{name}")
+        found.append((address, name, "copied"))
+        if source.exists("plan"):
+            todo += sorted(_sources(spark, address).values())
+    if any(state == "remote" for _, _, state in found):
+        warnings.warn("sources in other stores are kept by their addresses", stacklevel=2)
+    return found
+
+
+def _plan_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r.value for r in spark.read.text(f"{path.rstrip('/')}/plan").collect())  # one description
+
+
+def _sources(spark: SparkSession, path: str) -> dict[str, str]:
+    return json.loads(_plan_text(spark, path))["sources"]
+
+
 def load(spark: SparkSession, path: str, rows: str | None = None) -> Cube:
     """The cube that ``save`` kept; ``rows`` names its files where they are not in the bundle."""
-    text = "\n".join(r.value for r in spark.read.text(f"{path}/plan").collect())  # one description
-    return from_json(spark, text, rows or f"{path}/rows")
+    return from_json(spark, _plan_text(spark, path), rows or f"{path}/rows")

@@ -130,6 +130,63 @@ def test_save_and_load(spark, tmp_path):
     assert sinks.writer_options("fast", a="b") == {"compression": "snappy", "a": "b"}
 
 
+def test_descriptions_notes_and_system_travel(spark, tmp_path):
+    from dataclasses import replace
+
+    from pixeltide.model import GridSpec
+    from pixeltide.operators import bands
+
+    cube = replace(cube_of(spark, [(1, 1, 0, 0, 1.0, 2.0)]), grid=GridSpec("EPSG:32630", 0, 0, 2, 2, 1, 1))
+    cube = bands.set_notes(bands.set_descriptions(cube, ["first", "second"]), made="today", gone="x")
+    cube = bands.set_notes(cube, gone=None)
+    with pytest.raises(errors.LengthMismatch):
+        bands.set_descriptions(cube, ["one"])
+    sinks.save(cube, str(tmp_path / "c"))
+    back = sinks.load(spark, str(tmp_path / "c"))
+    assert back.notes == {"made": "today"} and [back.of(b).description for b in back.bands] == ["first", "second"]
+    stored = spark.read.parquet(str(tmp_path / "c" / "rows"))
+    assert rasters.system_of(stored) == "EPSG:32630" and stored.schema["a"].metadata["description"] == "first"
+    assert rasters.system_of(spark.range(1).selectExpr("id AS x")) is None
+
+
+def test_gather_follows_sources(spark, tmp_path):
+    cube = cube_of(spark, [(1, 1, 0, 0, 1.0, None)])
+    at = lambda *p: str(tmp_path.joinpath(*p))
+    sinks.write(cube, at("one", "rows"))
+    sinks.write(cube, at("two", "rows"))
+    sinks.save(cube, at("inner"), sources={"deep": at("two", "rows"), "self": at("outer")})
+    sinks.save(cube, at("outer"), sources={"a": at("one", "rows"), "b": at("inner"), "c": at("lost"), "d": "s3://far/rows"})
+    with pytest.warns(UserWarning) as said:
+        found = sinks.gather(spark, at("outer"), at("moved"))
+    assert sorted((a.split("/")[-2:], n, s) for a, n, s in found) == sorted(
+        [(["one", "rows"], "rows", "copied"), ([tmp_path.name, "inner"], "inner", "copied"), ([tmp_path.name, "lost"], "", "missing"),
+         (["far", "rows"], "", "remote"), (["two", "rows"], "rows_1", "copied")]
+    )
+    told = [str(w.message) for w in said if issubclass(w.category, UserWarning)]
+    assert len(told) == 2 and at("lost") in told[0], [str(w) for w in said]
+    assert sinks.load(spark, at("moved")).df.count() == 1
+    assert sinks.load(spark, at("moved", "sources", "inner")).df.count() == 1
+    assert spark.read.parquet(at("moved", "sources", "rows_1")).count() == 1
+    for path, target in ((at("nowhere"), at("m")), (at("outer"), at("moved"))):
+        with pytest.raises(errors.OutOfRange):
+            sinks.gather(spark, path, target)
+
+
+def test_workspace_is_removed_as_a_whole(spark, tmp_path):
+    from pixeltide.sources.folders import Workspace
+
+    cube = cube_of(spark, [(1, 1, 0, 0, 1.0, None)])
+    with Workspace(spark, str(tmp_path / "w")) as work:
+        back = sinks.recollect(spark, cube, work.path("cube"))
+        assert back.df.count() == 1 and work.path("cube") != work.path("cube")
+    assert not (tmp_path / "w").exists()
+    (tmp_path / "mine").mkdir()
+    with pytest.raises(errors.OutOfRange):
+        Workspace(spark, str(tmp_path / "mine"))
+    with pytest.raises(errors.OutOfRange):
+        work.destroy()
+
+
 def test_registered_pixel_function(spark):
     from pyspark.sql import functions as F
 
