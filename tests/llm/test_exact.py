@@ -2,18 +2,23 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import compare
 import helpers as H
-from pixeltide.llm import bpe, chat_format, components, jaccard_join, lm_score, quality_rules, queries, suffix_dedup
+from pixeltide.llm import bpe, chat_format, components, jaccard_join, lm_score, quality_rules, queries, shared, suffix_dedup
+from pixeltide.llm import exchange as X
 from pixeltide.llm.language_id import held_out
 
 SF = "/root/testdata/sf0.001"
@@ -72,6 +77,48 @@ def test_suffix_dedup(spark, per_salt, unit_bytes, fan):
     assert all(r.carried.lang == "en" and r.carried.kind == 2 for r in got)
 
 
+def _sent_by_units(texts, per_salt=50_000):
+    """Byte strings that units of one text each send to be expanded, one after the other."""
+    S = suffix_dedup
+    units = [pa.table({"unit": [k], "doc_id": [k], "text": [t]}) for k, t in enumerate(texts)]
+    to = lambda said, k: said.filter(pc.equal(said["sender"], k))
+    said = X.answer(pa.concat_tables([S._ask_anchors(u, 50, 1) for u in units]), S._ANCHORS)
+    held = X.answer(pa.concat_tables([S._ask_holders(u, to(said, k), 50, 1, per_salt) for k, u in enumerate(units)]), S._holder_talk(per_salt))
+    both = pa.concat_tables([t.append_column("kind", pa.array([k] * t.num_rows, pa.int32())) for k, t in enumerate((said, held))])
+    blobs = [S._ask_contexts(u, to(both, k), 50, 1, per_salt)["blob"].to_pylist() for k, u in enumerate(units)]
+    return [[t for b in own for t in X.Facts.unpack(b, 56, S._SMALLEST, True).texts] for own in blobs]
+
+
+def test_repeated_text_travels_once():
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    passage = text(3000)
+    sent = _sent_by_units([text(200) + passage + text(200) for _ in range(8)] + [passage] * 4)
+    every = [t for own in sent for t in own]
+    assert len(every) == len(set(every))  # each unit sent all of the passage once
+    # beyond the first holder a unit sends what stands at the passage's ends
+    assert all(sum(map(len, own)) < 1000 for own in sent[1:9]) and not any(sent[9:])
+
+
+def test_texts_that_share_only_word_pairs_by_chance_send_little():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(50)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(30)]
+    sent = sum(len(t) for own in _sent_by_units(texts) for t in own)
+    assert sent < 0.5 * sum(map(len, texts))  # 16-grams, nearly all shared, made it several times the texts
+
+
+def test_files_of_a_finished_pass_go(spark):
+    folder = lambda: sum(p.stat().st_size for top in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for p in pathlib.Path(top.getPath()).rglob("shuffle_*.data"))
+    shared.free_shuffles(spark)
+    before = folder()
+    shared.ensure_checkpoints(spark.range(1))
+    kept = spark.range(200_000).selectExpr("sha2(string(id), 256) as x", "id % 7 as k").repartition(5, "k").groupBy("k").agg(F.count("x").alias("n")).checkpoint()
+    assert folder() > before + 1_000_000
+    shared.free_shuffles(spark)
+    assert folder() < before + 100_000 and kept.count() == 7
+
+
 def test_suffix_dedup_empty_table(spark):
     assert suffix_dedup.dedup(H.frame(spark, [])).count() == 0
 
