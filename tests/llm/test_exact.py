@@ -108,6 +108,31 @@ def test_texts_that_share_only_word_pairs_by_chance_send_little():
     assert sent < 0.5 * sum(map(len, texts))  # 16-grams, nearly all shared, made it several times the texts
 
 
+def test_contexts_of_a_common_anchor_are_dealt_in_small_groups():
+    S, rng, per_salt = suffix_dedup, random.Random(5), 100
+    text = lambda n: "".join(rng.choices("acgt", k=n))
+    passage = text(200)
+    texts = [text(60) + passage + text(60) for _ in range(400)]
+    units = [pa.table({"unit": [k] * 200, "doc_id": range(200 * k, 200 * k + 200), "text": texts[200 * k :][:200]}) for k in range(2)]
+    to = lambda said, k: said.filter(pc.equal(said["sender"], k))
+    said = X.answer(pa.concat_tables([S._ask_anchors(u, 50, 1) for u in units]), S._ANCHORS)
+
+    def groups(per_salt):
+        held = X.answer(pa.concat_tables([S._ask_holders(u, to(said, k), 50, 1, per_salt) for k, u in enumerate(units)]), S._holder_talk(per_salt))
+        both = pa.concat_tables([t.append_column("kind", pa.array([k] * t.num_rows, pa.int32())) for k, t in enumerate((said, held))])
+        size = {}
+        for k, u in enumerate(units):
+            facts = S._Texts(u, to(both, k), 50, per_salt).facts
+            for key, t in zip(facts.keys.tolist(), facts.texts, strict=True):
+                size[key] = size.get(key, 0) + len(t)
+        return size.values()
+
+    whole, dealt = groups(50_000), groups(per_salt)
+    assert max(whole) > 2 * per_salt * 50  # there are common anchors
+    assert max(dealt) < per_salt * 50
+    assert sum(dealt) < 5 * sum(whole)  # not a string for each window
+
+
 def test_files_of_a_finished_pass_go(spark):
     folder = lambda: sum(p.stat().st_size for top in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for p in pathlib.Path(top.getPath()).rglob("shuffle_*.data"))
     shared.free_shuffles(spark)
