@@ -6,10 +6,11 @@ it is; a cell with none gives NULLs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ from ..model import Cube
 
 #: Digits to which distances are rounded, so that ties do not hang on the last bit.
 DIGITS = 9
+#: Values of whole cells that the averaged steps take as one block; a longer cell is a block of its own.
+BLOCK = 8_000_000
 
 
 def _facts(cube: Cube) -> dict[str, Column]:
@@ -111,6 +114,70 @@ def averaged_median(matrix: np.ndarray, nstart: int = 10, gamma: float = 10.0, a
     return mean
 
 
+def averaged_medians(values: np.ndarray, sizes: np.ndarray, nstart: int = 10, gamma: float = 10.0, alpha: float = 0.65, epsilon: float = 1e-8) -> np.ndarray:
+    """``averaged_median`` of many cells at once: step k of all cells that have a row k is one array operation.
+
+    ``values`` has the rows of one cell after those of the other, ``sizes`` the number of each; out comes a row for each.
+    """
+    cells, bands = len(sizes), values.shape[1]
+    owner = np.repeat(np.arange(cells), sizes)
+    present = ~np.isnan(values)
+    mean = np.full((bands, cells), np.nan)
+    for b in range(bands):
+        v, at = values[present[:, b], b], owner[present[:, b]]
+        v, n = v[np.lexsort((v, at))], np.bincount(at, minlength=cells)
+        first, some = np.cumsum(n) - n, n > 0
+        low, high = (first + (n - 1) // 2)[some], (first + n // 2)[some]
+        mean[b, some] = np.where(low == high, v[low], (v[low] + v[high]) / 2)
+    # the longest cells come first, so those with a row k are the first so many; rows k of all lie side by side, by band
+    order = np.argsort(-sizes, kind="stable")
+    rank = np.empty(cells, int)
+    rank[order] = np.arange(cells)
+    width = cells - np.searchsorted(sizes[order][::-1], np.arange(sizes.max(initial=0)), side="right")
+    begin = (np.cumsum(width) - width) * bands
+    k = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    whole, rows = bool(present.all()), np.zeros(values.size)
+    have = None if whole else np.zeros(values.size)
+    for b in range(bands):
+        to = begin[k] + b * width[k] + rank[owner]
+        rows[to] = np.where(present[:, b], values[:, b], 0.0)
+        if not whole:
+            have[to] = present[:, b]
+    unknown = np.isnan(mean[:, order])
+    mean = np.where(unknown, 0.0, mean[:, order])
+    length, runs = gamma * np.sqrt(bands), [*zip(range(1, len(width)), width[1:].tolist(), begin[1:].tolist(), strict=True)]
+    with np.errstate(all="ignore"):
+        for _ in range(nstart):
+            at, m, n = mean.copy(), mean.copy(), cells
+            for k, now, first in runs:
+                if k == 1 or now != n:
+                    # the cells that end here have their mean; the others go on side by side
+                    mean[:, :n] = m.reshape(bands, n)
+                    at, m, n = at.reshape(bands, n)[:, :now].ravel(), mean[:, :now].ravel(), now
+                    gap, square, far = np.empty_like(m), np.empty_like(m), np.empty(n)
+                    gaps, squares = gap.reshape(bands, n), square.reshape(bands, n)
+                np.subtract(rows[first : first + n * bands], at, out=gap)
+                if not whole:
+                    np.multiply(gap, have[first : first + n * bands], out=gap)
+                np.multiply(gap, gap, out=square)
+                np.sqrt(np.add.reduce(squares, axis=0, out=far), out=far)
+                still = far <= epsilon if np.minimum.reduce(far) <= epsilon else None
+                np.divide(length, np.multiply(far, (k + 1) ** alpha, out=far), out=far)
+                if still is not None:
+                    far[still] = 0.0
+                np.multiply(gaps, far, out=gaps)
+                np.add(at, gap, out=at)
+                np.divide(np.subtract(at, m, out=gap), k + 1.0, out=gap)
+                np.add(m, gap, out=m)
+            mean[:, :n] = m.reshape(bands, n)
+    out = np.empty((cells, bands))
+    out[order] = np.where(unknown, np.nan, mean).T
+    # infinite values have rules of their own there
+    for c in np.unique(owner[np.isinf(values).any(1)]):
+        out[c] = averaged_median(values[owner == c], nstart, gamma, alpha, epsilon)
+    return out
+
+
 def complete_median(matrix: np.ndarray, rounds: int = 200, epsilon: float = 1e-8, impute: bool = True, fill: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """Weiszfeld's iteration on the complete bands; the others come from ``fill`` of all bands, or stay missing."""
     gaps = np.isnan(matrix).any(0)
@@ -131,7 +198,6 @@ def reduce_with(cube: Cube, reducer: Callable[[np.ndarray], np.ndarray]) -> Data
     need(callable(reducer), TypeMismatch, "not a function")
     cube.need_aligned()
     bands, cell = list(cube.bands), list(cube.cell)
-    place = F.row_number().over(Window.partitionBy(*cell).orderBy(F.asc_nulls_last(cube.time), cube.item))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("_k")[bands].to_numpy(float)
@@ -140,10 +206,57 @@ def reduce_with(cube: Cube, reducer: Callable[[np.ndarray], np.ndarray]) -> Data
         frame = pd.DataFrame([[*pdf.iloc[0][cell], *(None if np.isnan(v) else float(v) for v in out)]], columns=cell + bands)
         return frame
 
-    schema = T.StructType([cube.df.schema[c] for c in cell] + [T.StructField(b, T.DoubleType()) for b in bands])
     # the place is found over the same partitioning as the groups: one exchange serves both
-    narrow = cube.df.select(*cell, place.alias("_k"), *(F.col(b).cast("double").alias(b) for b in bands))
-    return narrow.groupBy(*cell).applyInPandas(run, schema)
+    return _placed(cube).groupBy(*cell).applyInPandas(run, _vectors(cube))
+
+
+def _placed(cube: Cube, *first: Column) -> DataFrame:
+    """The cube's cells and bands, with each row's place ``_k`` in its cell in order of time, from 1.
+
+    ``first``: functions of the cell by which the sort begins.
+    """
+    place = F.row_number().over(Window.partitionBy(*first, *cube.cell).orderBy(F.asc_nulls_last(cube.time), cube.item))
+    return cube.df.select(*cube.cell, place.alias("_k"), *(F.col(b).cast("double").alias(b) for b in cube.bands))
+
+
+def _vectors(cube: Cube) -> T.StructType:
+    return T.StructType([cube.df.schema[c] for c in cube.cell] + [T.StructField(b, T.DoubleType()) for b in cube.bands])
+
+
+def _reduce_blocks(cube: Cube, reducer: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """A reducer of many cells at once (rows of all, number of rows of each), over blocks of whole cells.
+
+    The rows leave the window in order of cell and place, so a cell begins where the place is 1.
+    """
+    cube.need_aligned()
+    bands, cell, limit = list(cube.bands), list(cube.cell), BLOCK
+
+    def reduced(block: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(block)
+        starts = np.flatnonzero(table["_k"].to_numpy() == 1)
+        values = np.column_stack([table[b].to_numpy() for b in bands])
+        used = ~np.isnan(values).all(1)
+        sizes = np.add.reduceat(used.astype(int), starts)
+        out = reducer(values[used], sizes)
+        columns = [table[c].take(pa.array(starts)).combine_chunks() for c in cell] + [pa.array(v, pa.float64(), from_pandas=True) for v in out.T]
+        return pa.RecordBatch.from_arrays(columns, names=cell + bands)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            starts = np.flatnonzero(batch["_k"].to_numpy() == 1) if n * len(bands) >= limit else ()
+            if len(starts):
+                cut = int(starts[-1])
+                yield reduced([*held, batch.slice(0, cut)])
+                held, n, batch = [], 0, batch.slice(cut)
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+        if held:
+            yield reduced(held)
+
+    # a hash tells most cells apart at once where their coordinates have few values
+    return _placed(cube, F.xxhash64(*cube.cell)).mapInArrow(run, _vectors(cube))
 
 
 def geomedian(
@@ -157,7 +270,9 @@ def geomedian(
     def averaged(m: np.ndarray) -> np.ndarray:
         return averaged_median(m, nstart, gamma, alpha, epsilon)
 
-    return reduce_with(cube, (lambda m: complete_median(m, rounds, epsilon, impute, averaged)) if weiszfeld else averaged)
+    if weiszfeld:
+        return reduce_with(cube, lambda m: complete_median(m, rounds, epsilon, impute, averaged))
+    return _reduce_blocks(cube, lambda values, sizes: averaged_medians(values, sizes, nstart, gamma, alpha, epsilon))
 
 
 def geomedian_fixed(cube: Cube, rounds: int = 5) -> DataFrame:

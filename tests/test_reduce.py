@@ -138,6 +138,39 @@ def test_averaged_median_against_plain_steps(spark):
         assert [r.a, r.b, r.c] == pytest.approx(_plain_averaged(own), rel=1e-9)
 
 
+def test_averaged_medians_of_many_cells_are_those_of_each():
+    rng = np.random.default_rng(3)
+    for sizes in ([0, 5, 1, 30, 0, 2, 30], [0], [1, 1], [4]):
+        m = np.round(rng.normal(50, 20, (sum(sizes), 3)))
+        m[rng.random(m.shape) < 0.3] = np.nan
+        m[: sizes[1] if len(sizes) > 1 else 0, 0] = np.nan
+        m[-4:-3, 1] = np.inf
+        m[np.isnan(m).all(1), 2] = 7.0
+        got = reducers.averaged_medians(m, np.array(sizes))
+        assert len(got) == len(sizes)
+        for out, own in zip(got, np.split(m, np.cumsum(sizes)[:-1]), strict=True):
+            want = reducers.averaged_median(own) if len(own) else np.full(3, np.nan)
+            np.testing.assert_allclose(out, want, rtol=1e-12)
+
+
+def test_averaged_medians_take_blocks_of_whole_cells(spark, monkeypatch):
+    """Cells run over Arrow batches and over the size of a block; cells without a value stay."""
+    monkeypatch.setattr(reducers, "BLOCK", 50)
+    rng = np.random.default_rng(8)
+    rows = [(i, i, i * i % 7, 0, *(None if rng.random() < 0.3 else float(v) for v in rng.normal(50, 20, 2))) for i in range(400)]
+    rows += [(i, 0, 9, 0, None, None) for i in range(5)]
+    cube = cube_of(spark, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = {r.x: (r.a, r.b) for r in reducers.geomedian(cube).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == {r[2] for r in rows} and got.pop(9) == (None, None)
+    for x, v in got.items():
+        own = [row[4:] for row in rows if row[2] == x and row[4:] != (None, None)]
+        assert v == pytest.approx(_plain_averaged(own), rel=1e-9)
+
+
 def test_averaged_median_comes_near_the_geometric_median():
     m = np.random.default_rng(1).normal(100, 10, size=(400, 3))
     assert np.abs(reducers.averaged_median(m) - reducers.geometric_median(m)).max() < 2.0
