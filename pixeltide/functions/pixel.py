@@ -64,7 +64,9 @@ def product(v: Column) -> Column:
 
 
 def harmonic_mean(v: Column) -> Column:
-    return F.try_divide(F.count(F.when(v != 0, v)).cast("double"), F.sum(1 / F.nullif(v, F.lit(0.0))))
+    """Zero as soon as one value is, whose reciprocal has no bound."""
+    zero = F.max(F.when(v == 0, 1).otherwise(0)) == 1
+    return F.when(zero, F.lit(0.0)).otherwise(F.try_divide(F.count(v).cast("double"), F.sum(1 / F.nullif(v, F.lit(0.0)))))
 
 
 def mode(v: Column) -> Column:

@@ -27,6 +27,12 @@ def test_product_has_signs_and_zeros(spark):
     assert {r.x: round(r.a, 9) for r in composites.composite(cube, "mul").collect()} == {0: -6.0, 1: 0.0}
 
 
+def test_harmonic_mean_with_zeros(spark):
+    rows = [(1, 1, 0, 0, 0.0), (2, 2, 0, 0, 4.0), (1, 1, 1, 0, 2.0), (2, 2, 1, 0, 6.0), (3, 3, 1, 0, None), (1, 1, 2, 0, None), (1, 1, 3, 0, 0.0)]
+    cube = cube_of(spark, rows, ("a",))
+    assert {r.x: r.a for r in composites.composite(cube, "harmonic_mean").collect()} == {0: 0.0, 1: 3.0, 2: None, 3: 0.0}
+
+
 def test_medoid_is_an_observation_and_fills_gaps(spark):
     rows = [(1, 1, 0, 0, 5.0, None, 5.0), (2, 2, 0, 0, 1.0, 1.0, 1.0), (3, 3, 0, 0, 10.0, 10.0, 10.0), (4, 4, 0, 0, 9.0, 9.0, 9.0)]
     cube = cube_of(spark, rows, ("a", "b", "c"))
