@@ -954,12 +954,17 @@ def _(spark, sf):
     return rendering.colours(tables.event_cube(spark, sf).df.select("item", "cls"), "cls", table, "#00000000").select("item", "rgba")
 
 
+def _drawn(spark, sf):
+    """The mean value of each cell; some lie on the border of two levels, where the last bit of a sum decides."""
+    return composites.ordered_mean(tables.event_cube(spark, sf), ["value"])
+
+
 _LEVEL = "lower(lpad(printf('%X', floor(least(1.0, greatest(0.0, ({} - 20) / 60)) * 255 + 0.5)::INTEGER), 2, '0'))"
 
 
 @add("plot_grey", f"WITH {GRID} SELECT x, y, coalesce('#' || repeat({_LEVEL.format('value')}, 3) || 'ff', '#00000000') AS rgba FROM g")
 def _(spark, sf):
-    return rendering.rendered(_image(spark, sf).df.select("x", "y", "value"), ["value"], limits={"value": (20, 80)}).select("x", "y", "rgba")
+    return rendering.rendered(_drawn(spark, sf), ["value"], limits={"value": (20, 80)}).select("x", "y", "rgba")
 
 
 @add("plot_rgb", f"""WITH {GRID} SELECT x, y, coalesce('#' || {_LEVEL.format('value')} || {_LEVEL.format('(value / 2)')} || {_LEVEL.format('(100 - value)')} || 'ff', '#00000000') AS rgba FROM g""")
