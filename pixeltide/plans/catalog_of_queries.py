@@ -970,7 +970,7 @@ def _(spark, sf):
 @add("plot_rgb", f"""WITH {GRID} SELECT x, y, coalesce('#' || {_LEVEL.format('value')} || {_LEVEL.format('(value / 2)')} || {_LEVEL.format('(100 - value)')} || 'ff', '#00000000') AS rgba FROM g""")
 def _(spark, sf):
     v = F.col("value")
-    df = _image(spark, sf).df.select("x", "y", v.alias("r"), (v / 2).alias("g"), (100 - v).alias("b"))
+    df = _drawn(spark, sf).select("x", "y", v.alias("r"), (v / 2).alias("g"), (100 - v).alias("b"))
     return rendering.rendered(df, ["r", "g", "b"], limits=dict.fromkeys("rgb", (20, 80))).select("x", "y", "rgba")
 
 

@@ -37,7 +37,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["plot_grey"])
+@pytest.mark.parametrize("name", ["plot_grey", "plot_rgb"])
 @pytest.mark.parametrize("seed", [0, 24, 46])
 def test_levels_do_not_hang_on_how_rows_are_dealt(spark, tmp_path, name, seed):
     """A mean of exactly 50 lies on the border of two levels; the SQL adds the rows of a file in their order."""
